@@ -70,7 +70,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames of a user's sequence, numbered in time order."""
     e = table(spark, sf_dir, "events")
-    hour = F.floor(F.unix_micros("ts") / 3_600_000_000)
+    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
     numbered = layout.with_position(e, ["user_id"], ["ts", "event_id"], hour, "frame_order")
     return numbered.select(F.col("user_id").alias("video_name"), F.col("frame_order").cast("int").alias("frame_order"),
                            F.col("event_id").alias("frame_index"), F.col("event_type").alias("source"), "value", "ts")

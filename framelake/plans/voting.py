@@ -63,7 +63,7 @@ def windows_no_tail(spark, d):
 
 
 @query("j01_points_in_windows", """
-  SELECT video_name, window_id, count(*) AS num_points, sum(point_index) % 1000003 AS checksum, min(frame_order) AS lo,
+  SELECT video_name, window_id, count(*) AS num_points, CAST(sum(point_index) % 1000003 AS BIGINT) AS checksum, min(frame_order) AS lo,
     max(frame_order) AS hi FROM point_windows GROUP BY 1, 2""", "point_windows")
 def points_in_windows(spark, d):
     rows = WI.into_windows(V.points(spark, d), 12, 6)
