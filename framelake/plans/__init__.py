@@ -2,7 +2,7 @@
 import importlib
 
 # Query modules, in the order of the inventory's sections.
-MODULES = ["voting", "features"]
+MODULES = ["voting", "features", "posequeries"]
 
 
 def load() -> None:

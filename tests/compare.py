@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import signal
 import sys
 import time
 from collections import Counter
@@ -94,13 +95,21 @@ def main() -> int:
     spark, con = session(), duck(sf_dir)
     q, o = E.queries(), E.oracle_sql()
     bad = 0
+
+    def late(*_):
+        raise TimeoutError("query took too long")
+
+    signal.signal(signal.SIGALRM, late)
     for name, fn in q.items():
         if not re.search(pattern, name):
             continue
+        signal.alarm(60)
         try:
             took, text, ok = check(spark, con, name, fn, o.get(name), sf_dir)
         except Exception as e:  # report and go on with the other queries
             took, text, ok = 0, f"ERROR {type(e).__name__} {str(e)[:700]}", False
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         bad += not ok
         print(f"{'  ' if ok else '!!'} {name:42s} {took:6.2f}s {text}", flush=True)
     print("failures", bad)
