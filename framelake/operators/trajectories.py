@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from framelake.functions import geometry as G
 from framelake.functions.ratios import NAN, ratio
 from framelake.operators.folds import chunked_fold
-from framelake.operators.layout import CHUNK, lookup, neighbourhood, percentiles, running, with_position
+from framelake.operators.layout import CHUNK, lookup, neighbourhood, percentiles, running
+from framelake.session import cut_lineage
 
 KEY, POS = "video_name", "frame_order"
 EPS = 1e-8
@@ -128,7 +129,8 @@ def rebuild_steps(st: DataFrame, axis: DataFrame, scale: DataFrame, min_cos: flo
     """
     rows = lookup(st.select(KEY, POS, "sx", "sy", "sz", "length", "valid"), scale, [KEY], F.col(POS), "inner")
     start = axis.select(KEY, F.col("ax").alias("rx"), F.col("ay").alias("ry"), F.col("az").alias("rz"))
-    return chunked_fold(rows, [KEY], POS, start, ["rx", "ry", "rz"], _rebuild(min_cos, min_ratio, max_ratio, alpha, eps), REBUILT, chunk)
+    # Later stages read the steps more than once; the Python fold should run once.
+    return cut_lineage(chunked_fold(rows, [KEY], POS, start, ["rx", "ry", "rz"], _rebuild(min_cos, min_ratio, max_ratio, alpha, eps), REBUILT, chunk))
 
 
 def positions(first: DataFrame, new_steps: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -204,7 +206,7 @@ def push_same_side(points: DataFrame, normals: DataFrame, axis: DataFrame, min_s
     st = steps(points, eps, chunk).select(KEY, POS, "sx", "sy", "sz")
     rows = lookup(st.join(normals, [KEY, POS]), min_step, [KEY], F.col(POS), "inner")
     start = axis.select(KEY, F.col("ax").alias("vx"), F.col("ay").alias("vy"), F.col("az").alias("vz"))
-    moved = chunked_fold(rows, [KEY], POS, start, ["vx", "vy", "vz"], _same_side(eps), PUSHED, chunk)
+    moved = cut_lineage(chunked_fold(rows, [KEY], POS, start, ["vx", "vy", "vz"], _same_side(eps), PUSHED, chunk))
     flags = moved.select(KEY, (F.col(POS) + 1).cast("int").alias(POS), "pushed")
     return positions(origins(points), moved, chunk).join(flags, [KEY, POS], "left").withColumn("pushed", F.coalesce("pushed", F.lit(False)))
 
@@ -223,22 +225,24 @@ def correct(poses: DataFrame, pose: str = "pose", method: str = "first_valid", w
             same_side_ratio: float | None = None, scale: float = 1.0, eps: float = EPS, chunk: int = CHUNK) -> DataFrame:
     """Rebuild, make monotone, push, stretch; rotations are kept.
 
-    Videos without a usable step keep their poses.
+    Videos without a usable step keep their poses.  Every stage reads the one
+    before it several times, so the narrow centre and step tables are written
+    out in between instead of being computed again.
     """
-    c = centers(poses, pose)
-    st = steps(c, eps, chunk)
+    c = cut_lineage(centers(poses, pose))
+    st = cut_lineage(steps(c, eps, chunk))
     mid = step_scale(st).filter(F.col("median_step") > eps)
-    axis = progress_axis(st, method, window, eps=eps)
+    mid, axis = cut_lineage(mid), cut_lineage(progress_axis(st, method, window, eps=eps))
     new = rebuild_steps(st, axis, mid, min_cos, min_ratio, max_ratio, alpha, eps, chunk)
     first = origins(c).join(mid, KEY, "left_semi")
     out = positions(first, new, chunk)
     if monotone_ratio is not None:
-        out = monotone(out, axis, mid.select(KEY, (F.col("median_step") * monotone_ratio).alias("min_step")), chunk).select(KEY, POS, "cx", "cy", "cz")
+        out = monotone(cut_lineage(out), axis, mid.select(KEY, (F.col("median_step") * monotone_ratio).alias("min_step")), chunk).select(KEY, POS, "cx", "cy", "cz")
     if same_side_ratio is not None:
-        out = push_same_side(out, frame_normals(poses, pose), axis, mid.select(KEY, (F.col("median_step") * same_side_ratio).alias("min_step")), eps,
+        out = push_same_side(cut_lineage(out), frame_normals(poses, pose), axis, mid.select(KEY, (F.col("median_step") * same_side_ratio).alias("min_step")), eps,
                              chunk).select(KEY, POS, "cx", "cy", "cz")
     if abs(scale - 1) > eps:
-        out = scale_along(out, axis, scale).select(KEY, POS, "cx", "cy", "cz")
+        out = scale_along(cut_lineage(out), axis, scale).select(KEY, POS, "cx", "cy", "cz")
     m = G.cells(pose)
     fixed = [F.coalesce(F.col({3: "cx", 7: "cy", 11: "cz"}[i]), m[i]) if i in (3, 7, 11) else m[i] for i in range(12)]
     return poses.join(out, [KEY, POS], "left").withColumn("pose_corr", F.array(*fixed)).drop("cx", "cy", "cz")
@@ -302,7 +306,7 @@ def moving_average(df: DataFrame, values: Sequence[str], size: int, chunk: int =
     turns = F.sequence(F.lit(0) - F.ceil(F.lit(size) / (2 * F.col("_n"))) - 1, F.ceil(F.lit(size) / (2 * F.col("_n"))) + 1)
     spots = F.flatten(F.transform(turns, lambda t: F.array(F.col(POS) + 2 * F.col("_n") * t, -1 - F.col(POS) + 2 * F.col("_n") * t)))
     spots = F.filter(spots, lambda p: (p >= -left) & (p < F.col("_n") + right))
-    wide = rows.withColumn("_spot", F.explode(spots) + left)
+    wide = rows.withColumn("_spot", F.explode(spots)).withColumn("_spot", F.col("_spot") + left)
 
     def means(w):
         frame = w.rowsBetween(-left, right)

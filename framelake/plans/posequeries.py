@@ -8,6 +8,7 @@ from framelake.functions import geometry as G
 from framelake.operators import folds, pointprep as PP, pose_errors as PE, trajectories as TR
 from framelake.operators.layout import lookup
 from framelake.plans import views as V
+from framelake.session import cut_lineage
 from framelake.plans.registry import query
 
 R = lambda c, d=6: F.round(c, d) + F.lit(0.0)
@@ -114,7 +115,7 @@ STEPS_SQL = f"""
 
 
 def pose_steps(spark, d, chunk=TR.CHUNK):
-    return TR.steps(TR.centers(V.poses(spark, d)), chunk=chunk)
+    return cut_lineage(TR.steps(TR.centers(V.poses(spark, d)), chunk=chunk))
 
 
 @query("w03_adjacent_steps", f"""
