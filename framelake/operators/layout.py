@@ -149,3 +149,15 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str,
         exact = F.max(F.when(F.col("_name") == name, F.col("_exact")))
         aggs.append((low + (high - low) * (exact - F.floor(exact))).alias(name))
     return found.groupBy(*keys).agg(*aggs)
+
+
+def percentile_table(df: DataFrame, keys: Sequence[str], asked: dict[str, tuple[str, float]]) -> DataFrame:
+    """Percentiles of several columns in one pass: ``{name: (column, quantile)}``."""
+    keys = list(keys)
+    cols = sorted({c for c, _ in asked.values()})
+    qs = sorted({q for _, q in asked.values()})
+    pairs = F.array(*[F.struct(F.lit(c).alias("_metric"), F.col(c).cast("double").alias("_value")) for c in cols])
+    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*")
+    got = percentiles(long, [*keys, "_metric"], "_value", {f"_q{i}": q for i, q in enumerate(qs)})
+    return got.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_metric") == c, F.col(f"_q{qs.index(q)}"))).alias(n) for n, (c, q) in asked.items()])
