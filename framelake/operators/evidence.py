@@ -14,19 +14,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from framelake.functions.ratios import col
-from framelake.operators.layout import CHUNK, neighbourhood, running
+from framelake.operators.layout import CHUNK, lookup, neighbourhood, percentiles, running
 
 KEY, POS = "video_name", "frame_order"
 FRAME = [KEY, POS]
 
 
-def threshold_per_group(df: DataFrame, keys: Sequence[str], response: str, percentile: float, minimum: float, name: str = "selected") -> DataFrame:
+def threshold_per_group(df: DataFrame, keys: Sequence[str], response: str, percentile: float, minimum: float, name: str = "selected",
+                        spread: str | None = None) -> DataFrame:
     """Response at least the percentile of the group's positive responses and at least ``minimum``.
 
-    Groups are frames, so their number of distinct responses is bounded by the image.
+    A frame's responses are bounded by its image and fit one aggregate.  For
+    larger groups name a ``spread`` column: the percentile is then taken in
+    bins and the join back is salted.
     """
-    t = df.groupBy(*keys).agg(F.percentile(F.when(F.col(response) > 0, F.col(response)), percentile / 100.0).alias("_t"))
-    out = df.join(t, list(keys))
+    q = percentile / 100.0
+    if spread is None:
+        t = df.groupBy(*keys).agg(F.percentile(F.when(F.col(response) > 0, F.col(response)), q).alias("_t"))
+        out = df.join(t, list(keys))
+    else:
+        out = lookup(df, percentiles(df.filter(F.col(response) > 0), keys, response, {"_t": q}), keys, F.col(spread))
     return out.withColumn(name, F.coalesce((F.col(response) >= F.col("_t")) & (F.col(response) >= minimum), F.lit(False))).drop("_t")
 
 

@@ -36,7 +36,7 @@ TOPHAT_SQL = """e AS (SELECT video_name, frame_order, value, min(value) OVER w A
   SELECT video_name, frame_order, round(response, 6) AS response, coalesce(response >= t AND response >= 2, false) AS selected FROM h JOIN t USING (video_name)""", "frames")
 def w16(spark, d):
     f = V.frames(spark, d).select("video_name", "frame_order", "value")
-    return rounded(E.threshold_per_group(E.top_hat(f, "value", 7), ["video_name"], "response", 85, 2.0).drop("value"))
+    return rounded(E.threshold_per_group(E.top_hat(f, "value", 7), ["video_name"], "response", 85, 2.0, spread="frame_order").drop("value"))
 
 
 @query("w17_clean_runs", """
