@@ -161,3 +161,20 @@ def percentile_table(df: DataFrame, keys: Sequence[str], asked: dict[str, tuple[
     got = percentiles(long, [*keys, "_metric"], "_value", {f"_q{i}": q for i, q in enumerate(qs)})
     return got.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_metric") == c, F.col(f"_q{qs.index(q)}"))).alias(n) for n, (c, q) in asked.items()])
+
+
+def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Pairs of a text row and a needle it contains, without comparing every text with every needle.
+
+    Every substring of a text that has the length of some needle is hashed and
+    met by equality; the match is then verified.  Needles are short names, so
+    their lengths are few.
+    """
+    n = needles.select(needle).distinct().filter(F.length(needle) > 0).withColumns({"_len": F.length(needle), "_hash": F.xxhash64(needle)})
+    lengths = needles.filter(F.length(needle) > 0).agg(F.collect_set(F.length(needle))).scalar()
+    cut = texts.withColumn("_lens", lengths).withColumn("_chars", F.split(text, r"(?!^)(?!\z)"))
+    size = F.size("_chars")
+    per_length = F.transform(F.filter("_lens", lambda l: l <= size), lambda l: F.transform(
+        F.sequence(F.lit(1), size - l + 1), lambda i: F.xxhash64(F.array_join(F.slice("_chars", i, l), ""))))
+    parts = cut.withColumn("_hash", F.explode(F.array_distinct(F.flatten(per_length)))).drop("_lens", "_chars")
+    return parts.join(n, "_hash").filter(F.contains(F.col(text), F.col(needle))).drop("_hash", "_len")

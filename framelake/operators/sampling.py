@@ -115,7 +115,7 @@ def evenly_spaced(df: DataFrame, keys: Sequence[str], position: str, k: int) ->
     step = F.lit(1.0) if k < 2 else (F.col("_n") - 1) / F.lit(float(k - 1))
     wanted = F.when(F.col("_n") <= k, F.sequence(F.lit(0).cast("bigint"), F.col("_n").cast("bigint") - 1)).otherwise(
         F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * step).cast("bigint")))
-    picks = n.select(*keys, F.explode(wanted).cast("bigint").alias("_pos")).distinct()
+    picks = n.select(*keys, F.explode(wanted).alias("_pos")).distinct()
     return df.join(picks.withColumnRenamed("_pos", position), [*keys, position], "left_semi")
 
 

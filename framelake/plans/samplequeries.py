@@ -35,8 +35,9 @@ def t05(spark, d):
 
 
 @query("t06_exact_samples", """
-  WITH k AS (SELECT DISTINCT video_name FROM points), p AS (SELECT video_name, count(*) AS n, count(*) FILTER (point_label = 1) AS pos FROM points GROUP BY 1)
-  SELECT video_name, 700::BIGINT AS rows, 175::BIGINT AS positive_rows, least(175, pos) AS distinct_positive, true AS all_in_video FROM p""", "points")
+  WITH p AS (SELECT video_name, count(*) FILTER (point_label = 1) AS pos FROM points GROUP BY 1),
+  d AS (SELECT video_name, count(DISTINCT CAST('0x' || substr(sha256('draw:positive:draw:' || video_name || ':' || i), 1, 13) AS BIGINT) % pos) AS k FROM p, generate_series(1, 175) g(i) WHERE pos > 0 GROUP BY 1)
+  SELECT video_name, 700::BIGINT AS rows, 175::BIGINT AS positive_rows, CASE WHEN pos >= 175 THEN 175 ELSE k END AS distinct_positive, true AS all_in_video FROM p JOIN d USING (video_name)""", "points")
 def t06(spark, d):
     """Sizes and repetition of the samples; members are repeatable by hash."""
     s = SA.exactly(V.points(spark, d), ["video_name"], 700, "draw", positive_share=0.25)
