@@ -2,7 +2,7 @@
 import importlib
 
 # Query modules, in the order of the inventory's sections.
-MODULES = ["voting", "features", "posequeries", "boxqueries", "sweepqueries", "evidencequeries", "samplequeries", "sourcequeries"]
+MODULES = ["voting", "features", "posequeries", "boxqueries", "sweepqueries", "evidencequeries", "samplequeries", "sourcequeries", "streamqueries"]
 
 
 def load() -> None:
