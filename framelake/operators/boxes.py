@@ -164,30 +164,61 @@ NUMBER_WIDTHS = [0, 4, 5, 6]
 NAME_PREFIXES = ["", "frame_", "VIDEO_", "VIDEO-", "VIDEO_frame_"]
 
 
+def _readings(files: DataFrame) -> DataFrame:
+    """Every way to read an annotation path as (video or NULL, number, rank parts).
+
+    A padded number must have one of the known widths; a plain one is the
+    first choice.
+    """
+    name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
+    token = F.regexp_extract(name, r"(\d+)\.xml$", 1)
+    before = F.substring(name, F.lit(1), F.length(name) - F.length(token) - 4)
+    plain = token == token.cast("decimal(38,0)").cast("string")
+    width = F.when(plain, 0)
+    for i, n in enumerate(NUMBER_WIDTHS):
+        if n:
+            width = width.when(F.length(token) == n, i)
+    null = F.lit(None).cast("string")
+    shapes = []
+    for i, p in enumerate(NAME_PREFIXES):
+        if p.startswith("VIDEO"):
+            end = p[5:]
+            ok = before.endswith(end) & (F.length(before) > len(end))
+            shapes.append(F.when(ok, F.struct(F.lit(i).alias("shape"), F.substring(before, F.lit(1), F.length(before) - len(end)).alias("named"))))
+        else:
+            shapes.append(F.when(before == p, F.struct(F.lit(i).alias("shape"), null.alias("named"))))
+    parts = F.split(folder, "/")
+    depth = F.when(folder == "", 0).otherwise(F.size(parts))
+    one = F.struct(F.lit(1).alias("dir"), folder.alias("held"))
+    dirs = [F.when(depth == 0, F.struct(F.lit(0).alias("dir"), null.alias("held"))), F.when(depth == 1, one)]
+    for i, dname in enumerate(ANNOTATION_DIRS):
+        dirs.append(F.when((depth == 1) & (folder == dname), F.struct(F.lit(2 + i).alias("dir"), null.alias("held"))))
+        dirs.append(F.when((depth == 2) & (F.get(parts, F.lit(1)) == dname), F.struct(F.lit(2 + len(ANNOTATION_DIRS) + i).alias("dir"), F.get(parts, F.lit(0)).alias("held"))))
+    some = lambda a: F.filter(F.array(*a), lambda v: v.isNotNull())
+    out = files.select("path").distinct().filter(name.rlike(r"\d\.xml$")).select("path", token.cast("bigint").alias("number"), width.alias("width"), some(shapes).alias("_s"), some(dirs).alias("_d"))
+    out = out.filter(F.col("width").isNotNull()).withColumn("_s", F.explode("_s")).withColumn("_d", F.explode("_d")).select("path", "number", "width", "_s.*", "_d.*")
+    return out.filter(F.col("named").isNull() | F.col("held").isNull() | (F.col("named") == F.col("held"))).select(
+        "path", "number", "width", "shape", "dir", F.coalesce("named", "held").alias("video"))
+
+
 def match_annotations(frames: DataFrame, files: DataFrame, offsets: Sequence[int] = (0,), id_source: str = "both") -> DataFrame:
-    """First existing annotation file of each frame.
+    """First existing annotation file of each frame, by folder, frame id, number width and name shape.
 
-    ``files`` holds path relative to the annotation root.  Every frame lists
-    its possible paths with their rank; an equi-join finds the existing ones
-    and the lowest rank wins.
+    ``files`` holds paths relative to the annotation root.  Each path is read
+    backwards into the video and number it can stand for, so a frame meets
+    only files of its own number and the many possible names of a frame are
+    never written out.  Numbers are not negative.
     """
     ids = {"frame_index": ["frame_index"], "frame_order": ["frame_order"], "both": ["frame_index", "frame_order"]}[id_source]
-    v = F.col("video_name").cast("string")
-    dirs = [F.lit(""), F.concat(v, F.lit("/"))] + [F.lit(d + "/") for d in ANNOTATION_DIRS] + [F.concat(v, F.lit(f"/{d}/")) for d in ANNOTATION_DIRS]
-    names = []
-    for i in ids:
-        for off in offsets:
-            n = (F.col(i) + off).cast("bigint")
-            for width in NUMBER_WIDTHS:
-                text = n.cast("string") if width == 0 else F.format_string(f"%0{width}d", n)
-                for prefix in NAME_PREFIXES:
-                    before = F.concat(v, F.lit(prefix[5:])) if prefix.startswith("VIDEO") else F.lit(prefix)
-                    names.append(F.concat(before, text, F.lit(".xml")))
-    tried = frames.select("video_name", "frame_order", F.posexplode(F.array(*dirs)).alias("_dir", "_d"), F.array(*names).alias("_names"))
-    tried = tried.select("video_name", "frame_order", "_dir", "_d", F.posexplode("_names").alias("_name", "_f"))
-    tried = tried.select("video_name", "frame_order", F.concat("_d", "_f").alias("path"), (F.col("_dir") * len(names) + F.col("_name")).alias("rank"))
-    found = tried.join(files.select("path").distinct(), "path")
-    return found.groupBy("video_name", "frame_order").agg(F.min_by("path", "rank").alias("path"), F.min("rank").alias("rank"))
+    tries = [F.struct((F.col(i) + off).cast("bigint").alias("number"), F.lit(k * len(offsets) + j).alias("turn")) for k, i in enumerate(ids) for j, off in enumerate(offsets)]
+    f = frames.select("video_name", "frame_order", F.explode(F.array(*tries)).alias("_t")).select("video_name", "frame_order", "_t.*")
+    r = _readings(files)
+    named = f.withColumn("video", F.col("video_name").cast("string")).join(r.filter(F.col("video").isNotNull()), ["video", "number"])
+    loose = f.join(r.filter(F.col("video").isNull()).drop("video"), "number")
+    per_turn = len(NUMBER_WIDTHS) * len(NAME_PREFIXES)
+    rank = F.col("dir") * (len(tries) * per_turn) + F.col("turn") * per_turn + F.col("width") * len(NAME_PREFIXES) + F.col("shape")
+    both = named.drop("video").unionByName(loose)
+    return both.withColumn("rank", rank).groupBy("video_name", "frame_order").agg(F.min_by("path", "rank").alias("path"), F.min("rank").alias("rank"))
 
 
 def retention(teacher: DataFrame, selected: DataFrame, labels: DataFrame, boxes: DataFrame, configs: Sequence[str]) -> DataFrame:

@@ -7,14 +7,14 @@ frames are handed to vectorised kernels batch by batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from framelake.functions.ratios import col
-from framelake.operators.layout import CHUNK, lookup, neighbourhood, percentiles, running
+from framelake.operators.layout import CHUNK, group_batches, group_ids, lookup, neighbourhood, percentiles, running
 
 KEY, POS = "video_name", "frame_order"
 FRAME = [KEY, POS]
@@ -92,34 +92,6 @@ def clean_runs(df: DataFrame, flag: str, open_size: int, close_size: int, min_ru
     return numbered.join(size, [KEY, "_run"]).withColumn("cleaned", F.col("_on") & (F.col("_size") >= min_run)).drop("_on", "_run", "_size")
 
 
-def frame_batches(df: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
-    """Run ``kernel`` on batches of whole frames.
-
-    Rows are partitioned and sorted by frame; a frame cut by an Arrow batch
-    boundary waits for its remaining rows.
-    """
-    keys = list(keys)
-
-    def feed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for b in batches:
-            if held is not None:
-                b = pd.concat([held, b], ignore_index=True)
-            last = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy()
-            done, held = b[~last], b[last]
-            if len(done):
-                yield kernel(done.reset_index(drop=True))
-        if held is not None and len(held):
-            yield kernel(held.reset_index(drop=True))
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(feed, schema)
-
-
-def _frame_ids(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
-    k = pdf[list(keys)]
-    return np.concatenate([[0], np.cumsum((k.to_numpy()[1:] != k.to_numpy()[:-1]).any(axis=1))]) if len(k) else np.zeros(0, int)
-
-
 def _labels(frame: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Smallest row index of each cell's 8-connected component, for many frames at once."""
     n = len(frame)
@@ -160,82 +132,101 @@ def components(cells: DataFrame, keys: Sequence[str] = FRAME, x: str = "x", y: s
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         xs, ys = pdf[x].to_numpy(), pdf[y].to_numpy()
-        first = _labels(_frame_ids(pdf, keys), ys, xs)
+        first = _labels(group_ids(pdf, keys), ys, xs)
         return pdf[[*keys, x, y]].assign(comp_y=ys[first].astype(np.int32), comp_x=xs[first].astype(np.int32))
 
-    return frame_batches(cells.select(*keys, x, y).distinct(), keys, kernel, schema)
+    return group_batches(cells.select(*keys, x, y).distinct(), keys, kernel, schema)
 
 
 def _windows(img: np.ndarray, size: int, mode: str, value: float = 0.0) -> np.ndarray:
+    """Every size x size window of a stack of images (frame, y, x, dy, dx), without copying."""
     h = size // 2
-    pad = np.pad(img, ((h, size - 1 - h), (h, size - 1 - h)), mode=mode, **({"constant_values": value} if mode == "constant" else {}))
-    return np.lib.stride_tricks.sliding_window_view(pad, (size, size))
+    edge = (h, size - 1 - h)
+    pad = np.pad(img, ((0, 0), edge, edge), mode=mode, **({"constant_values": value} if mode == "constant" else {}))
+    return np.lib.stride_tricks.sliding_window_view(pad, (size, size), axis=(1, 2))
 
 
 def _opened(img: np.ndarray, size: int) -> np.ndarray:
-    low = _windows(img, size, "constant", np.inf).min(axis=(2, 3))
-    return _windows(low, size, "constant", -np.inf).max(axis=(2, 3))
+    low = _windows(img, size, "constant", np.inf).min(axis=(3, 4))
+    return _windows(low, size, "constant", -np.inf).max(axis=(3, 4))
 
 
 def _ranked(img: np.ndarray, size: int, percentile: float) -> tuple[np.ndarray, np.ndarray]:
-    """The percentile and the median element of every window, image rows at a time to bound memory."""
+    """The percentile and the median element of every window, a strip of rows at a time to bound memory."""
     view = _windows(img, size, "symmetric")
+    f, high, wide = img.shape
     n = size * size
     at, mid = min(n - 1, int(n * percentile / 100.0)), n // 2
     p, m = np.empty_like(img), np.empty_like(img)
-    for r in range(img.shape[0]):
-        part = np.partition(view[r].reshape(img.shape[1], n), sorted({at, mid}), axis=1)
-        p[r], m[r] = part[:, at], part[:, mid]
+    strip = max(1, STRIP // (f * wide * n))
+    for r in range(0, high, strip):
+        part = np.partition(view[:, r:r + strip].reshape(f, -1, wide, n), sorted({at, mid}), axis=3)
+        p[:, r:r + strip], m[:, r:r + strip] = part[..., at], part[..., mid]
     return p, m
 
 
+STRIP = 8_000_000
+STACK = 300_000
+
+
+def _cleaned(mask: np.ndarray, open_size: int, close_size: int, min_area: int) -> np.ndarray:
+    m = mask.astype(float)
+    if open_size > 1:
+        m = _opened(m, open_size)
+    if close_size > 1:
+        m = -_opened(-m, close_size)
+    f, y, x = np.nonzero(m > 0)
+    if min_area > 1 and len(f):
+        lab = _labels(f, y, x)
+        small = np.bincount(lab, minlength=len(f))[lab] < min_area
+        m[f[small], y[small], x[small]] = 0
+    return m > 0
+
+
+def _tophat_mask(img: np.ndarray, size: int, percentile: float, minimum: float) -> np.ndarray:
+    resp = img - _opened(img, size)
+    limit = np.full(len(img), np.inf)
+    for i, r in enumerate(resp):
+        pos = r[r > 0]
+        if pos.size:
+            limit[i] = np.percentile(pos, percentile)
+    return (resp >= limit[:, None, None]) & (resp >= minimum)
+
+
 def grid_evidence(cells: DataFrame, width: int, height: int, window: int = 5, percentile: float = 80.0, contrast: float = 4.0, tophat: int = 3,
                   tophat_percentile: float = 85.0, min_response: float = 2.0, open_size: int = 0, close_size: int = 0, min_area: int = 0,
                   keys: Sequence[str] = FRAME) -> DataFrame:
     """Local-percentile (bit 2) and top-hat (bit 4) evidence of image cells, each cleaned on its own.
 
     ``cells``: x, y, value per frame; absent cells are dark.  Mirrored edges
-    for the percentile, rectangular kernels for the morphology.
+    for the percentile, rectangular kernels for the morphology.  Small frames
+    are stacked, so the kernels run on many frames at once.
     """
     fields = {f.name: f for f in cells.schema.fields}
     schema = T.StructType([*[fields[k] for k in keys], T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()),
                            T.StructField("value", T.DoubleType()), T.StructField("flags", T.IntegerType())])
 
-    def clean(mask: np.ndarray) -> np.ndarray:
-        m = mask.astype(float)
-        if open_size > 1:
-            m = _opened(m, open_size)
-        if close_size > 1:
-            m = -_opened(-m, close_size)
-        ys, xs = np.nonzero(m > 0)
-        if min_area > 1 and len(ys):
-            lab = _labels(np.zeros(len(ys), int), ys, xs)
-            keep = np.bincount(lab, minlength=len(ys))[lab] >= min_area
-            m = np.zeros_like(m)
-            m[ys[keep], xs[keep]] = 1
-        return m > 0
-
-    def one(img: np.ndarray) -> np.ndarray:
+    def stack(pdf: pd.DataFrame, ids: np.ndarray) -> pd.DataFrame:
+        img = np.zeros((ids[-1] + 1, height, width))
+        img[ids, pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["value"].to_numpy()
         p, m = _ranked(img, window, percentile)
-        local = clean((img >= p) & (img - m >= contrast))
-        resp = img - _opened(img, tophat)
-        pos = resp[resp > 0]
-        top = (resp >= np.percentile(pos, tophat_percentile)) & (resp >= min_response) if pos.size else np.zeros(img.shape, bool)
-        return local * 2 + clean(top) * 4
+        local = _cleaned((img >= p) & (img - m >= contrast), open_size, close_size, min_area)
+        top = _cleaned(_tophat_mask(img, tophat, tophat_percentile, min_response), open_size, close_size, min_area)
+        flags = local * 2 + top * 4
+        f, y, x = np.nonzero(flags)
+        names = pdf[list(keys)].iloc[np.searchsorted(ids, np.arange(ids[-1] + 1))].iloc[f].reset_index(drop=True)
+        return names.assign(x=x.astype(np.int32), y=y.astype(np.int32), value=img[f, y, x], flags=flags[f, y, x].astype(np.int32))[schema.names]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = _frame_ids(pdf, keys)
+        ids = group_ids(pdf, keys)
+        per = max(1, STACK // (height * width))
         out = []
-        for _, rows in pdf.groupby(ids, sort=False):
-            img = np.zeros((height, width))
-            img[rows["y"].to_numpy(), rows["x"].to_numpy()] = rows["value"].to_numpy()
-            flags = one(img)
-            ys, xs = np.nonzero(flags)
-            out.append(pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "x": xs.astype(np.int32), "y": ys.astype(np.int32), "value": img[ys, xs],
-                                     "flags": flags[ys, xs].astype(np.int32)}, index=range(len(ys))))
-        return pd.concat(out, ignore_index=True)[schema.names]
-
-    return frame_batches(cells.select(*keys, "x", "y", "value"), keys, kernel, schema)
+        for first in range(0, ids[-1] + 1, per):
+            a, b = np.searchsorted(ids, [first, first + per])
+            out.append(stack(pdf.iloc[a:b], ids[a:b] - first))
+        return pd.concat(out, ignore_index=True)
+
+    return group_batches(cells.select(*keys, "x", "y", "value"), keys, kernel, schema)
 
 
 def brightness(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from framelake.operators.layout import CHUNK
+from framelake.operators.layout import CHUNK, group_batches, split_groups
 from framelake.session import cut_lineage
 
 Fold = Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]]
@@ -42,17 +42,17 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame,
         ends_schema = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()),
                                     *[T.StructField(f"_end_{s}", T.DoubleType()) for s in state]])
 
-        def run_ends(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(pos)
-            _, end = fold(pdf, tuple(float(pdf[s].iloc[0]) for s in state))
-            head = pdf[group].iloc[:1].reset_index(drop=True)
-            return head.assign(**{f"_end_{s}": float(v) for s, v in zip(state, end)})
+        def run_ends(batch: pd.DataFrame) -> pd.DataFrame:
+            parts = split_groups(batch, group)
+            ends = [fold(p, tuple(float(p[s].iloc[0]) for s in state))[1] for p in parts]
+            head = pd.concat([p[group].iloc[:1] for p in parts], ignore_index=True)
+            return head.assign(**{f"_end_{s}": [float(e[i]) for e in ends] for i, s in enumerate(state)})
 
         guess, ends, stale = cut_lineage(guess), None, None
         after = W.partitionBy(*keys).orderBy("_chunk")
         while stale is None or stale.count():
             todo = rows.join(guess if stale is None else stale, group)
-            fresh = todo.groupBy(*group).applyInPandas(run_ends, ends_schema)
+            fresh = group_batches(todo, group, run_ends, ends_schema, [pos])
             ends = cut_lineage(fresh if ends is None else ends.join(fresh, group, "left_anti").unionByName(fresh))
             shifted = ends.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), *[F.col(f"_end_{s}") for s in state])
             both = guess.join(shifted, group, "left")
@@ -64,13 +64,12 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame,
 
     schema = T.StructType([*key_fields, by_name[pos], *out.fields])
 
-    def run_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        new, _ = fold(pdf, tuple(float(pdf[s].iloc[0]) for s in state))
-        base = pdf[[*keys, pos]].reset_index(drop=True)
-        return pd.concat([base, new.reset_index(drop=True)], axis=1)[schema.names]
+    def run_rows(batch: pd.DataFrame) -> pd.DataFrame:
+        new = [fold(p, tuple(float(p[s].iloc[0]) for s in state))[0] for p in split_groups(batch, group)]
+        base = batch[[*keys, pos]].reset_index(drop=True)
+        return pd.concat([base, pd.concat(new, ignore_index=True)], axis=1)[schema.names]
 
-    return rows.join(guess, group).groupBy(*group).applyInPandas(run_rows, schema)
+    return group_batches(rows.join(guess, group), group, run_rows, schema, [pos])
 
 
 def scan_products(df: DataFrame, keys: Sequence[str], pos: str, matrix: str, name: str = "total",

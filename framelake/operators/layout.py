@@ -8,8 +8,10 @@ few border rows a chunk needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CHUNK = 65_536
@@ -163,18 +165,46 @@ def percentile_table(df: DataFrame, keys: Sequence[str], asked: dict[str, tuple[
         F.max(F.when(F.col("_metric") == c, F.col(f"_q{qs.index(q)}"))).alias(n) for n, (c, q) in asked.items()])
 
 
-def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Pairs of a text row and a needle it contains, without comparing every text with every needle.
 
-    Every substring of a text that has the length of some needle is hashed and
-    met by equality; the match is then verified.  Needles are short names, so
-    their lengths are few.
+def group_batches(df: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema, order: Sequence[str] = ()) -> DataFrame:
+    """Run ``kernel`` on batches of whole groups, sorted by group and ``order``.
+
+    For groups of bounded size (a frame, a chunk).  Many small groups share a
+    batch; a group cut by an Arrow batch boundary waits for its other rows.
     """
-    n = needles.select(needle).distinct().filter(F.length(needle) > 0).withColumns({"_len": F.length(needle), "_hash": F.xxhash64(needle)})
-    lengths = needles.filter(F.length(needle) > 0).agg(F.collect_set(F.length(needle))).scalar()
-    cut = texts.withColumn("_lens", lengths).withColumn("_chars", F.split(text, r"(?!^)(?!\z)"))
-    size = F.size("_chars")
-    per_length = F.transform(F.filter("_lens", lambda l: l <= size), lambda l: F.transform(
-        F.sequence(F.lit(1), size - l + 1), lambda i: F.xxhash64(F.array_join(F.slice("_chars", i, l), ""))))
-    parts = cut.withColumn("_hash", F.explode(F.array_distinct(F.flatten(per_length)))).drop("_lens", "_chars")
-    return parts.join(n, "_hash").filter(F.contains(F.col(text), F.col(needle))).drop("_hash", "_len")
+    keys = list(keys)
+
+    def feed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            tail = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy()
+            if tail.all() and held and (held[-1][keys].iloc[-1] == b[keys].iloc[-1]).all():
+                held.append(b)
+                continue
+            done = pd.concat([*held, b[~tail]], ignore_index=True)
+            if len(done):
+                yield kernel(done)
+            held = [b[tail]]
+        if held:
+            yield kernel(pd.concat(held, ignore_index=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(feed, schema)
+
+
+def group_ids(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """0, 1, 2 ... for consecutive groups of a sorted batch."""
+    if not len(pdf):
+        return np.zeros(0, int)
+    new = np.zeros(len(pdf), bool)
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def split_groups(pdf: pd.DataFrame, keys: Sequence[str]) -> list[pd.DataFrame]:
+    ids = group_ids(pdf, keys)
+    cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(pdf)]
+    return [pdf.iloc[i:j] for i, j in zip(cuts, cuts[1:])]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framelake.functions.names import hash_number, hash_order
 from framelake.functions.ratios import col
@@ -144,15 +144,19 @@ def stride_frames(df: DataFrame, stride: int, start: int = 0, max_frames: int |
 
 
 def missing_numbers(df: DataFrame, number: str, report: int = 10) -> DataFrame:
-    """Numbers absent from 1..max of each video: how many, and the first few."""
-    top = df.groupBy(KEY).agg(F.max(number).alias("_m"))
-    absent = top.select(KEY, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m").cast("bigint"))).alias("_i")).join(
-        df.select(KEY, F.col(number).cast("bigint").alias("_i")), [KEY, "_i"], "left_anti")
-    from pyspark.sql import Window as W
-    total = absent.groupBy(KEY).agg(F.count(F.lit(1)).alias("missing"))
-    first = absent.withColumn("_r", F.row_number().over(W.partitionBy(KEY).orderBy("_i"))).filter(F.col("_r") <= report)
-    listed = first.groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_i")), lambda v: v.cast("string")), ",").alias("first_missing"))
-    return total.join(listed, KEY)
+    """Numbers absent from 1..max of each video: how many, and the first few.
+
+    Only the starts of the first gaps are spelt out, never the whole range.
+    """
+    have = df.select(KEY, F.col(number).cast("bigint").alias("_i")).filter(F.col("_i") >= 1).distinct()
+    count = have.groupBy(KEY).agg((F.max("_i") - F.count(F.lit(1))).alias("missing"), F.max("_i").alias("_top")).filter("missing > 0")
+    zero = have.select(KEY).distinct().withColumn("_i", F.lit(0).cast("bigint"))
+    after = have.unionByName(zero).withColumn("_i", F.col("_i") + 1).join(have, [KEY, "_i"], "left_anti")
+    first = lambda d: d.withColumn("_r", F.row_number().over(W.partitionBy(KEY).orderBy("_i"))).filter(F.col("_r") <= report).drop("_r")
+    near = first(after).select(KEY, F.explode(F.sequence(F.col("_i"), F.col("_i") + report - 1)).alias("_i")).distinct()
+    near = near.join(have, [KEY, "_i"], "left_anti").join(count.select(KEY, "_top"), KEY).filter(F.col("_i") < F.col("_top"))
+    listed = first(near).groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_i")), lambda v: v.cast("string")), ",").alias("first_missing"))
+    return count.drop("_top").join(listed, KEY)
 
 
 def temporal_sample(df: DataFrame, every: int, seed: str | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from framelake import schemas as SC
 from framelake.functions import names as N
-from framelake.operators.layout import contains_join, lookup, with_position
+from framelake.operators.layout import lookup, with_position
+from framelake.operators.textmatch import contains_join
 
 
 def path_list(lines: DataFrame, base: str) -> DataFrame:
@@ -155,7 +156,7 @@ def match_artifacts(videos: DataFrame, summary: DataFrame, files: DataFrame, suf
     """Artifact of each video: summary row, else exact file name, else unique path that contains the name."""
     tiers = summary.select("video_name", "path", F.lit(1).alias("tier"))
     exact = videos.join(files.withColumn("_s", N.stem("path")), F.concat("video_name", F.lit(suffix)) == F.col("_s")).select("video_name", "path", F.lit(2).alias("tier"))
-    inside = contains_join(files.select("path"), "path", videos, "video_name").select("video_name", "path", F.lit(3).alias("tier"))
+    inside = contains_join(files.select("path").distinct(), "path", "path", videos, "video_name").select("video_name", "path", F.lit(3).alias("tier"))
     found = tiers.join(videos, "video_name", "left_semi").unionByName(exact).unionByName(inside)
     best = found.groupBy("video_name", "tier").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path"))
     best = best.groupBy("video_name").agg(F.min_by(F.struct("tier", "_n", "path"), "tier").alias("b"))
