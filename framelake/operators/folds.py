@@ -96,12 +96,12 @@ def scan_products(df: DataFrame, keys: Sequence[str], pos: str, matrix: str, nam
             m[i] = acc
         return m[:, :3, :].reshape(-1, 12)
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        return pdf[[*keys, pos, "_chunk"]].reset_index(drop=True).assign(_p=list(multiply(pdf, pos)))
+    def inside(batch: pd.DataFrame) -> pd.DataFrame:
+        done = [multiply(p, pos) for p in split_groups(batch, [*keys, "_chunk"])]
+        return batch[[*keys, pos, "_chunk"]].assign(_p=list(np.concatenate(done)))
 
-    local = cut.groupBy(*keys, "_chunk").applyInPandas(inside, T.StructType(
-        [*[fields[k] for k in keys], fields[pos], fields["_chunk"], T.StructField("_p", vec)]))
+    local = group_batches(cut, [*keys, "_chunk"], inside, T.StructType(
+        [*[fields[k] for k in keys], fields[pos], fields["_chunk"], T.StructField("_p", vec)]), [pos])
     ends = local.groupBy(*keys, "_chunk").agg(F.max_by("_p", pos).alias("_m"))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -159,9 +159,11 @@ def directed_hausdorff(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     pairs = cand.join(best, [KEY, "block_l"]).filter(F.col("_low") <= F.col("_best") * (1 + 1e-12)).select(KEY, "block_l", "block_r")
     blk = F.floor(F.col(POS) / BLOCK).cast("bigint")
     l = a.select(KEY, POS, blk.alias("block_l"), "cx", "cy", "cz")
-    r = b.select(KEY, blk.alias("block_r"), *[F.col(f"c{c}").alias(f"d{c}") for c in "xyz"])
+    # A run of the other side is one array of at most BLOCK positions, so rows are not paired up.
+    r = b.groupBy(KEY, blk.alias("block_r")).agg(F.collect_list(F.struct("cx", "cy", "cz")).alias("_run"))
     rows = pairs.join(l, [KEY, "block_l"]).join(r, [KEY, "block_r"])
-    d = sum(((F.col(f"c{c}") - F.col(f"d{c}")) ** 2 for c in "yz"), (F.col("cx") - F.col("dx")) ** 2)
+    x, y, z = F.col("cx"), F.col("cy"), F.col("cz")
+    d = F.array_min(F.transform("_run", lambda q: (x - q["cx"]) * (x - q["cx"]) + (y - q["cy"]) * (y - q["cy"]) + (z - q["cz"]) * (z - q["cz"])))
     nearest = rows.groupBy(KEY, POS).agg(F.min(d).alias("_d"))
     return nearest.groupBy(KEY).agg(F.sqrt(F.max("_d")).alias(name))
 

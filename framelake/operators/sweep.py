@@ -152,41 +152,60 @@ def ablation_deltas(table: DataFrame) -> DataFrame:
                     F.when((F.col("ablation") != "full"), ratio(F.col("rescued") * 1000.0, added, NULL)).alias("rescued_per_1000"))
 
 
-def _front(pdf: pd.DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Rows of a block no other row of it dominates; all columns are costs."""
-    v = pdf[list(cols)].to_numpy(float)
-    keep = np.ones(len(v), bool)
-    for i in range(len(v)):
-        if keep[i]:
-            worse = (v >= v[i]).all(axis=1) & (v > v[i]).any(axis=1)
-            keep &= ~worse
-    return keep
-
-
-def pareto(df: DataFrame, low: Sequence[str], high: Sequence[str], blocks: Sequence[int] = (64, 8, 1)) -> DataFrame:
+def _dominated(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which cost vectors some other vector beats or equals everywhere and beats somewhere."""
+    out = np.zeros(len(v), bool)
+    order = np.argsort(np.where(np.isfinite(by), by, 1e300).sum(axis=1))  # strong rows first
+    alive = np.arange(len(v))
+    for d in by[order]:
+        if not len(alive):
+            break
+        rows = v[alive]
+        hit = (d <= rows).all(axis=1) & (d < rows).any(axis=1)
+        out[alive[hit]] = True
+        alive = alive[~hit]
+    return out
+
+
+def pareto(df: DataFrame, low: Sequence[str], high: Sequence[str], blocks: int = 8) -> DataFrame:
     """Rows not dominated in any objective; equal rows keep each other.
 
-    Missing and infinite values count as the worst.  Blocks drop their own
-    dominated rows first and the survivors meet in fewer blocks, so the last
-    block holds candidates of the front only.
+    Missing and infinite values count as the worst.  Distinct cost vectors
+    first lose to others of their Arrow batch; the survivors are cut into
+    blocks and every block is held against every other one in its own task, so
+    no task sees the whole front.
     """
     big = F.lit(float("inf"))
-    cost = {f"_o{i}": F.coalesce(finite(c), big) for i, c in enumerate(low)}
-    cost |= {f"_h{i}": F.coalesce(-finite(c), big) for i, c in enumerate(high)}
-    out = df.withColumns(cost)
+    cost = {f"_o{i}": F.coalesce(finite(c).cast("double"), big) for i, c in enumerate(low)}
+    cost |= {f"_h{i}": F.coalesce(-finite(c).cast("double"), big) for i, c in enumerate(high)}
     names = list(cost)
-    for n in blocks:
-        out = out.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(n)).cast("int"))
-        schema = out.schema
-        out = out.groupBy("_block").applyInPandas(lambda pdf: pdf[_front(pdf, names)], schema)
-    return out.drop("_block", *names)
+    rows = df.withColumns(cost)
+    vectors = rows.select(*names).distinct()
 
+    def thin(batches):
+        for b in batches:
+            v = b.to_numpy(float)
+            yield b[~_dominated(v, v)]
 
-def rank_finite(df: DataFrame, value: str, descending: bool, bucket: Column | None = None, name: str = "rank", tie: str = "video_name") -> DataFrame:
-    """1-based rank of finite values, ties by name."""
+    left = vectors.mapInPandas(thin, vectors.schema)
+    home, all_blocks = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    judged = left.withColumn("_a", home).withColumn("_b", all_blocks).withColumn("_judge", F.lit(False))
+    judges = left.withColumn("_b", home).withColumn("_a", all_blocks).withColumn("_judge", F.lit(True))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, judge = pdf[names].to_numpy(float), pdf["_judge"].to_numpy(bool)
+        return pdf.loc[~judge, names][_dominated(v[~judge], v[judge])]
+
+    beaten = judged.unionByName(judges).groupBy("_a", "_b").applyInPandas(meet, vectors.schema).distinct()
+    front = left.join(beaten, names, "left_anti")
+    return rows.join(front, names, "left_semi").drop(*names)
+
+
+def rank_finite(df: DataFrame, value: str, descending: bool, bucket: Column, name: str = "rank", tie: str = "video_name") -> DataFrame:
+    """1-based rank of finite values, ties by name.  ``bucket`` grows with the rank."""
     v = df.withColumn("_v", finite(value)).filter(F.col("_v").isNotNull())
     key = -F.col("_v") if descending else F.col("_v")
-    return with_position(v.withColumn("_k", key), [], ["_k", tie], F.lit(0) if bucket is None else bucket, name).withColumn(name, F.col(name) + 1).drop("_v", "_k")
+    return with_position(v.withColumn("_k", key), [], ["_k", tie], bucket, name).withColumn(name, F.col(name) + 1).drop("_v", "_k")
 
 
 def hard_cases(df: DataFrame, target: int, seed: str) -> DataFrame:

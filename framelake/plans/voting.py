@@ -130,7 +130,6 @@ def multi_level(spark, d):
     ON p.video_name = w.video_name AND p.frame_order BETWEEN w.start_frame AND w.end_frame GROUP BY 1, 2, 3, 4""", "windows")
 def window_summary(spark, d):
     p = V.points(spark, d)
-    spans = WI.frame_spans(p)
     rows = WI.into_windows(p, 12, 6).filter("source_flags = 8")
     return WI.window_summary(rows, WI.frame_windows(p, 12, 6))
 
@@ -198,7 +197,7 @@ def scoring_chunks(spark, d):
   SELECT video_name, frame_order, n AS real_points, m - n AS pad_points, (m - n) * -1 AS label_sum_of_padding FROM b""", "points")
 def padded_batches(spark, d):
     p = V.points(spark, d).select("video_name", "frame_order", "point_index", "point_label", "intensity")
-    slots = WI.with_position(p, ["video_name", "frame_order"], ["point_index"], F.lit(0), "slot")
+    slots = WI.with_position(p, ["video_name", "frame_order"], ["point_index"], F.floor(F.col("point_index") / F.lit(2 ** 47)), "slot")
     out = WI.padded(slots, "video_name", "frame_order", "slot", {"point_label": -1, "intensity": 0})
     return out.groupBy("video_name", "frame_order").agg(
         F.count_if(~F.col("is_padding")).alias("real_points"), F.count_if("is_padding").alias("pad_points"),
