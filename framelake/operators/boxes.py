@@ -170,32 +170,33 @@ def _readings(files: DataFrame) -> DataFrame:
     A padded number must have one of the known widths; a plain one is the
     first choice.
     """
-    name, folder = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
-    token = F.regexp_extract(name, r"(\d+)\.xml$", 1)
-    before = F.substring(name, F.lit(1), F.length(name) - F.length(token) - 4)
+    # Parts that are read several times become columns, so each is worked out once.
+    cut = files.select("path").distinct().withColumn("_name", F.substring_index("path", "/", -1))
+    cut = cut.withColumn("_token", F.regexp_extract("_name", r"(\d+)\.xml$", 1)).filter(F.col("_token") != "")
+    cut = cut.withColumn("_before", F.substring("_name", F.lit(1), F.length("_name") - F.length("_token") - 4))
+    cut = cut.withColumn("_folder", F.rtrim(F.substring("path", F.lit(1), F.length("path") - F.length("_name")), F.lit("/")))
+    token, before, folder = F.col("_token"), F.col("_before"), F.col("_folder")
     plain = token == token.cast("decimal(38,0)").cast("string")
     width = F.when(plain, 0)
     for i, n in enumerate(NUMBER_WIDTHS):
         if n:
             width = width.when(F.length(token) == n, i)
     null = F.lit(None).cast("string")
-    shapes = []
+    shape = lambda i, named: F.struct(F.lit(i).alias("shape"), named.alias("named"))
+    shapes = [F.when(before == "", shape(0, null)).when(before == "frame_", shape(1, null))]
     for i, p in enumerate(NAME_PREFIXES):
         if p.startswith("VIDEO"):
             end = p[5:]
-            ok = before.endswith(end) & (F.length(before) > len(end))
-            shapes.append(F.when(ok, F.struct(F.lit(i).alias("shape"), F.substring(before, F.lit(1), F.length(before) - len(end)).alias("named"))))
-        else:
-            shapes.append(F.when(before == p, F.struct(F.lit(i).alias("shape"), null.alias("named"))))
-    parts = F.split(folder, "/")
-    depth = F.when(folder == "", 0).otherwise(F.size(parts))
-    one = F.struct(F.lit(1).alias("dir"), folder.alias("held"))
-    dirs = [F.when(depth == 0, F.struct(F.lit(0).alias("dir"), null.alias("held"))), F.when(depth == 1, one)]
-    for i, dname in enumerate(ANNOTATION_DIRS):
-        dirs.append(F.when((depth == 1) & (folder == dname), F.struct(F.lit(2 + i).alias("dir"), null.alias("held"))))
-        dirs.append(F.when((depth == 2) & (F.get(parts, F.lit(1)) == dname), F.struct(F.lit(2 + len(ANNOTATION_DIRS) + i).alias("dir"), F.get(parts, F.lit(0)).alias("held"))))
+            named = F.substring(before, F.lit(1), F.length(before) - len(end))
+            shapes.append(F.when(before.endswith(end) & (F.length(before) > len(end)), shape(i, named)))
+    place = lambda i, held: F.struct(i.cast("int").alias("dir"), held.alias("held"))
+    first, last = F.substring_index(folder, "/", 1), F.substring_index(folder, "/", -1)
+    known = F.array_position(F.array(*[F.lit(n) for n in ANNOTATION_DIRS]), last)
+    single, double = (folder != "") & (first == folder), (first != folder) & (F.concat_ws("/", first, last) == folder)
+    dirs = [F.when(folder == "", place(F.lit(0), null)).when(single, place(F.lit(1), folder)).when(double & (known > 0), place(known + 1 + len(ANNOTATION_DIRS), first)),
+            F.when(single & (known > 0), place(known + 1, null))]
     some = lambda a: F.filter(F.array(*a), lambda v: v.isNotNull())
-    out = files.select("path").distinct().filter(name.rlike(r"\d\.xml$")).select("path", token.cast("bigint").alias("number"), width.alias("width"), some(shapes).alias("_s"), some(dirs).alias("_d"))
+    out = cut.select("path", token.cast("bigint").alias("number"), width.alias("width"), some(shapes).alias("_s"), some(dirs).alias("_d"))
     out = out.filter(F.col("width").isNotNull()).withColumn("_s", F.explode("_s")).withColumn("_d", F.explode("_d")).select("path", "number", "width", "_s.*", "_d.*")
     return out.filter(F.col("named").isNull() | F.col("held").isNull() | (F.col("named") == F.col("held"))).select(
         "path", "number", "width", "shape", "dir", F.coalesce("named", "held").alias("video"))

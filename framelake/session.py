@@ -14,13 +14,12 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` of the session wins.  Only a local master may fall
     back to a temporary folder: on a cluster executors could not see it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -210,6 +210,17 @@ def test_grid_evidence_equals_brute_force(spark, min_area):
     assert mine == want
 
 
+@pytest.mark.parametrize("size", [3, 9, 17])
+def test_both_rank_filters_agree(size):
+    rng = np.random.default_rng(3)
+    img = rng.integers(0, 40, (2, 12, 15)).astype(float)
+    n = size * size
+    at, mid = min(n - 1, int(n * 0.8)), n // 2
+    win = np.sort(E._windows(img, size, "symmetric").reshape(2, 12, 15, n), axis=3)
+    for got in (E._ranked(img, size, 80.0), E._counted(img, np.unique(img), size, at, mid)):
+        assert (got[0] == win[..., at]).all() and (got[1] == win[..., mid]).all()
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_contains_join_both_ways(spark, limit):
     texts = ["abc scan_12 x", "scan_123", "é scan_1", "", "nothing here", "日本 scan_12日本"]
