@@ -7,8 +7,6 @@ unrolled arithmetic, so whole-stage code generation covers it.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 from .ratios import col
@@ -133,7 +131,3 @@ def corners(width: Column, height: Column) -> Column:
         F.struct(F.lit(i).alias("corner"), x.cast("double").alias("x"), y.cast("double").alias("y"))
         for i, (x, y) in enumerate(pts)
     ])
-
-
-def right_angle() -> float:
-    return math.pi / 2

@@ -8,12 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from .ratios import col
 
-# Recording id and host path patterns looked for in shared texts.
+# Fixed value: shape of a recording id inside names and texts.
 RECORDING_ID = r"\d{8}_\d{6}_\d+"
-HOST_PATH = r"(?:/home/|/mnt/|/data/|/root/|/Users/|[A-Za-z]:\\)"
-PATH_KEY = r"(?i)(?:^|_)(?:path|paths|dir|root|file|checkpoint)$"
-# A recording id, or the words that mark an absolute path value.
-ABSOLUTE = r"^(?:/|[A-Za-z]:\\)"
 
 
 def basename(path: Column | str) -> Column:
