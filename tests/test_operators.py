@@ -329,3 +329,17 @@ def test_candidate_ties(spark):
                                                "video_name long, frame_order long, bbox_index long, source string, component long, cells string")
     assert B.pick_ranked(sc, cells("x", "x")).first()["selected_source"] == "shared"
     assert B.pick_ranked(sc, cells("x", "y")).first()["reason"] == "ambiguous_equal_candidates"
+
+
+def test_cleanup_opens_and_closes_like_plain_loops():
+    rng = np.random.default_rng(12)
+    mask = rng.random((3, 9, 12)) < 0.6
+
+    def spread(m, k, worst):
+        h = k // 2
+        return np.array([[worst(m[max(0, y - h): y + h + 1, max(0, x - h): x + h + 1]) for x in range(m.shape[1])] for y in range(m.shape[0])])
+
+    got = E._cleaned(mask, 3, 5, 0)
+    for g, m in zip(got, mask):
+        opened = spread(spread(m, 3, np.min), 3, np.max)
+        assert (g == spread(spread(opened, 5, np.max), 5, np.min)).all()
