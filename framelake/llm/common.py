@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql import Window as W
@@ -40,16 +40,19 @@ def ranked(df: DataFrame, order: Sequence[str], amount: str | None = None) -> Da
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_sum", T.LongType())])
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, total = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            size = b[amount].to_numpy(np.int64) if amount else np.ones(len(b), np.int64)
+            n = b.num_rows
+            if not n:
+                continue
+            size = b[amount].to_numpy(zero_copy_only=False).astype(np.int64) if amount else np.ones(n, np.int64)
             ends = total + np.cumsum(size)
-            b["_part"], b["_at"], b["_sum"] = np.int32(part), np.arange(at, at + len(b)), ends - size
-            yield b
-            at, total = at + len(b), int(ends[-1]) if len(b) else total
+            out = {c: b[c] for c in b.schema.names} | {"_part": pa.array(np.full(n, part, np.int32)), "_at": pa.array(np.arange(at, at + n)), "_sum": pa.array(ends - size)}
+            yield pa.record_batch(out)
+            at, total = at + n, int(ends[-1])
 
-    rows = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(number, schema))
+    rows = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(number, schema))
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.lit(1) if amount is None else F.col(amount)).alias("_s"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_n", "_s")])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash_dedup
+from . import bpe, fingerprints, packing, secret_scan, simhash_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def vocabulary() -> str:
+    """The public vocabulary file; every host has it at this path."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, sf_dir):
     return simhash_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_bpe_codec")
+def op5(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op6_document_fingerprints")
+def op6(spark, sf_dir):
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scans")
+def op8(spark, sf_dir):
+    """A source owns its documents; its languages are its repositories."""
+    return secret_scan.scanned(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
