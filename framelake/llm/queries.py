@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chatformat, fingerprints, packing, reshard, secret_scan, simhash_dedup
+from . import bpe, chatformat, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op6(spark, sf_dir):
 def op8(spark, sf_dir):
     """A source owns its documents; its languages are its repositories."""
     return secret_scan.scanned(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+@query("op10_hilbert_neighbours")
+def op10(spark, sf_dir):
+    """Every twentieth vector against all others."""
+    return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
