@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelake.llm import simhash_dedup
+from framelake.llm import packing, queries, secret_scan, simhash_dedup, toxicity
+from framelake.llm.common import stored, table
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it learns from ``labels``."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +18,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in place, copied examples with a mark of their own; every document stays."""
+    return secret_scan.masked(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    return packing.packed(docs, queries.vocabulary())
+
+
+STAGES = [("toxicity", not_toxic), ("simhash_near_dedup", near_duplicates), ("secret_scans", without_secrets), ("best_fit_packing", packed)]
+# The tokenizer and the trained classifier have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    from framelake.llm.common import stored, table
-
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))

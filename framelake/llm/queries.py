@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chatformat, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup
+from . import bpe, chatformat, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup, toxicity, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,12 +78,41 @@ def op6(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_secret_scans")
 def op8(spark, sf_dir):
     """A source owns its documents; its languages are its repositories."""
     return secret_scan.scanned(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+@query("op9_warc_fixity", r"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+b AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN html || '!' ELSE html END AS html FROM a WHERE page_id % 389 <> 7
+  UNION ALL SELECT page_id + 1000000000, url, html FROM a WHERE page_id % 997 = 11),
+said AS (
+  SELECT side, page_id, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || url || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+    || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS r
+  FROM (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b), (SELECT chr(13) || chr(10) AS nl)),
+recs AS (SELECT side, page_id, page_id // 4096 AS file, sha256(r) AS h, strlen(r) AS length, count(*) AS copies FROM said GROUP BY ALL),
+placed AS (SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY side, file ORDER BY page_id, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM recs),
+ids AS (SELECT side, page_id, file, min(o) AS s, max(o + length * copies)::BIGINT AS e, sha256(string_agg(h || ':' || copies, ',' ORDER BY h, copies)) AS hash FROM placed GROUP BY ALL)
+SELECT coalesce(x.page_id, y.page_id) AS page_id, CASE WHEN y.page_id IS NULL THEN 'missing' WHEN x.page_id IS NULL THEN 'extra' ELSE 'altered' END AS fault,
+  coalesce(x.file, y.file) AS file, x.s AS start_a, x.e AS end_a, y.s AS start_b, y.e AS end_b, x.hash AS hash_a, y.hash AS hash_b
+FROM (SELECT * FROM ids WHERE side = 'a') x FULL JOIN (SELECT * FROM ids WHERE side = 'b') y ON x.page_id = y.page_id
+WHERE x.hash IS DISTINCT FROM y.hash""")
+def op9(spark, sf_dir):
+    """The pages against a replica in which some were altered, some lost and some added."""
+    a = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    bad = F.when(F.col("page_id") % 97 == 5, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html"))
+    b = a.filter("page_id % 389 != 7").withColumn("html", bad).union(a.filter("page_id % 997 = 11").withColumn("page_id", F.col("page_id") + 1_000_000_000))
+    return warc.audit(a, b)
+
+
 @query("op10_hilbert_neighbours")
 def op10(spark, sf_dir):
     """Every twentieth vector against all others."""
