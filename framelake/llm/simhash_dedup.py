@@ -106,6 +106,17 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             .select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct())
 
 
+def _classed(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, text_hash, root, component_id`` per row; ``root`` is the component's smallest fingerprint."""
+    marked = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints("text").alias("fp")))
+    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    root = components(links(fps.select("fp")))
+    named = fps.join(root.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = named.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(of, "fp")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fingerprint``, ``component_id`` for every row of ``docs (doc_id, text)``.
 
@@ -113,17 +124,18 @@ def classes(docs: DataFrame) -> DataFrame:
     link like any other.  Repeated rows each keep a row.  Null ids are never a
     component's name unless all its ids are null.
     """
-    marked = stored(docs.select("doc_id", fingerprints("text").alias("fp")))
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(fps.select("fp")))
-    named = fps.join(root.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", bit_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return _classed(docs).select("doc_id", bit_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents that are the first of their group: one row each, whatever the number of repeated rows."""
-    cols = docs.columns
-    named = classes(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+    """One document of each group: that with the smallest id, then the smallest hash of its text.
+
+    A document without id stays only where its whole group has none; of
+    repeated rows one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("h"))
+    first = _classed(docs).groupBy("root").agg(F.min(key).alias("k")).select("k.no_id", "k.id", "k.h")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"),
+                        F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+    kept = named.join(first, ["no_id", "id", "h"]).dropDuplicates(["no_id", "id", "h"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
