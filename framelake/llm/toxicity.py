@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .bpe import Recent
 from .common import stored
 
 # The lexicon.
@@ -30,6 +31,7 @@ VOTERS = 300      # mined voters, the least likely by chance first
 BEGINNINGS = (3, 4, 5, 6)
 BURST = 3         # different words with one beginning that make its voter vote
 DOUBT = 0.05      # chance that any sign of a family (words, beginnings) is mined though it says nothing
+ANCHOR = 0.98     # accuracy of the labels themselves
 _REMEMBERED = 200_000
 _FLUSH = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,10 +52,9 @@ class Signals:
     """How strongly each voter's sign shows in a text: log of one more than its words."""
 
     def __init__(self, voters: list[str]):
-        self.size = len(voters)
         self.word = {v: i for i, v in enumerate(voters) if not v.endswith("*")}
         self.start = {v[:-1]: i for i, v in enumerate(voters) if v.endswith("*")}
-        self.known: dict[str, tuple] = {}
+        self.known = Recent(self._look, _REMEMBERED)
 
     def _look(self, piece: str) -> tuple:
         out = []
@@ -61,19 +62,13 @@ class Signals:
             if w in self.word:
                 out.append((w, self.word[w]))
             out += [(w, self.start[w[:k]]) for k in BEGINNINGS if len(w) >= k and w[:k] in self.start]
-        if len(self.known) >= _REMEMBERED:
-            self.known.clear()
-        got = self.known[piece] = tuple(out)
-        return got
+        return tuple(out)
 
     def counts(self, text: str | None) -> dict[int, int]:
         """Voter -> different words of the text that carry its sign; words of the lexicon kind count once each."""
         known, seen = self.known, set()
         for piece in set((text or "").split()):
-            got = known.get(piece)
-            if got is None:
-                got = self._look(piece)
-            if got:
+            if got := known[piece]:
                 seen.update(got)
         return Counter(i for _, i in seen)
 
@@ -117,17 +112,21 @@ def mined(sample: DataFrame, rate: float) -> list[str]:
     return [rows[i]["sign"] for i in order if p[i] < np.log(DOUBT / tried[rows[i]["sign"].endswith("*")])][:VOTERS]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, anchored: int = 0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 and voters' accuracies from votes in {-1, 0, 1} (rows x voters, 0 abstains).
 
     Expectation and maximisation in turn.  A voter's evidence is divided by
     how much it is correlated, inside the classes, with others, so that copies
-    of one opinion count about once.
+    of one opinion count about once.  The last ``anchored`` voters keep the
+    stated accuracy ``ANCHOR`` and full weight, so that the classes stay those
+    that they mean and do not drift to whatever many voters agree on.
     """
     n, m = votes.shape
     accuracy, weight, post = np.full(m, 0.8), np.ones(m), np.full(n, prior)
     cast = np.abs(votes)
     base = np.log(prior / (1 - prior))
+    fixed = np.arange(m) >= m - anchored
+    accuracy[fixed] = ANCHOR
     for step in range(rounds):
         odds = base + votes @ (weight * np.log(accuracy / (1 - accuracy)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -135,17 +134,17 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
             break
         post = new
         right = np.where(votes > 0, post[:, None], 1 - post[:, None]) * cast
-        accuracy = np.clip((right.sum(0) + 4) / (cast.sum(0) + 5), 0.55, 0.999)
+        accuracy = np.where(fixed, ANCHOR, np.clip((right.sum(0) + 4) / (cast.sum(0) + 5), 0.55, 0.999))
         residual = votes - np.outer(post, (votes * post[:, None]).sum(0) / max(post.sum(), 1e-9)) - np.outer(1 - post, (votes * (1 - post)[:, None]).sum(0) / max((1 - post).sum(), 1e-9))
         cov = residual.T @ residual / n
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         rho = np.clip(cov / np.outer(sd, sd), 0, 1)
         np.fill_diagonal(rho, 1)
-        weight = 1 / np.where(rho > 0.3, rho, 0).sum(1).clip(min=1)
+        weight = np.where(fixed, 1, 1 / np.where(rho > 0.3, rho, 0).sum(1).clip(min=1))
     return post, accuracy
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a ridge logistic regression on soft labels, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -162,18 +161,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
 @dataclass
 class Model:
     voters: list[str]
-    weights: np.ndarray  # one per voter, one for the number of different signs, the bias
+    weights: np.ndarray  # one per voter, one for the number of different signs, one for any vote, the bias
     accuracy: np.ndarray
 
 
-def features(counts: dict[int, int], size: int) -> np.ndarray:
-    x = np.zeros(size + 1)
+def features(counts: dict[int, int], least: list[int]) -> np.ndarray:
+    """Strength of each sign, how many signs, and whether any is strong enough (``least`` words) for a vote."""
+    x = np.zeros(len(least) + 2)
     for i, n in counts.items():
         x[i] = np.log1p(n)
-    x[size] = np.log1p(len(counts))
+    x[-2] = np.log1p(len(counts))
+    x[-1] = any(n >= least[i] for i, n in counts.items())
     return x
 
 
+def needed(voters: list[str]) -> list[int]:
+    return [BURST if v.endswith("*") else 1 for v in voters]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``labels (doc_id, toxic)`` that may be learned from; rows without id or label are left out.
 
@@ -187,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, toxic = got["n"], got["t"] or 0
     if not 0 < toxic < n:
-        return Model(LEXICON, np.array([4.0] * len(LEXICON) + [0.0, -3.0]), np.full(len(LEXICON), 0.9))
+        return Model(LEXICON, np.array([0.0] * (len(LEXICON) + 1) + [6.0, -3.0]), np.full(len(LEXICON), 0.9))
     rate = toxic / n
     voters = LEXICON + [v for v in mined(rows, rate) if v not in LEXICON]
 
@@ -199,14 +204,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     seen = [(r["toxic"], dict(zip(r["at"], r["n"]))) for r in rows.select("toxic", "text").mapInArrow(look, "toxic int, at array<int>, n array<int>").collect()]
     y, m = np.array([t for t, _ in seen], float), len(voters)
-    x = np.array([features(c, m) for _, c in seen])
+    least = needed(voters)
+    x = np.array([features(c, least) for _, c in seen])
     fires = np.zeros((len(seen), m))
     for r, (_, c) in enumerate(seen):
         for i, k in c.items():
-            fires[r, i] = k >= (BURST if voters[i].endswith("*") else 1)
+            fires[r, i] = k >= least[i]
     # two more voters: silence of all others speaks for a clean text, and the label itself
     silence, label = -(fires.sum(1) == 0).astype(float), 2 * y - 1
-    post, accuracy = label_model(np.column_stack([fires, silence, label]), min(max(rate, 0.01), 0.99))
+    post, accuracy = label_model(np.column_stack([fires, silence, label]), min(max(rate, 0.01), 0.99), anchored=1)
     return Model(voters, logistic(x, post), accuracy)
 
 
@@ -216,12 +222,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     base = 1 / (1 + np.exp(-weights[-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Signals(voters)
+        s, least = Signals(voters), needed(voters)
         for b in batches:
             out = np.full(b.num_rows, base)
             for r, t in enumerate(b["text"].to_pylist()):
                 if c := s.counts(t):
-                    out[r] = 1 / (1 + np.exp(-np.clip(features(c, s.size) @ weights[:-1] + weights[-1], -30, 30)))
+                    out[r] = 1 / (1 + np.exp(-np.clip(features(c, least) @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.record_batch([*b.columns, pa.array(out)], names=[*b.schema.names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
