@@ -85,10 +85,13 @@ def frame_counts(points: DataFrame, spine: DataFrame, keys: Sequence[str] = ("vi
 
 def project(points: DataFrame, poses: DataFrame, pixel_to_image: list[float],
             keys: Sequence[str] = ("video_name", "frame_order"), pose: str = "pose") -> DataFrame:
-    """Pixels to world positions.  Pose and calibration are multiplied once per frame."""
+    """Pixels to world positions.  Pose and calibration are multiplied once per frame.
+
+    A point whose frame has no pose keeps its row with null positions.
+    """
     from framelake.functions import geometry as G
 
     ready = poses.select(*keys, G.product(pose, G.literal(pixel_to_image)).alias("_t"))
-    out = lookup(points, ready, keys, F.col("point_index"), "inner")
+    out = lookup(points, ready, keys, F.col("point_index"), "left")
     x, y, z = G.move("_t", F.col("pixel_x"), F.col("pixel_y"))
     return out.withColumns({"wx": x, "wy": y, "wz": z}).drop("_t")

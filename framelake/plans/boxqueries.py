@@ -199,30 +199,30 @@ def a12(spark, d):
 
 @query("a13_extent_recall", """
   WITH part AS (SELECT video_name, frame_order, CAST(floor(pixel_x / 17) AS INTEGER) AS bbox_index, CAST(pixel_x AS INTEGER) AS px, CAST(pixel_y AS INTEGER) AS py, bit_or(source_flags) AS flags FROM points GROUP BY 1, 2, 3, 4, 5),
-  m AS (SELECT video_name, frame_order, bbox_index, count(*) AS n, var_samp(px) AS a, var_samp(py) AS c, covar_samp(px, py) AS b FROM part GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+  m AS (SELECT video_name, frame_order, bbox_index, count(*) AS n, var_samp(px) AS a, var_samp(py) AS c, covar_samp(px, py) AS b FROM part GROUP BY 1, 2, 3),
   e AS (SELECT *, (a+c)/2 + sqrt(((a-c)/2)**2 + b*b) AS major, greatest((a+c)/2 - sqrt(((a-c)/2)**2 + b*b), 0) AS minor, 0.5 * atan2(2*b, a-c) AS th FROM m),
-  q AS (SELECT p.*, e.n, major / greatest(minor, 1e-12) AS el, px * cos(th) + py * sin(th) AS t FROM part p JOIN e USING (video_name, frame_order, bbox_index)),
+  q AS (SELECT p.*, e.n, CASE WHEN e.n >= 3 THEN major / greatest(minor, 1e-12) END AS el, px * cos(th) + py * sin(th) AS t FROM part p JOIN e USING (video_name, frame_order, bbox_index)),
   s AS (SELECT video_name, frame_order, bbox_index, any_value(el) AS el, max(t) - min(t) AS w, count(*) FILTER (flags & 1 <> 0) AS k, max(t) FILTER (flags & 1 <> 0) - min(t) FILTER (flags & 1 <> 0) AS pw FROM q GROUP BY 1, 2, 3)
   SELECT video_name, frame_order, bbox_index, el < 1e3 AS thick, CASE WHEN el < 1e3 THEN round(el, 6) END AS elongation, CASE WHEN el >= 1.47 AND w > 0 THEN CASE WHEN k < 2 THEN 0 ELSE round(least(1, greatest(0, pw / w)), 6) END END AS extent_recall FROM s""", "points")
 def a13(spark, d):
     c = V.points(spark, d).groupBy("video_name", "frame_order", F.floor(F.col("pixel_x") / 17).cast("int").alias("bbox_index"), F.col("pixel_x").cast("int").alias("px"),
                                    F.col("pixel_y").cast("int").alias("py")).agg(F.bit_or("source_flags").alias("flags"))
     sel = c.filter("flags & 1 <> 0").select(F.lit("global").alias("config"), "video_name", "frame_order", "px", "py")
-    out = B.extent_recall(c.drop("flags"), sel, 1.47, ["global"]).filter(F.col("elongation").isNotNull())
+    out = B.extent_recall(c.drop("flags"), sel, 1.47, ["global"])
     return out.select("video_name", "frame_order", "bbox_index", (F.col("elongation") < 1e3).alias("thick"),
                       F.when(F.col("elongation") < 1e3, R("elongation", 6)).alias("elongation"), R("extent_recall").alias("extent_recall"))
 
 
 @query("a30_hard_frames", """
   WITH s AS (SELECT s_suppkey AS video_name, CAST(f AS INTEGER) AS frame_order FROM supplier, generate_series(0, 39) g(f)),
-  pt AS (SELECT * FROM points WHERE source_flags & 1 <> 0), n AS (SELECT video_name, frame_order, count(*) AS np, count(*) FILTER (point_label = 1) AS npos FROM pt GROUP BY 1, 2),
+  pt AS (SELECT * FROM points), n AS (SELECT video_name, frame_order, count(*) AS np, count(*) FILTER (point_label = 1) AS npos FROM pt GROUP BY 1, 2),
   k AS (SELECT video_name, frame_order, count(*) AS nb FROM pt p WHERE EXISTS (SELECT 1 FROM boxes b WHERE valid AND b.video_name = p.video_name AND b.frame_order = p.frame_order AND pixel_x BETWEEN xmin AND xmax AND pixel_y BETWEEN ymin AND ymax) GROUP BY 1, 2),
   b AS (SELECT video_name, frame_order, max((xmax-xmin)*(ymax-ymin)) AS max_box_area FROM boxes WHERE valid GROUP BY 1, 2),
   j AS (SELECT video_name, frame_order, coalesce(np, 0) AS num_points, coalesce(npos, 0) AS num_positive, coalesce(nb, 0) AS points_in_box, max_box_area FROM s LEFT JOIN n USING (video_name, frame_order) LEFT JOIN k USING (video_name, frame_order) LEFT JOIN b USING (video_name, frame_order))
   SELECT *, CASE WHEN max_box_area IS NULL THEN 'no_box' WHEN points_in_box = 0 AND num_points > 0 THEN 'zero_with_points' WHEN points_in_box = 0 THEN 'zero_empty' WHEN points_in_box <= 2 THEN 'low' ELSE 'enough' END AS kind,
     max_box_area IS NOT NULL AND num_points > 0 AS eligible FROM j""", "points boxes")
 def a30(spark, d):
-    return B.hard_frames(spine(spark, d), V.points(spark, d).filter("source_flags & 1 <> 0"), V.boxes(spark, d), 2)
+    return B.hard_frames(spine(spark, d), V.points(spark, d), V.boxes(spark, d), 2)
 
 
 def spine(spark, d):
@@ -231,11 +231,11 @@ def spine(spark, d):
 
 @query("a32_annotation_frames", """
   WITH s AS (SELECT s_suppkey AS video_name, CAST(f AS INTEGER) AS frame_order FROM supplier, generate_series(0, 39) g(f)),
-  f AS (SELECT s.*, EXISTS (SELECT 1 FROM points p WHERE p.video_name = s.video_name AND p.frame_order = s.frame_order AND point_label = 1 AND source_flags = 3) AS pos,
+  f AS (SELECT s.*, EXISTS (SELECT 1 FROM points p WHERE p.video_name = s.video_name AND p.frame_order = s.frame_order AND point_label = 1) AS pos,
     EXISTS (SELECT 1 FROM boxes b WHERE valid AND b.video_name = s.video_name AND b.frame_order = s.frame_order) AS ok FROM s)
   SELECT video_name, count(*) AS frames, count(*) FILTER (pos) AS positive_frames, count(*) FILTER (NOT pos) AS zero_positive_frames, count(*) FILTER (NOT pos AND ok) AS zero_positive_with_valid_box FROM f GROUP BY 1""", "points boxes")
 def a32(spark, d):
-    return B.annotation_frames(spine(spark, d), V.points(spark, d).filter("source_flags = 3"), V.boxes(spark, d))
+    return B.annotation_frames(spine(spark, d), V.points(spark, d), V.boxes(spark, d))
 
 
 @query("a35_recovery_report", """

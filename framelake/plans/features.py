@@ -223,12 +223,12 @@ def a10(spark, d):
 @query("a11_frame_count_statistics", """
   WITH spine AS (SELECT s_suppkey AS video_name, f AS frame_order FROM supplier, generate_series(0, 39) g(f)),
   n AS (SELECT s.video_name, s.frame_order, count(p.point_index) AS num_points FROM spine s
-    LEFT JOIN (SELECT * FROM points WHERE source_flags >= 12) p USING (video_name, frame_order) GROUP BY 1, 2)
+    LEFT JOIN points p USING (video_name, frame_order) GROUP BY 1, 2)
   SELECT video_name, min(num_points) AS lowest, round(avg(num_points), 9) AS mean, round(median(num_points), 9) AS middle, max(num_points) AS highest,
     count(*) FILTER (num_points = 0) AS empty_frames FROM n GROUP BY 1""", "points")
 def a11(spark, d):
     spine = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("video_name"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("frame_order"))
-    n = PP.frame_counts(V.points(spark, d).filter("source_flags >= 12"), spine)
+    n = PP.frame_counts(V.points(spark, d), spine)
     mid = percentiles(n, ["video_name"], "num_points", {"middle": 0.5})
     agg = n.groupBy("video_name").agg(F.min("num_points").alias("lowest"), R(F.avg("num_points")).alias("mean"), F.max("num_points").alias("highest"),
                                       F.count_if(F.col("num_points") == 0).alias("empty_frames"))

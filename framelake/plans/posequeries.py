@@ -89,7 +89,7 @@ def p15(spark, d):
 
 @query("p16_pixel_to_world", f"""
   WITH pp AS (SELECT p.video_name, p.frame_order, p.point_index, p.pixel_x * 0.02 - 0.5 AS ix, p.pixel_y * 0.03 - 0.2 AS iy, q.* EXCLUDE (video_name, frame_order)
-    FROM points p JOIN poses q ON p.video_name % 10 = q.video_name AND p.frame_order = q.frame_order)
+    FROM points p LEFT JOIN poses q ON p.video_name % 10 = q.video_name AND p.frame_order = q.frame_order)
   SELECT video_name, frame_order, point_index, round(am00*ix + am01*iy + am03, 6) + 0.0 AS wx, round(am10*ix + am11*iy + am13, 6) + 0.0 AS wy,
     round(am20*ix + am21*iy + am23, 6) + 0.0 AS wz FROM pp""", "points poses")
 def p16(spark, d):

@@ -212,10 +212,10 @@ METHODS = ["1-URGENT", "2-HIGH", "5-LOW"]
 
 
 @query("j10_method_comparison", """
-  SELECT a.sweep_id, a.metric AS "1-URGENT", b.metric AS "2-HIGH", c.metric AS "5-LOW" FROM method_scores a JOIN method_scores b USING (sweep_id) JOIN method_scores c USING (sweep_id)
-  WHERE a.method = '1-URGENT' AND b.method = '2-HIGH' AND c.method = '5-LOW'""", "method_scores")
+  SELECT * FROM (PIVOT method_scores ON method IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') USING first(metric) GROUP BY sweep_id)
+  WHERE "1-URGENT" IS NOT NULL AND "2-HIGH" IS NOT NULL AND "3-MEDIUM" IS NOT NULL AND "4-NOT SPECIFIED" IS NOT NULL AND "5-LOW" IS NOT NULL""", "method_scores")
 def j10(spark, d):
-    return C.by_method(V.method_scores(spark, d), METHODS)
+    return C.by_method(V.method_scores(spark, d), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
 @query("a28_signed_rank", """

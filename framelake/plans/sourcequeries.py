@@ -112,16 +112,16 @@ def s08(spark, d):
 
 
 @query("s09_manifest_builder", """
-  WITH n AS (SELECT video_name, count(*) AS n FROM boxes WHERE valid AND size > 45 GROUP BY 1)
+  WITH n AS (SELECT video_name, count(*) AS n FROM boxes WHERE valid GROUP BY 1)
   SELECT 'v' || s_suppkey AS video_name, '/src/v' || s_suppkey || '_points.h5' AS source_path, 'train' AS split, coalesce(n, 0) > 0 AS enabled, 'annotations=' || coalesce(n, 0) AS notes FROM supplier LEFT JOIN n ON n.video_name = s_suppkey""", "boxes")
 def s09(spark, d):
     files = V.table(spark, d, "supplier").select(F.concat(F.lit("/src/v"), "s_suppkey", F.lit("_points.h5")).alias("path"))
-    ann = V.boxes(spark, d).filter("valid AND size > 45").select(F.concat(F.lit("v"), "video_name").alias("video_name"))
+    ann = V.boxes(spark, d).filter("valid").select(F.concat(F.lit("v"), "video_name").alias("video_name"))
     return RD.build_manifest(files, ann, "_points", "train")
 
 
-AUDIT_SQL = """f AS (SELECT DISTINCT video_name, frame_order FROM points WHERE source_flags > 3), fc AS (SELECT video_name, count(*) AS frames FROM f GROUP BY 1),
-  bc AS (SELECT video_name, count(DISTINCT frame_order) AS annotated_frames, count(*) AS boxes FROM boxes SEMI JOIN f USING (video_name, frame_order) WHERE size > 25 GROUP BY 1),
+AUDIT_SQL = """f AS (SELECT DISTINCT video_name, frame_order FROM points), fc AS (SELECT video_name, count(*) AS frames FROM f GROUP BY 1),
+  bc AS (SELECT video_name, count(DISTINCT frame_order) AS annotated_frames, count(*) AS boxes FROM boxes SEMI JOIN f USING (video_name, frame_order) GROUP BY 1),
   r AS (SELECT s.video_name, s.split, s.video_name % 7 <> 0 AS enabled, coalesce(frames, 0) AS frames, coalesce(annotated_frames, 0) AS annotated_frames, coalesce(boxes, 0) AS boxes FROM video_split s LEFT JOIN fc USING (video_name) LEFT JOIN bc USING (video_name)),
   au AS (SELECT *, CASE WHEN enabled THEN CASE WHEN frames = 0 THEN 'no_frames' WHEN annotated_frames = 0 THEN 'no_annotation' WHEN boxes < 2 THEN 'too_few_boxes' END END AS reason FROM r),
   st AS (SELECT *, CASE WHEN NOT enabled THEN 'disabled' WHEN reason IS NOT NULL THEN 'failed' ELSE 'ok' END AS status FROM au)"""
@@ -129,8 +129,8 @@ AUDIT_SQL = """f AS (SELECT DISTINCT video_name, frame_order FROM points WHERE s
 
 def audit(spark, d):
     rows = V.video_split(spark, d).withColumn("enabled", F.col("video_name") % 7 != 0)
-    f = V.points(spark, d).filter("source_flags > 3").select("video_name", "frame_order").distinct()
-    return RD.audit_manifest(rows, f, V.boxes(spark, d).filter("size > 25"))
+    f = V.points(spark, d).select("video_name", "frame_order").distinct()
+    return RD.audit_manifest(rows, f, V.boxes(spark, d))
 
 
 @query("s10_manifest_audit", f"WITH {AUDIT_SQL} SELECT * FROM st", "points boxes video_split")

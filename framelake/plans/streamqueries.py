@@ -32,11 +32,10 @@ def r01(spark, d):
 
 
 @query("r02_event_windows", """
-  WITH w AS (SELECT CAST(k AS BIGINT) * 10800 AS start_s, user_id, value FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) // 10800 AS b FROM events), LATERAL (SELECT unnest([b, b - 1]) AS k)),
-  m AS (SELECT epoch(max(ts)) - 3600 AS wm FROM events)
-  SELECT start_s, start_s + 21600 AS end_s, user_id, count(*) AS num_points, round(sum(value), 6) AS total FROM w, m WHERE start_s + 21600 <= floor(wm) GROUP BY 1, 2, 3""")
+  WITH w AS (SELECT CAST(k AS BIGINT) * 10800 AS start_s, user_id, value FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) // 10800 AS b FROM events), LATERAL (SELECT unnest([b, b - 1]) AS k))
+  SELECT start_s, start_s + 21600 AS end_s, user_id, count(*) AS num_points, round(sum(value), 6) AS total FROM w GROUP BY 1, 2, 3""")
 def r02(spark, d):
-    out = ST.event_windows(event_stream(spark, d), "6 hours", "3 hours", "1 hour", ["user_id"])
+    out = ST.event_windows(ST.with_end(event_stream(spark, d), spark, "ts"), "6 hours", "3 hours", "1 hour", ["user_id"])
     got = ST.run_to_files(out, spark, "windows")
     return got.select(F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("end").alias("end_s"), "user_id", "num_points", F.round("total", 6).alias("total"))
 
@@ -44,9 +43,9 @@ def r02(spark, d):
 @query("r02_event_sessions", """
   WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l)
-  SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS num_points FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+  SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS num_points FROM s GROUP BY user_id, s""")
 def r02_sessions(spark, d):
-    out = ST.event_sessions(event_stream(spark, d), "12 hours", "1 hour", ["user_id"])
+    out = ST.event_sessions(ST.with_end(event_stream(spark, d), spark, "ts"), "12 hours", "1 hour", ["user_id"])
     got = ST.run_to_files(out, spark, "sessions")
     return got.select("user_id", F.unix_timestamp("start").alias("start_s"), "num_points")
 

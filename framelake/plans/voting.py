@@ -126,12 +126,11 @@ def multi_level(spark, d):
 
 @query("a05_window_summary", """
   SELECT w.video_name, w.window_id, w.start_frame, w.end_frame, count(p.point_index) AS num_points
-  FROM windows w LEFT JOIN (SELECT * FROM points WHERE source_flags = 8) p
+  FROM windows w LEFT JOIN points p
     ON p.video_name = w.video_name AND p.frame_order BETWEEN w.start_frame AND w.end_frame GROUP BY 1, 2, 3, 4""", "windows")
 def window_summary(spark, d):
     p = V.points(spark, d)
-    rows = WI.into_windows(p, 12, 6).filter("source_flags = 8")
-    return WI.window_summary(rows, WI.frame_windows(p, 12, 6))
+    return WI.window_summary(WI.into_windows(p, 12, 6), WI.frame_windows(p, 12, 6))
 
 
 @query("a06_class_weights", """

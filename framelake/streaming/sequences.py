@@ -36,6 +36,19 @@ def running_metrics(points: DataFrame, keys: list[str], path: str, checkpoint: s
     return counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
 
 
+def with_end(events: DataFrame, spark: SparkSession, ts: str) -> DataFrame:
+    """The stream and an end mark: one row of nulls far in the future.
+
+    A drained stream stops with its last windows open; the mark moves the
+    watermark past them, so they close and come out.  The mark's own window
+    never does.
+    """
+    at = scratch_path(spark, "end")
+    mark = [F.lit("2999-01-01 00:00:00").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*mark).write.parquet(at)
+    return events.union(spark.readStream.schema(events.schema).parquet(at))
+
+
 def event_windows(events: DataFrame, size: str, slide: str, delay: str, keys: list[str], ts: str = "ts") -> DataFrame:
     """Points per overlapping event-time window; late rows beyond ``delay`` are dropped."""
     w = F.window(ts, size, slide).alias("w")
