@@ -36,7 +36,10 @@ def video_name(attribute: Column | str, path: Column | str, suffix: str = "") ->
 
 
 def safe_name(c: Column | str) -> Column:
-    """Only letters, digits, dot, dash and underscore; other runs become one underscore."""
+    """Only letters, digits, dot, dash and underscore; other runs become one underscore.
+
+    The pattern is a fixed value.
+    """
     return F.btrim(F.regexp_replace(col(c), r"[^A-Za-z0-9_.-]+", "_"), F.lit("_"))
 
 

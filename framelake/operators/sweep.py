@@ -220,10 +220,11 @@ def hard_cases(df: DataFrame, target: int, seed: str) -> DataFrame:
     sized = df.withColumn("_t", df.agg(F.least(F.count(F.lit(1)), F.lit(target))).scalar())
     ok = sized.filter(F.col("valid_boxes") > 0)
     hard, cost = F.greatest(F.lit(1), F.floor(F.col("_t") / 4)), F.greatest(F.lit(1), F.floor(F.col("_t") / 6))
-    failed = ok.filter((F.col("zero_boxes") > 0) | (finite("recall_at_16") < 1.0)).select("video_name", F.lit("failure_or_recall_below_1").alias("reason"))
+    # The reason codes, here and in the fill below.
+    failed = ok.filter((F.col("zero_boxes") > 0) | (finite("recall_at_16") < 1.0)).select("video_name", F.lit("baseline_failure_or_recall16_below_1").alias("reason"))
     parts = [failed]
-    for src, col, desc, quota, why in ((ok, "recall_min", False, hard, "lowest_recall_min"), (ok, "recall_p05", False, hard, "lowest_recall_p05"),
-                                       (ok, "recall_micro", False, cost, "lowest_recall_micro"), (sized, "ignore_ratio", True, cost, "highest_ignore_ratio"),
+    for src, col, desc, quota, why in ((ok, "recall_min", False, hard, "lowest_positive_recall_min"), (ok, "recall_p05", False, hard, "lowest_positive_recall_p05"),
+                                       (ok, "recall_micro", False, cost, "lowest_positive_recall_micro"), (sized, "ignore_ratio", True, cost, "highest_selected_ignore_ratio"),
                                        (sized, "points_mean", True, cost, "highest_points_per_frame")):
         v = src.withColumn("_v", finite(col)).filter(F.col("_v").isNotNull())
         w = W.partitionBy().orderBy(F.desc("_v") if desc else F.asc("_v"), "video_name")

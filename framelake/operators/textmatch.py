@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from framelake.session import cut_lineage
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SIEVE_BITS = 24
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2 ** 64))
 
 
@@ -27,13 +28,18 @@ def _hashes(data: bytes, size: int) -> np.ndarray:
     return ((total[size:] - total[: n - size + 1]) * up[at]).view(np.int64)
 
 
-def contains_join(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str, broadcast_limit: int = 1_000_000) -> DataFrame:
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash in the sieve: its leading bits."""
+    return (hashes.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def contains_join(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """Pairs (key, needle) where the text contains the needle; no text is compared with every needle.
 
-    Every byte run of a text as long as some needle is hashed and met by
-    equality; matches are then verified on the whole text.  Up to
-    ``broadcast_limit`` needle hashes (8 bytes each) go to the tasks, so that
-    only hits leave them; beyond it all run hashes are joined instead.
+    Every byte run of a text as long as some needle is hashed; runs that no
+    needle can match fall through a sieve of ``2 ** SIEVE_BITS`` bits, whose
+    size does not depend on the needles.  The rest is met by equality, and
+    matches are verified on the whole text.
     """
     spark = texts.sparkSession
     names = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
@@ -45,8 +51,12 @@ def contains_join(texts: DataFrame, key: str, text: str, needles: DataFrame, nee
 
     hashed = cut_lineage(names.mapInPandas(hash_names, "_needle string, _hash long, _size int"))
     sizes = [r[0] for r in hashed.select("_size").distinct().collect()]  # one number per name length
-    small = hashed.limit(broadcast_limit + 1).count() <= broadcast_limit
-    known = spark.sparkContext.broadcast(np.unique(hashed.select("_hash").toPandas()["_hash"].to_numpy(np.int64))) if small else None
+    slot = F.shiftrightunsigned("_hash", 64 - SIEVE_BITS)
+    set_bits = hashed.groupBy(F.shiftright(slot, 3).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(_hash, {64 - SIEVE_BITS}) % 8 as int))")).alias("bits"))
+    sieve = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
+    for r in set_bits.toLocalIterator():  # at most one row per byte of the sieve
+        sieve[r["at"]] = r["bits"]
+    known = spark.sparkContext.broadcast(sieve)
     schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("_hash", T.LongType())])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,8 +66,8 @@ def contains_join(texts: DataFrame, key: str, text: str, needles: DataFrame, nee
                     continue
                 data = t.encode()
                 got = np.unique(np.concatenate([_hashes(data, s) for s in sizes] or [np.zeros(0, np.int64)]))
-                if known is not None:
-                    got = got[np.isin(got, known.value, assume_unique=True)]
+                at = _slots(got)
+                got = got[known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
                 if len(got):
                     yield pd.DataFrame({"_key": [k] * len(got), "_hash": got})
 

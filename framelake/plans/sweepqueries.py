@@ -189,10 +189,10 @@ TARGET = 84
 
 @query("t02_hard_cases", f"""
   WITH {VIDEO_SQL}, t AS (SELECT least(count(*), {TARGET}) AS t FROM vd), ok AS (SELECT * FROM vd WHERE valid_boxes > 0),
-  m AS (SELECT video_name, 'failure_or_recall_below_1' AS reason FROM ok WHERE zero_boxes > 0 OR recall_at_16 < 1
+  m AS (SELECT video_name, 'baseline_failure_or_recall16_below_1' AS reason FROM ok WHERE zero_boxes > 0 OR recall_at_16 < 1
     {"".join(f" UNION ALL SELECT video_name, '{why}' FROM (SELECT video_name, row_number() OVER (ORDER BY {c} {o}, video_name) AS r FROM {src}), t WHERE r <= greatest(1, t // {q})"
-             for c, o, src, q, why in (("recall_min", "", "ok", 4, "lowest_recall_min"), ("recall_p05", "", "ok", 4, "lowest_recall_p05"), ("recall_micro", "", "ok", 6, "lowest_recall_micro"),
-                                       ("ignore_ratio", "DESC", "vd", 6, "highest_ignore_ratio"), ("points_mean", "DESC", "vd", 6, "highest_points_per_frame")))}),
+             for c, o, src, q, why in (("recall_min", "", "ok", 4, "lowest_positive_recall_min"), ("recall_p05", "", "ok", 4, "lowest_positive_recall_p05"), ("recall_micro", "", "ok", 6, "lowest_positive_recall_micro"),
+                                       ("ignore_ratio", "DESC", "vd", 6, "highest_selected_ignore_ratio"), ("points_mean", "DESC", "vd", 6, "highest_points_per_frame")))}),
   g AS (SELECT video_name, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM m GROUP BY 1),
   r AS (SELECT video_name, row_number() OVER (ORDER BY sha256('screen:' || video_name), video_name) AS p FROM vd WHERE video_name NOT IN (SELECT video_name FROM g))
   SELECT * FROM g UNION ALL SELECT video_name, 'deterministic_hash_fill' FROM r, t WHERE p <= t - (SELECT count(*) FROM g)""")
@@ -201,10 +201,10 @@ def t02(spark, d):
 
 
 @query("a31_reason_counters", f"""
-  WITH {VIDEO_SQL}, m AS (SELECT video_name, 'failure_or_recall_below_1' AS reason FROM vd WHERE valid_boxes > 0 AND (zero_boxes > 0 OR recall_at_16 < 1))
+  WITH {VIDEO_SQL}, m AS (SELECT video_name, 'baseline_failure_or_recall16_below_1' AS reason FROM vd WHERE valid_boxes > 0 AND (zero_boxes > 0 OR recall_at_16 < 1))
   SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'validation' ELSE 'train' END AS split, CASE WHEN m.video_name IS NULL THEN 'other' ELSE reason END AS reason, count(*) AS n FROM supplier LEFT JOIN m ON m.video_name = s_suppkey GROUP BY 1, 2""")
 def a31(spark, d):
-    why = F.when((F.col("valid_boxes") > 0) & ((F.col("zero_boxes") > 0) | (F.col("recall_at_16") < 1)), F.array(F.lit("failure_or_recall_below_1"))).otherwise(F.array(F.lit("other")))
+    why = F.when((F.col("valid_boxes") > 0) & ((F.col("zero_boxes") > 0) | (F.col("recall_at_16") < 1)), F.array(F.lit("baseline_failure_or_recall16_below_1"))).otherwise(F.array(F.lit("other")))
     v = V.video_split(spark, d).join(video_table(spark, d), "video_name", "left").withColumn("reason", F.explode(F.coalesce(why, F.array(F.lit("other")))))
     return v.groupBy("split", "reason").agg(F.count(F.lit(1)).alias("n"))
 

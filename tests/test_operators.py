@@ -221,16 +221,32 @@ def test_both_rank_filters_agree(size):
         assert (got[0] == win[..., at]).all() and (got[1] == win[..., mid]).all()
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 1])
-def test_contains_join_both_ways(spark, limit):
+def test_contains_join(spark):
     texts = ["abc scan_12 x", "scan_123", "é scan_1", "", "nothing here", "日本 scan_12日本"]
     names = ["scan_1", "scan_12", "日本", "zzz"]
     t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     n = spark.createDataFrame([(v,) for v in names], "name string")
-    got = {tuple(r) for r in contains_join(t, "id", "text", n, "name", broadcast_limit=limit).collect()}
+    got = {tuple(r) for r in contains_join(t, "id", "text", n, "name").collect()}
     assert got == {(i, v) for i, x in enumerate(texts) for v in names if v in x}
 
 
+def test_json_is_cleaned_at_any_depth(spark):
+    text = '{"a": ["/x", {"File": [["y", {"z": "k 20240101_120000_7"}], "w", 1.50]}, "q"], "e": "\\\\"", "out_dir": {"n": "plain", "m": null}, "u": "\\/r", "": []}'
+    want = '{"a": ["REDACTED_PATH", {"File": [["REDACTED_PATH", {"z": "k REDACTED_VIDEO"}], "REDACTED_PATH", 1.50]}, "q"], "e": "\\\\"", "out_dir": {"n": "plain", "m": null}, "u": "REDACTED_PATH", "": []}'
+    df = spark.createDataFrame([(text.replace('\\\\"', '\\"'),), (None,), ("3",), ('"/p"',)], "t string")
+    got = [r[0] for r in df.select(SH.sanitize_json(F.col("t"))).collect()]
+    assert got == [want.replace('\\\\"', '\\"'), None, "3", '"REDACTED_PATH"']
+
+
+def test_point_without_pose_stays(spark):
+    from framelake.operators import pointprep
+
+    points = spark.createDataFrame([("v", 1, 5, 1.0, 2.0), ("v", 2, 6, 1.0, 2.0)], "video_name string, frame_order int, point_index long, pixel_x double, pixel_y double")
+    poses = spark.createDataFrame([("v", 1, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0])], "video_name string, frame_order int, pose array<double>")
+    got = {r["point_index"]: r["wx"] for r in pointprep.project(points, poses, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]).collect()}
+    assert got == {5: 1.0, 6: None}
+
+
 def test_leak_scan_finds_planted(spark):
     t = spark.createDataFrame([("a", "clean 1/2"), ("b", "clip 20240101_120000_7"), ("c", "at /home/x/y"), ("d", "was video_9 once")], "id string, text string")
     ids = spark.createDataFrame([("video_9",)], "identifier string")
