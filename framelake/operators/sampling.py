@@ -16,6 +16,7 @@ from framelake.functions.ratios import col
 from framelake.operators.layout import lookup, with_hash_position, with_position
 
 KEY, POS = "video_name", "frame_order"
+GROUP_LIMIT = 1000
 
 
 def train_validation(df: DataFrame, fraction: float, seed: str, key: str = KEY) -> DataFrame:
@@ -104,9 +105,23 @@ def random_frame_window(df: DataFrame, size: int, seed: str) -> DataFrame:
     return df.join(kept, [KEY, POS], "left_semi")
 
 
+def _first(df: DataFrame, keys: Sequence[str], n: int, seed: str, row: str) -> DataFrame:
+    """The first ``n`` rows per key in hash order.
+
+    For a short list Spark keeps only ``n`` rows per key and task before the
+    shuffle (up to GROUP_LIMIT, its default threshold for that); a longer one
+    is numbered in even hash buckets.
+    """
+    if n > GROUP_LIMIT:
+        return _with_rank(df, keys, seed, row).filter(F.col("_p") < n).drop("_h", "_p")
+    w = W.partitionBy(*keys).orderBy("_h", row)
+    hashed = df.withColumn("_h", hash_order(seed, F.concat_ws(":", *[F.col(k).cast("string") for k in (*keys, row)])))
+    return hashed.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= n).drop("_h", "_p")
+
+
 def cap_per_group(df: DataFrame, keys: Sequence[str], cap: int, seed: str, row: str = "point_index") -> DataFrame:
     """All rows of a small group, else ``cap`` of them by hash."""
-    return _with_rank(df, keys, seed, row).filter(F.col("_p") < cap).drop("_h", "_p")
+    return _first(df, keys, cap, seed, row)
 
 
 def evenly_spaced(df: DataFrame, keys: Sequence[str], position: str, k: int) -> DataFrame:
@@ -121,7 +136,7 @@ def evenly_spaced(df: DataFrame, keys: Sequence[str], position: str, k: int) ->
 
 def sparse_frames(df: DataFrame, n: int, seed: str) -> DataFrame:
     """``n`` random frames per sequence, in order."""
-    return _with_rank(df, [KEY], seed, POS).filter(F.col("_p") < n).drop("_h", "_p")
+    return _first(df, [KEY], n, seed, POS)
 
 
 def drop_frames(df: DataFrame, rate: float, probability: float, seed: str) -> DataFrame:
