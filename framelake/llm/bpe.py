@@ -13,15 +13,15 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# Entries that a worker remembers; a full memory is emptied, results do not depend on it.
-REMEMBERED = 200_000
+# Pieces and words that a worker remembers, twice: results do not depend on it.
+PIECES, WORDS = 400_000, 300_000
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() cuts here, the vocabulary's \s does not
 
@@ -39,32 +39,22 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class SegmentTree:
-    """Minimum of a row of numbers with point updates; the root is the minimum."""
+class Recent(dict):
+    """What ``make`` gives for each key.  A full memory becomes the old one, from which asked keys return."""
 
-    __slots__ = ("leaves", "node")
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
 
-    def __init__(self, values: list[int], empty: int):
-        size = 1
-        while size < len(values):
-            size *= 2
-        node = [empty] * size + values + [empty] * (size - len(values))
-        for i in range(size - 1, 0, -1):
-            a, b = node[2 * i], node[2 * i + 1]
-            node[i] = a if a < b else b
-        self.leaves, self.node = size, node
-
-    def put(self, i: int, value: int) -> None:
-        node = self.node
-        i += self.leaves
-        node[i] = value
-        while i > 1:
-            other = node[i ^ 1]
-            low = value if value < other else other
-            i >>= 1
-            if node[i] == low:
-                return
-            node[i] = value = low
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 class Bpe:
@@ -86,59 +76,93 @@ class Bpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         # pair of ids -> (rank, id of the merged token), packed
         self.merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Recent(self.word, WORDS)
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Merge until no adjacent pair has a rank."""
-        n, merges, none = len(ids), self.merges, self.none
+        """Merge until no adjacent pair has a rank.
+
+        ``node`` is the segment tree: leaf ``i`` is the pair that starts at
+        ``i``, as rank * n + i, and every inner node the minimum of its two.
+        """
+        n, find, none = len(ids), self.merges.get, self.none
         if n < 2:
             return ids
-
-        def leaf(i: int, j: int) -> int:
-            m = merges.get(ids[i] << 32 | ids[j])
-            return none if m is None else m[0] * n + i
-
-        tree = SegmentTree([leaf(i, i + 1) for i in range(n - 1)], none)
-        right, left, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
-        while (low := tree.node[1]) < none:
+        size = 1 << (n - 2).bit_length()
+        node, into = [none] * (2 * size), [0] * n
+        for i in range(n - 1):
+            m = find(ids[i] << 32 | ids[i + 1])
+            if m:
+                node[size + i], into[i] = m[0] * n + i, m[1]
+        for i in range(size - 1, 0, -1):
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
+        if node[1] == none:
+            return ids
+        right, left = list(range(1, n + 1)), list(range(-1, n))
+        while (low := node[1]) < none:
             i = low % n
             j = right[i]
-            ids[i] = merges[ids[i] << 32 | ids[j]][1]
             k = right[i] = right[j]
-            gone[j] = 1
-            if j < n - 1:
-                tree.put(j, none)
+            new = ids[i] = into[i]
+            ids[j], left[k] = -1, i
+            # three leaves change: the pair swallowed, the merged pair's own and the one before
             if k < n:
-                left[k] = i
-                tree.put(i, leaf(i, k))
+                m = find(new << 32 | ids[k])
+                value = none
+                if m:
+                    value, into[i] = m[0] * n + i, m[1]
+                node[size + j] = none
+                at = size + j >> 1
+                while at:
+                    a, b = node[2 * at], node[2 * at + 1]
+                    node[at] = a if a < b else b
+                    at >>= 1
             else:
-                tree.put(i, none)
-            if (p := left[i]) >= 0:
-                tree.put(p, leaf(p, i))
-        return [x for x, dead in zip(ids, gone) if not dead]
-
-    def word(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            data = word.encode("utf-8", "replace")
-            ids = [self.inner[b] for b in data]
-            ids[-1] = self.final[data[-1]]
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = self.known[word] = tuple(self.merge(ids))
-        return got
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of a piece without white space."""
-        out: list[int] = []
+                value = none
+            node[size + i] = value
+            at = size + i >> 1
+            while at:
+                a, b = node[2 * at], node[2 * at + 1]
+                node[at] = a if a < b else b
+                at >>= 1
+            p = left[i]
+            if p >= 0:
+                m = find(ids[p] << 32 | new)
+                value = none
+                if m:
+                    value, into[p] = m[0] * n + p, m[1]
+                if node[size + p] != value:
+                    node[size + p] = value
+                    at = size + p >> 1
+                    while at:
+                        a, b = node[2 * at], node[2 * at + 1]
+                        node[at] = a if a < b else b
+                        at >>= 1
+        return [x for x in ids if x >= 0]
+
+    def word(self, word: str) -> list[int]:
+        data = word.encode("utf-8", "replace")
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.final[data[-1]]
+        return self.merge(ids)
+
+    def parts(self, piece: str) -> Iterator[str | int]:
+        """Words of a piece without white space, normalised, and the ids of special tokens between them."""
         for i, part in enumerate(self.cut.split(piece)) if self.cut else [(0, piece)]:
             if i % 2:
-                out.append(self.special[part])
+                yield self.special[part]
             elif part:
                 # the vocabulary lowers letter by letter, without the final form of sigma
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for w in self.words.findall(low):
-                    out += self.word(w)
+                yield from self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of a piece without white space."""
+        out: list[int] = []
+        for w in self.parts(piece):
+            if isinstance(w, int):
+                out.append(w)
+            else:
+                out += self.known[w]
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -177,14 +201,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = load(path), {}
+        bpe = load(path)
 
         def fresh(p: str) -> tuple[int, str, str]:
             ids = bpe.piece(p)
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            got = seen[p] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids))
-            return got
+            return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
+
+        seen = Recent(fresh, PIECES)
 
         def sha(parts: list[str]) -> str:
             return hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
@@ -192,7 +215,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             counts, ids, texts = [], [], []
             for t in b["text"].to_pylist():
-                got = [seen.get(p) or fresh(p) for p in cut_at_space(t or "")]
+                got = [seen[p] for p in cut_at_space(t or "")]
                 n = [g[0] for g in got]
                 if 0 in n:
                     got = [g for g in got if g[0]]
