@@ -5,7 +5,7 @@ from __future__ import annotations
 VIEWS = {
     "points": """
   SELECT l_suppkey AS video_name,
-    (l_orderkey * 134217728 + l_partkey) * 64 + CAST(l_quantity AS BIGINT) AS point_index,
+    concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS point_index,
     CAST(l_orderkey % 40 AS INTEGER) AS frame_order, l_quantity AS x, l_extendedprice / 1000 AS y,
     CAST(l_orderkey % 40 AS DOUBLE) AS z, l_quantity AS pixel_x, round(l_discount * 100) AS pixel_y,
     CAST(l_partkey % 256 AS INTEGER) AS intensity, CAST((l_partkey * 3) % 256 AS INTEGER) AS alpha,

@@ -63,12 +63,12 @@ def windows_no_tail(spark, d):
 
 
 @query("j01_points_in_windows", """
-  SELECT video_name, window_id, count(*) AS num_points, CAST(sum(point_index) % 1000003 AS BIGINT) AS checksum, min(frame_order) AS lo,
+  SELECT video_name, window_id, count(*) AS num_points, CAST(sum(part_key) % 1000003 AS BIGINT) AS checksum, min(frame_order) AS lo,
     max(frame_order) AS hi FROM point_windows GROUP BY 1, 2""", "point_windows")
 def points_in_windows(spark, d):
     rows = WI.into_windows(V.points(spark, d), 12, 6)
     return rows.groupBy("video_name", "window_id").agg(
-        F.count(F.lit(1)).alias("num_points"), (F.sum(F.col("point_index").cast("decimal(38,0)")) % 1000003).cast("bigint").alias("checksum"),
+        F.count(F.lit(1)).alias("num_points"), (F.sum("part_key") % 1000003).cast("bigint").alias("checksum"),
         F.min("frame_order").alias("lo"), F.max("frame_order").alias("hi"))
 
 
@@ -186,7 +186,7 @@ def one_subsequence(spark, d):
   SELECT video_name, point_index, CAST(floor(p / 128.0) AS BIGINT) AS chunk, CAST(p % 128 AS BIGINT) AS slot FROM (
     SELECT video_name, point_index, row_number() OVER (PARTITION BY video_name ORDER BY point_index) - 1 AS p FROM points)""", "points")
 def scoring_chunks(spark, d):
-    bucket = F.floor(F.col("point_index") / F.lit(2 ** 33 * 2 ** 14))
+    bucket = F.substring("point_index", 1, 5)
     return WI.scoring_chunks(V.points(spark, d).select("video_name", "point_index"), ["video_name"], "point_index", bucket, 128)
 
 
@@ -196,7 +196,7 @@ def scoring_chunks(spark, d):
   SELECT video_name, frame_order, n AS real_points, m - n AS pad_points, (m - n) * -1 AS label_sum_of_padding FROM b""", "points")
 def padded_batches(spark, d):
     p = V.points(spark, d).select("video_name", "frame_order", "point_index", "point_label", "intensity")
-    slots = WI.with_position(p, ["video_name", "frame_order"], ["point_index"], F.floor(F.col("point_index") / F.lit(2 ** 47)), "slot")
+    slots = WI.with_position(p, ["video_name", "frame_order"], ["point_index"], F.substring("point_index", 1, 5), "slot")
     out = WI.padded(slots, "video_name", "frame_order", "slot", {"point_label": -1, "intensity": 0})
     return out.groupBy("video_name", "frame_order").agg(
         F.count_if(~F.col("is_padding")).alias("real_points"), F.count_if("is_padding").alias("pad_points"),

@@ -238,6 +238,15 @@ def test_json_is_cleaned_at_any_depth(spark):
     assert got == [want.replace('\\\\"', '\\"'), None, "3", '"REDACTED_PATH"']
 
 
+def test_point_keys_of_any_size(spark, tmp_path):
+    from framelake.plans import views
+
+    big = 2 ** 40
+    rows = [(big + i, 2 ** 35, 1, i % 3, float(100 + i % 2), 1.5 + i, 0.01, 0.02, "N") for i in range(6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert views.points(spark, str(tmp_path)).select("point_index").distinct().count() == 6
+
+
 def test_point_without_pose_stays(spark):
     from framelake.operators import pointprep
 
