@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from framelake import schemas as SC
 from framelake.functions import names as N
@@ -12,10 +12,17 @@ from framelake.operators.layout import lookup, with_position
 from framelake.operators.textmatch import contains_join
 
 
+def required(rows: DataFrame, message: str, where: Column | None = None) -> DataFrame:
+    """The same rows; a table without any (for which ``where`` holds) is an error once it is read."""
+    none = rows.agg(F.count_if(where if where is not None else F.lit(True)).alias("n")).filter("n = 0")
+    guard = none.select(*[F.raise_error(F.lit(message)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    return rows.unionByName(guard)
+
+
 def path_list(lines: DataFrame, base: str) -> DataFrame:
-    """One path per line; blank and comment lines dropped, relative ones resolved."""
+    """One path per line; blank and comment lines dropped, relative ones resolved.  An empty list is an error."""
     t = lines.select(F.trim("value").alias("path")).filter((F.col("path") != "") & ~F.col("path").startswith("#"))
-    return t.select(N.resolve("path", base).alias("path"))
+    return required(t.select(N.resolve("path", base).alias("path")), "the list holds no path")
 
 
 def read_path_list(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
@@ -45,9 +52,9 @@ def read_batch_items(spark: SparkSession, path: str, base: str, out_dir: str, he
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True, max_files: int | None = None) -> DataFrame:
-    """Sorted paths below a folder; contents are never read."""
+    """Sorted paths below a folder; contents are never read.  A folder without a match is an error."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
-    out = r.select("path").orderBy("path")
+    out = required(r.select("path"), f"no file matches {glob}").orderBy("path")
     return out.limit(max_files) if max_files is not None else out
 
 
@@ -86,16 +93,26 @@ NAME_RULE = r"^[A-Za-z0-9][A-Za-z0-9_.-]*$"
 
 
 def manifest(table: DataFrame, base: str) -> DataFrame:
-    """Typed manifest rows with the first problem of each, NULL if none; duplicates are problems too."""
+    """Typed manifest rows with the first problem of each, NULL if none; duplicates are problems too.
+
+    A manifest without rows, or without an enabled one, is an error.  A given
+    ``annotation_root`` is resolved like the source and must not be empty.
+    """
     missing = [f.name for f in SC.MANIFEST.fields if f.name not in table.columns and f.name != "notes"]
     if missing:
         raise ValueError(f"missing columns {missing}")
     word = F.lower(F.trim("enabled"))
     rows = table.withColumns({"enabled": F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False), "video_name": F.trim("video_name"),
                               "split": F.lower(F.trim("split")), "source_path": N.resolve(F.trim("source_path"), base)})
+    rows = required(rows, "the manifest has no enabled row", F.col("enabled"))
+    root = F.lit(False)
+    if "annotation_root" in table.columns:
+        root = F.coalesce(F.trim("annotation_root"), F.lit("")) == ""
+        rows = rows.withColumn("annotation_root", F.when(~root, N.resolve(F.trim("annotation_root"), base)))
+        root = F.col("annotation_root").isNull()
     twice = lambda c: rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(c, F.lit(True).alias(f"_dup_{c}"))
     rows = rows.join(twice("video_name"), "video_name", "left").join(twice("source_path"), "source_path", "left")
-    problem = (F.when(~F.col("video_name").rlike(NAME_RULE), "bad_name").when(~F.col("split").isin(SPLITS), "bad_split").when(F.col("enabled").isNull(), "bad_enabled")
+    problem = (F.when(~F.col("video_name").rlike(NAME_RULE), "bad_name").when(~F.col("split").isin(SPLITS), "bad_split").when(F.col("enabled").isNull(), "bad_enabled").when(root, "no_annotation_root")
                .when(F.col("_dup_video_name"), "duplicate_video").when(F.col("_dup_source_path"), "duplicate_source"))
     return rows.withColumn("problem", problem).drop("_dup_video_name", "_dup_source_path")
 

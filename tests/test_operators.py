@@ -238,6 +238,24 @@ def test_json_is_cleaned_at_any_depth(spark):
     assert got == [want.replace('\\\\"', '\\"'), None, "3", '"REDACTED_PATH"']
 
 
+def test_empty_inputs_are_errors(spark, tmp_path):
+    with pytest.raises((PySparkException, Py4JError)):
+        RD.path_list(spark.createDataFrame([("# only a comment",), (" ",)], "value string"), "/base").collect()
+    (tmp_path / "a.txt").write_text("x")
+    assert RD.list_files(spark, str(tmp_path), "*.txt").count() == 1
+    with pytest.raises((PySparkException, Py4JError)):
+        RD.list_files(spark, str(tmp_path), "*.csv").collect()
+
+
+def test_manifest_needs_an_enabled_row_and_roots(spark):
+    cols = "video_name string, source_path string, split string, enabled string, notes string, annotation_root string"
+    rows = [("v1", "a.h5", "train", "yes", "", "xml/"), ("v2", "b.h5", "train", "no", "", " ")]
+    got = {r["video_name"]: (r["annotation_root"], r["problem"]) for r in RD.manifest(spark.createDataFrame(rows, cols), "/base").collect()}
+    assert got == {"v1": ("/base/xml/", None), "v2": (None, "no_annotation_root")}
+    with pytest.raises((PySparkException, Py4JError)):
+        RD.manifest(spark.createDataFrame(rows[1:], cols), "/base").collect()
+
+
 def test_point_keys_of_any_size(spark, tmp_path):
     from framelake.plans import views
 
