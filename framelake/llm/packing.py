@@ -15,65 +15,76 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .bpe import cut_at_space
+from .bpe import PIECES, Recent, byte_letters, cut_at_space, load
 from .common import ranked, stored
 
 CAPACITY = 2048
-ROUNDS = 150
-RATE = 0.5
-STEP = 0.25
-_REMEMBERED = 300_000
+# Multiplicative weights: rounds per length at most, rate of the weights, step, lengths priced per round,
+# copies of one length in a priced configuration, covered share at which the program counts as solved.
+ROUNDS, RATE, STEP, PRICED, REPEATS, DONE = 2, 4.0, 0.3, 64, 2, 0.5
 
 Config = tuple[int, dict[int, int]]  # multiplicity, length -> how often
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, cap: int) -> dict[int, int]:
-    """Unbounded knapsack by dynamic programming: the configuration of greatest value."""
-    best, last = np.zeros(cap + 1), np.full(cap + 1, -1)
-    for c in range(int(lengths[0]), cap + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        got = best[c - lengths[:k]] + values[:k]
-        i = int(got.argmax())
-        if got[i] > best[c - 1]:
-            best[c], last[c] = got[i], i
-        else:
-            best[c] = best[c - 1]
+def best_configuration(values: np.ndarray, lengths: np.ndarray, most: np.ndarray, cap: int) -> dict[int, int]:
+    """Knapsack by dynamic programming over the capacity: the configuration of greatest value, ``most`` of each length."""
+    best, took = np.zeros(cap + 1), []
+    for v, n, m in zip(values.tolist(), lengths.tolist(), most.tolist()):
+        for _ in range(m):
+            with_it = best[:-n] + v
+            better = with_it > best[n:]
+            took.append((n, better))
+            np.copyto(best[n:], with_it, where=better)
     out: dict[int, int] = {}
-    c = cap
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-            continue
-        n = int(lengths[last[c]])
-        out[n] = out.get(n, 0) + 1
-        c -= n
+    c = int(best.argmax())
+    for n, better in reversed(took):
+        if c >= n and better[c - n]:
+            out[n] = out.get(n, 0) + 1
+            c -= n
     return out
 
 
-def fractional(hist: dict[int, int], cap: int, rounds: int = ROUNDS) -> list[tuple[float, dict[int, int]]]:
-    """Configurations with fractional multiplicities that use no length more often than it occurs."""
-    lengths = np.array(sorted(hist), dtype=np.int64)
+def fractional(hist: dict[int, int], cap: int, priced: int = PRICED) -> list[tuple[float, dict[int, int]]]:
+    """Configurations with fractional multiplicities that use no length more often than it occurs.
+
+    The weight of a length is its tokens times ``exp(-RATE * covered share)``.
+    Each round prices the ``priced`` least covered lengths and as many others
+    of all sizes, gives the best configuration a ``STEP`` of what its scarcest
+    length still needs, and lowers the weights of what it covers.  Only
+    configurations that fill the sequence are kept: what the others stood for
+    is packed with the remainder, which needs lengths of all kinds.
+    """
+    lengths = np.array(sorted(hist, reverse=True), dtype=np.int64)
     if not len(lengths):
         return []
     counts = np.array([hist[int(n)] for n in lengths], dtype=float)
     at = {int(n): i for i, n in enumerate(lengths)}
     covered, used = np.zeros(len(lengths)), []
-    for _ in range(rounds):
-        # the price of a length falls with its coverage; at the start a token is a token
-        config = best_configuration(lengths * np.exp(-RATE * covered), lengths, cap)
-        step = STEP * min(counts[at[n]] / a for n, a in config.items())
-        used.append((step, config))
+    for _ in range(ROUNDS * len(lengths)):
+        by_need = np.argsort(covered, kind="stable")
+        by_need = by_need[covered[by_need] < DONE]
+        if not len(by_need):
+            break
+        first, rest = by_need[:priced], np.sort(by_need[priced:])
+        some = np.sort(np.concatenate([first, rest[np.linspace(0, len(rest) - 1, min(priced, len(rest))).astype(int)]]))
+        need = (1 - covered[some]) * counts[some]
+        most = np.minimum(np.minimum(cap // lengths[some], np.ceil(need)), REPEATS).astype(np.int64)
+        config = best_configuration(lengths[some] * np.exp(-RATE * covered[some]), lengths[some], most, cap)
+        if not config:
+            break
+        step = STEP * min((1 - covered[at[n]]) * counts[at[n]] / a for n, a in config.items())
+        if sum(n * a for n, a in config.items()) == cap:
+            used.append((step, config))
         for n, a in config.items():
             covered[at[n]] += a * step / counts[at[n]]
-    scale = 1 / max(1.0, float(covered.max()))
-    return [(x * scale, c) for x, c in used]
+    return used
 
 
 def _filling(left: dict[int, int], order: list[int], room: int) -> dict[int, int]:
@@ -172,32 +183,32 @@ def pack(pieces: DataFrame, cap: int = CAPACITY) -> DataFrame:
     return numbered.select(*cols, "position").mapInArrow(place, schema)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def known_pieces(path: str) -> Recent:
+    """Ids of each piece between white space, as little-endian 32-bit numbers; new pieces go to the tokenizer's model.
+
+    The vocabulary never looks across white space, so the ids of a text are
+    those of its pieces, joined.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+    model, rule, letters = Tokenizer.from_file(path).model, load(path), byte_letters()
 
+    def fresh(piece: str) -> bytes:
+        ids: list[int] = []
+        for w in rule.parts(piece):
+            if isinstance(w, int):
+                ids.append(w)
+            else:
+                ids += [t.id for t in model.tokenize(w if w.isascii() and w.isalpha() else "".join([letters[b] for b in w.encode("utf-8", "replace")]))]
+        return array("I", ids).tobytes()
 
-def token_bytes(texts: list[str], path: str, seen: dict[str, bytes]) -> list[bytes]:
-    """Ids of each text, without special ones added, as little-endian 32-bit numbers.
+    return Recent(fresh, PIECES)
 
-    The vocabulary never looks across white space, so pieces between white
-    space go to the tokenizer once and are joined.
-    """
-    cut = [cut_at_space(t) for t in texts]
-    new = list({p for c in cut for p in c if p not in seen})
-    if len(seen) + len(new) > _REMEMBERED:
-        seen.clear()
-        new = list({p for c in cut for p in c})
-    for i in range(0, len(new), 4096):
-        part = new[i:i + 4096]
-        seen.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)))
-    return [b"".join([seen[p] for p in c]) for c in cut]
+
+def token_bytes(text: str | None, known: Recent) -> bytes:
+    """Ids of a text, without special ones added, as little-endian 32-bit numbers."""
+    return b"".join([known[p] for p in cut_at_space(text or "")])
 
 
 def token_pieces(docs: DataFrame, path: str, cap: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -207,12 +218,12 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAPACITY, ids: bool = Fa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, bytes] = {}
+        known = known_pieces(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b, rows = batch.slice(lo, 512), []
-                for i, data in enumerate(token_bytes([t or "" for t in b["text"].to_pylist()], path, seen)):
-                    data += b"\0\0\0\0"
+                for i, t in enumerate(b["text"].to_pylist()):
+                    data = token_bytes(t, known) + b"\0\0\0\0"
                     for k, s in enumerate(range(0, len(data), 4 * cap)):
                         x = data[s:s + 4 * cap]
                         rows.append((i, k, s // 4, len(x) // 4, zlib.crc32(x), np.frombuffer(x, "<u4") if ids else None))
