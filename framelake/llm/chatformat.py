@@ -65,24 +65,29 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def looked_back(nodes: DataFrame) -> list[DataFrame]:
-    """Tables ``tree, node, back, steps, total``, one per doubling.
-
-    ``back`` is the message ``steps`` answers up, null once the root is passed;
-    ``total`` adds the scores on the way.  A message whose parent is missing is
-    a root; messages that answer each other in a circle never arrive.
+def looked_back(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``tree, node, steps, total`` of the messages that reach a root, and the pointers of each doubling.
+
+    Pointer tables hold ``tree, node, back, steps, total``: ``back`` is the
+    message ``steps`` answers up, ``total`` adds the scores on the way.  Only
+    messages that have not arrived take part in the next doubling.  A message
+    whose parent is missing is a root; messages that answer each other in a
+    circle never arrive.
     """
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    first = nodes.join(known, _same(F.col("tree"), F.col("t")) & (F.col("parent") == F.col("p")), "left").select(
-        "tree", "node", F.when(F.col("p").isNotNull(), F.col("parent")).alias("back"), F.lit(1).cast("bigint").alias("steps"), F.col("score").alias("total"))
-    tables = [stored(first)]
-    limit = math.ceil(math.log2(tables[0].count() + 1)) + 1
-    while len(tables) <= limit and not tables[-1].filter(F.col("back").isNotNull()).isEmpty():
-        here = tables[-1]
-        up = here.select(F.col("tree").alias("t"), F.col("node").alias("b"), F.col("back").alias("far"), F.col("steps").alias("more"), F.col("total").alias("gain"))
-        tables.append(stored(here.join(up, _same(F.col("tree"), F.col("t")) & (F.col("back") == F.col("b")), "left").select(
-            "tree", "node", F.col("far").alias("back"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"))))
-    return tables
+    state = stored(nodes.join(known, _same(F.col("tree"), F.col("t")) & (F.col("parent") == F.col("p")), "left").select(
+        "tree", "node", F.when(F.col("p").isNotNull(), F.col("parent")).alias("back"), F.lit(1).cast("bigint").alias("steps"), F.col("score").alias("total")))
+    limit = math.ceil(math.log2(state.count() + 1)) + 1
+    arrived, pointers = state.filter(F.col("back").isNull()), []
+    going = state.filter(F.col("back").isNotNull())
+    while len(pointers) <= limit and not going.isEmpty():
+        pointers.append(going)
+        up = going.union(arrived).select(F.col("tree").alias("t"), F.col("node").alias("b"), F.col("back").alias("far"), F.col("steps").alias("more"), F.col("total").alias("gain"))
+        state = stored(going.join(up, _same(F.col("tree"), F.col("t")) & (F.col("back") == F.col("b"))).select(
+            "tree", "node", F.col("far").alias("back"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("gain")).alias("total")))
+        arrived = arrived.union(state.filter(F.col("back").isNull()))
+        going = state.filter(F.col("back").isNotNull())
+    return arrived.select("tree", "node", "steps", "total"), pointers
 
 
 def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
@@ -91,8 +96,8 @@ def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     Leaves of a tree are ranked by the mean score of their path, ties to the
     smaller leaf; the best ``branches`` (all by default) are kept.
     """
-    tables = looked_back(nodes)
-    done = tables[-1].filter(F.col("back").isNull()).select("tree", "node", "steps", (-F.col("total") / F.col("steps")).alias("cost"))
+    arrived, pointers = looked_back(nodes)
+    done = arrived.select("tree", "node", "steps", (-F.col("total") / F.col("steps")).alias("cost"))
     answered = nodes.filter(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = stored(done.join(answered, _same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("p")), "left_anti"))
     placed = ranked(leaves, ["tree", "cost", "node"])
@@ -102,8 +107,8 @@ def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     if branches is not None:
         chosen = chosen.filter(F.col("branch") < branches)
     out = chosen.select("tree", F.col("node").alias("leaf"), "branch", (F.col("steps") - 1).alias("place"), "node")
-    for t in tables[:-1]:
-        up = t.filter(F.col("back").isNotNull()).select(F.col("tree").alias("t"), F.col("node").alias("m"), "back", "steps")
+    for t in pointers:
+        up = t.select(F.col("tree").alias("t"), F.col("node").alias("m"), "back", "steps")
         out = stored(out)
         further = out.join(up, _same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("m")))
         out = out.union(further.select("tree", "leaf", "branch", (F.col("place") - F.col("steps")).alias("place"), F.col("back").alias("node")))
