@@ -233,6 +233,8 @@ def test_contains_join(spark):
 def test_json_is_cleaned_at_any_depth(spark):
     text = '{"a": ["/x", {"File": [["y", {"z": "k 20240101_120000_7"}], "w", 1.50]}, "q"], "e": "\\\\"", "out_dir": {"n": "plain", "m": null}, "u": "\\/r", "": []}'
     want = '{"a": ["REDACTED_PATH", {"File": [["REDACTED_PATH", {"z": "k REDACTED_VIDEO"}], "REDACTED_PATH", 1.50]}, "q"], "e": "\\\\"", "out_dir": {"n": "plain", "m": null}, "u": "REDACTED_PATH", "": []}'
+    long = '{"k": "' + "word " * 40_000 + '", "path": "' + "z" * 100_000 + '"}'
+    assert spark.createDataFrame([(long,)], "t string").select(SH.sanitize_json(F.col("t"))).first()[0] == '{"k": "' + "word " * 40_000 + '", "path": "REDACTED_PATH"}'
     df = spark.createDataFrame([(text.replace('\\\\"', '\\"'),), (None,), ("3",), ('"/p"',)], "t string")
     got = [r[0] for r in df.select(SH.sanitize_json(F.col("t"))).collect()]
     assert got == [want.replace('\\\\"', '\\"'), None, "3", '"REDACTED_PATH"']
