@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 # Pieces and words that a worker remembers, twice: results do not depend on it.
 PIECES, WORDS = 400_000, 300_000
+LONG = 64  # longer ones are made anew each time, so that what is remembered has a bound
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() cuts here, the vocabulary's \s does not
 
@@ -47,6 +48,8 @@ class Recent(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
