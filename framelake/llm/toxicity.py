@@ -205,9 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = [(r["toxic"], dict(zip(r["at"], r["n"]))) for r in rows.select("toxic", "text").mapInArrow(look, "toxic int, at array<int>, n array<int>").collect()]
     y, m = np.array([t for t, _ in seen], float), len(voters)
     least = needed(voters)
-    x = np.array([features(c, least) for _, c in seen])
+    x = np.zeros((len(seen), m + 2))
     fires = np.zeros((len(seen), m))
     for r, (_, c) in enumerate(seen):
+        x[r] = features(c, least)
         for i, k in c.items():
             fires[r, i] = k >= least[i]
     # two more voters: silence of all others speaks for a clean text, and the label itself
