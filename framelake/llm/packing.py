@@ -5,8 +5,7 @@ bars as a sequence has tokens, whatever the corpus.  The program over
 configurations (multisets of lengths that fit one sequence) is solved
 approximately by multiplicative weights: a knapsack dynamic program prices the
 best configuration under the weights, the weights of what it covers shrink.
-Whole multiplicities are kept, and what rounding leaves is packed largest
-first, filling the rest of the sequence exactly where lengths allow it.
+Multiplicities are whole in every round, so the program decides all sequences.
 Documents are then dealt to configurations by their number among those of
 equal length.
 """
@@ -26,88 +25,68 @@ from .bpe import PIECES, Recent, byte_letters, cut_at_space, load
 from .common import ranked, stored
 
 CAPACITY = 2048
-# Multiplicative weights: rounds per length at most, rate of the weights, step, lengths priced per round,
-# copies of one length in a priced configuration, covered share at which the program counts as solved.
-ROUNDS, RATE, STEP, PRICED, REPEATS, DONE = 2, 4.0, 0.3, 64, 2, 0.5
+# Weights of lengths: power of the length (above 1, so that of equally full configurations the one with the largest pieces wins), rate.
+LARGE, RATE = 1.03, 0.2
 
 Config = tuple[int, dict[int, int]]  # multiplicity, length -> how often
 
 
 def best_configuration(values: np.ndarray, lengths: np.ndarray, most: np.ndarray, cap: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over the capacity: the configuration of greatest value, ``most`` of each length."""
-    best, took = np.zeros(cap + 1), []
-    for v, n, m in zip(values.tolist(), lengths.tolist(), most.tolist()):
-        for _ in range(m):
-            with_it = best[:-n] + v
-            better = with_it > best[n:]
-            took.append((n, better))
-            np.copyto(best[n:], with_it, where=better)
+    """Knapsack by dynamic programming over the capacity: the configuration of greatest value, ``most`` of each length.
+
+    Copies of a length are offered in lots of 1, 2, 4 ... and a rest, which
+    make up every number up to ``most``.  Of the lengths above half the
+    capacity one at most fits, so they are tried on the table of all others.
+    """
+    large, lots = 2 * lengths > cap, []
+    for v, n, m in zip(values[~large].tolist(), lengths[~large].tolist(), most[~large].tolist()):
+        k = 1
+        while m > 0:
+            k = min(k, m)
+            lots.append((v * k, n, k))
+            m, k = m - k, 2 * k
+    best, with_it, took = np.zeros(cap + 1), np.empty(cap + 1), np.zeros((len(lots), cap + 1), bool)
+    for i, (v, n, k) in enumerate(lots):
+        w = n * k
+        np.add(best[:cap + 1 - w], v, out=with_it[w:])
+        np.greater(with_it[w:], best[w:], out=took[i, w:])
+        np.maximum(best[w:], with_it[w:], out=best[w:])
     out: dict[int, int] = {}
-    c = int(best.argmax())
-    for n, better in reversed(took):
-        if c >= n and better[c - n]:
-            out[n] = out.get(n, 0) + 1
-            c -= n
+    c = cap
+    if large.any():
+        total = values[large] + best[cap - lengths[large]]
+        if total.max() > best[cap]:
+            n = int(lengths[large][total.argmax()])
+            out[n], c = 1, cap - n
+    for i in range(len(lots) - 1, -1, -1):
+        if took[i, c]:
+            _, n, k = lots[i]
+            out[n] = out.get(n, 0) + k
+            c -= n * k
     return out
 
 
-def fractional(hist: dict[int, int], cap: int, priced: int = PRICED) -> list[tuple[float, dict[int, int]]]:
-    """Configurations with fractional multiplicities that use no length more often than it occurs.
+def configurations(hist: dict[int, int], cap: int) -> list[Config]:
+    """Configurations with whole multiplicities that use every piece exactly once.
 
-    The weight of a length is its tokens times ``exp(-RATE * covered share)``.
-    Each round prices the ``priced`` least covered lengths and as many others
-    of all sizes, gives the best configuration a ``STEP`` of what its scarcest
-    length still needs, and lowers the weights of what it covers.  Only
-    configurations that fill the sequence are kept: what the others stood for
-    is packed with the remainder, which needs lengths of all kinds.
+    The weight of a length is ``length ** LARGE * exp(-RATE * covered share)``.
+    Each round prices all lengths that are not covered, with as many copies of
+    each as fit and are left, takes the best configuration as often as its
+    scarcest length allows, and lowers the weights of what it covers.
+    Multiplicities are whole from the start, so rounding leaves nothing.
     """
     lengths = np.array(sorted(hist, reverse=True), dtype=np.int64)
-    if not len(lengths):
-        return []
-    counts = np.array([hist[int(n)] for n in lengths], dtype=float)
-    at = {int(n): i for i, n in enumerate(lengths)}
-    covered, used = np.zeros(len(lengths)), []
-    for _ in range(ROUNDS * len(lengths)):
-        by_need = np.argsort(covered, kind="stable")
-        by_need = by_need[covered[by_need] < DONE]
-        if not len(by_need):
-            break
-        first, rest = by_need[:priced], np.sort(by_need[priced:])
-        some = np.sort(np.concatenate([first, rest[np.linspace(0, len(rest) - 1, min(priced, len(rest))).astype(int)]]))
-        need = (1 - covered[some]) * counts[some]
-        most = np.minimum(np.minimum(cap // lengths[some], np.ceil(need)), REPEATS).astype(np.int64)
-        config = best_configuration(lengths[some] * np.exp(-RATE * covered[some]), lengths[some], most, cap)
-        if not config:
-            break
-        step = STEP * min((1 - covered[at[n]]) * counts[at[n]] / a for n, a in config.items())
-        if sum(n * a for n, a in config.items()) == cap:
-            used.append((step, config))
-        for n, a in config.items():
-            covered[at[n]] += a * step / counts[at[n]]
-    return used
-
-
-def _filling(left: dict[int, int], order: list[int], room: int) -> dict[int, int]:
-    """Lengths from ``left`` that fill ``room`` best, larger ones preferred.  Subset sums are bits of one integer."""
-    mask, reach, steps = (1 << room + 1) - 1, 1, []
-    for n in order:
-        if n > room:
-            continue
-        for _ in range(min(left[n], room // n)):
-            wider = (reach | reach << n) & mask
-            if wider == reach:
-                break
-            steps.append((n, reach))
-            reach = wider
-            if reach >> room & 1:
-                break
-        if reach >> room & 1:
-            break
-    total, out = reach.bit_length() - 1, {}
-    for n, before in reversed(steps):
-        if total and not before >> total & 1:
-            out[n] = out.get(n, 0) + 1
-            total -= n
+    counts = np.array([hist[int(n)] for n in lengths], dtype=np.int64)
+    left, at = counts.copy(), {int(n): i for i, n in enumerate(lengths)}
+    out: list[Config] = []
+    while len(some := np.flatnonzero(left)):
+        n = lengths[some]
+        weights = n ** LARGE * np.exp(-RATE * (1 - left[some] / counts[some]))
+        config = best_configuration(weights, n, np.minimum(cap // n, left[some]), cap)
+        m = min(int(left[at[k]]) // a for k, a in config.items())
+        out.append((m, config))
+        for k, a in config.items():
+            left[at[k]] -= m * a
     return out
 
 
@@ -117,25 +96,7 @@ def plan(hist: dict[int, int], cap: int = CAPACITY) -> list[Config]:
     if any(not 0 < n <= cap for n in left):
         raise ValueError(f"lengths must lie in 1..{cap}")
     out: list[Config] = [(left.pop(cap), {cap: 1})] if cap in left else []
-    for x, config in fractional(left, cap):
-        if (m := int(x)) and all(left.get(n, 0) >= m * a for n, a in config.items()):
-            out.append((m, config))
-            for n, a in config.items():
-                left[n] -= m * a
-    left = {n: c for n, c in left.items() if c}
-    order = sorted(left, reverse=True)
-    while order:
-        n = order[0]
-        left[n] -= 1
-        config = _filling(left, order, cap - n)
-        left[n] += 1
-        config[n] = config.get(n, 0) + 1
-        m = min(left[k] // a for k, a in config.items())
-        out.append((m, config))
-        for k, a in config.items():
-            left[k] -= m * a
-        order = [k for k in order if left[k]]
-    return out
+    return out + configurations(left, cap)
 
 
 def places(configs: list[Config]) -> dict[str, np.ndarray]:

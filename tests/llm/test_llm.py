@@ -146,6 +146,17 @@ def test_plan_uses_every_piece_once_and_few_sequences(seed):
     assert sum(m for m, _ in configs) <= least * 1.02 + 1
 
 
+def test_plan_prices_all_lengths_in_any_number():
+    # 20 copies of one length fill a sequence; of all lengths in equal numbers, the plan leaves no token free
+    for hist, cap in ((dict.fromkeys(range(1, 257), 40), 256), ({5: 4000}, 100)):
+        configs, used = packing.plan(hist, cap), Counter()
+        for m, c in configs:
+            for n, a in c.items():
+                used[n] += m * a
+        assert used == hist
+        assert sum(m for m, _ in configs) == sum(n * a for n, a in hist.items()) // cap
+
+
 def test_packed_matches_tokenizer(spark, odd, none, tokenizer):
     got = packing.packed(odd, PATH, 64).collect()
     want = Counter()
