@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from framelake.session import scratch_path
+
 from . import bpe, chatformat, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup, toxicity, warc
 from .common import stored, table
 
@@ -52,9 +54,10 @@ def op1(spark, sf_dir):
 
 @query("op2_flow_resharding")
 def op2(spark, sf_dir):
-    """From twelve shards by checksum of the id to sixteen of equal bytes."""
+    """From twelve shards by checksum of the id to sixteen of equal bytes; affected shards are written and read back."""
     old = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(12))
-    placed, _ = reshard.reshard(table(spark, sf_dir, "documents"), F.coalesce(old, F.lit(0)), 16)
+    docs = reshard.from_files(table(spark, sf_dir, "documents"))
+    placed = reshard.resharded(docs, F.coalesce(old, F.lit(0)), 16, scratch_path(spark, "shards"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -10,7 +10,7 @@ nearly equal.  Only shards that lose or gain rows are written anew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import ranked, stored
 
@@ -60,24 +60,48 @@ def even(total: int, shards: int) -> dict[int, int]:
     return {j: total // shards + (j < total % shards) for j in range(shards)}
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int) -> tuple[DataFrame, list[Arc]]:
-    """``doc_id, size, text_crc32, old_shard, shard, slot`` and the transfers.
+def shares(total: int, capacities: dict[int, int]) -> dict[int, int]:
+    """Shares of ``total`` in proportion to the capacities, whole, the earlier ones rounded first."""
+    whole, sofar, given, out = sum(capacities.values()), 0, 0, {}
+    if whole <= 0 or min(capacities.values()) < 0:
+        raise ValueError("capacities must not be negative and not all zero")
+    for j in sorted(capacities):
+        sofar += capacities[j]
+        out[j] = total * sofar // whole - given
+        given += out[j]
+    return out
 
-    A row weighs its text's UTF-8 bytes plus one; null texts weigh one.
-    Repeated rows are rows of their own.
+
+def from_files(docs: DataFrame) -> DataFrame:
+    """Add ``_row``, the file and line of a row, to a table that is read from Parquet files as it stands."""
+    return docs.withColumn("_row", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line")))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``_row`` for any table; it holds only for what is stored from this frame."""
+    return df if "_row" in df.columns else df.withColumn("_row", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("line")))
+
+
+def reshard(docs: DataFrame, old_shard: Column, shards: int | dict[int, int]) -> tuple[DataFrame, list[Arc]]:
+    """``doc_id, size, text_crc32, old_shard, shard, slot, _row`` and the transfers.
+
+    ``shards``: how many of equal bytes, or the capacity of each.  A row weighs
+    its text's UTF-8 bytes plus one; null texts weigh one.  Repeated rows are
+    rows of their own, told apart by ``_row``, which is kept if given.
     """
     text = F.coalesce("text", F.lit(""))
-    sized = stored(docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    sized = stored(_numbered(docs).select(
+        "doc_id", "_row", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
         .withColumn("_small", -F.floor(F.log2("size"))).withColumn("_tie", F.xxhash64("doc_id", "text_crc32")))
     supply = {r["old_shard"]: r["n"] for r in sized.groupBy("old_shard").agg(F.sum("size").alias("n")).collect()}
-    arcs = flow(supply, even(sum(supply.values()), shards))
+    total = sum(supply.values())
+    arcs = flow(supply, even(total, shards) if isinstance(shards, int) else shares(total, shards))
     # stretches in the order of the rows: old shard by old shard, what stays first
     ends, total = [], 0
     for i, j, n in sorted(arcs, key=lambda a: (a[0], a[0] != a[1], a[1])):
         total += n
         ends.append((total, j))
-    rows = ranked(sized, ["old_shard", "_small", "_tie", "doc_id", "size"], "size")
+    rows = ranked(sized, ["old_shard", "_small", "_tie", "doc_id", "size", "_row"], "size")
     middle = F.col("before") + F.col("size") / 2
     at = F.size(F.filter(F.array(*[F.lit(e).cast("bigint") for e, _ in ends]), lambda e: e <= middle)) if ends else F.lit(0)
     to = F.get(F.array(*[F.lit(j) for _, j in ends]), F.col("stretch")) if ends else F.lit(0)
@@ -89,7 +113,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int) -> tuple[DataFrame,
         slot0[r["stretch"]] = seen.get(r["shard"], 0) - r["first"]
         seen[r["shard"]] = seen.get(r["shard"], 0) + r["n"]
     shift = F.get(F.array(*[F.lit(slot0.get(k, 0)).cast("bigint") for k in range(len(ends))]), F.col("stretch")) if ends else F.lit(0)
-    return rows.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("position") + shift).cast("bigint").alias("slot")), arcs
+    return rows.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("position") + shift).cast("bigint").alias("slot"), "_row"), arcs
 
 
 def affected(arcs: list[Arc]) -> list[int]:
@@ -98,11 +122,36 @@ def affected(arcs: list[Arc]) -> list[int]:
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, arcs: list[Arc], path: str) -> None:
-    """Write the documents of every affected new shard below ``path``, one folder per shard.
+    """Write the documents of every affected new shard below ``path``, one folder per shard, with their ``slot``.
 
-    Rows find their place by id and checksum; equal rows are interchangeable.
+    Every row goes to its own place.  Rows find it by ``_row`` where ``docs``
+    has it; else documents and places are both numbered by id, checksum and
+    row, and equal numbers belong together (equal rows are interchangeable).
     """
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    where = placed.filter(F.col("shard").isin(affected(arcs)) if arcs else F.lit(False)).select(F.col("doc_id").alias("_d"), F.col("text_crc32").alias("_c"), "shard").dropDuplicates(["_d", "_c"])
-    moved = docs.withColumn("_crc", crc).join(where, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_crc") == F.col("_c"))).drop("_d", "_c", "_crc")
-    moved.write.mode("overwrite").partitionBy("shard").parquet(path)
+    cols = [c for c in docs.columns if c not in ("_row", "shard", "slot")]
+    if "_row" not in docs.columns:
+        docs = stored(_numbered(docs).withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
+        mine = ranked(docs.select("doc_id", "_crc", "_row"), ["doc_id", "_crc", "_row"]).select("position", "_row")
+        theirs = ranked(stored(placed), ["doc_id", "text_crc32", "_row"]).select("position", "shard", "slot")
+        placed = mine.join(theirs, "position")
+    where = placed.filter(F.col("shard").isin(affected(arcs)) if arcs else F.lit(False)).select("_row", "shard", "slot")
+    docs.select("_row", *cols).join(where, "_row").select(*cols, "slot", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def resharded(docs: DataFrame, old_shard: Column, shards: int | dict[int, int], path: str) -> DataFrame:
+    """Place the rows, write the affected shards below ``path`` and return ``doc_id, size, text_crc32, shard, slot``.
+
+    Rows of affected shards are those of the files; all others stay where they are.
+    """
+    placed, arcs = reshard(docs, old_shard, shards)
+    placed = stored(placed)
+    rewrite(docs, placed, arcs, path)
+    hit = affected(arcs)
+    stay = placed.filter(~F.col("shard").isin(hit)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    if not hit:
+        return stay
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    text = F.coalesce("text", F.lit(""))
+    back = docs.sparkSession.read.schema(schema).parquet(path).select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), "shard", "slot")
+    return back.unionByName(stay)

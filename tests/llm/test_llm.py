@@ -127,6 +127,30 @@ def test_shares_are_near_equal(spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.02 * max(sizes)
 
 
+def test_repeated_rows_are_written_where_they_are_placed(spark, tmp_path):
+    rows = [(None, None)] * 300 + [(i, "x" * (i % 3)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    old = F.coalesce(F.pmod(F.col("doc_id"), F.lit(3)), F.lit(0))
+    placed, arcs = reshard.reshard(docs, old, {0: 1, 1: 1, 2: 1, 3: 2})
+    placed = common.stored(placed)
+    reshard.rewrite(docs, placed, arcs, str(tmp_path / "out"))
+    key = lambda r: (r["shard"], r["slot"], r["doc_id"], r["text_crc32"])
+    want = Counter(key(r) for r in placed.collect() if r["shard"] in reshard.affected(arcs))
+    back = spark.read.parquet(str(tmp_path / "out")).withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    assert Counter(key(r) for r in back.collect()) == want and len({k[0] for k in want if k[2] is None}) > 1
+    assert reshard.shares(100, {0: 3, 1: 1, 2: 1, 3: 1}) == {0: 50, 1: 16, 2: 17, 3: 17}
+
+
+def test_op2_reads_the_written_shards(spark, sf, tmp_path):
+    got = corpus_pipeline.queries.QUERIES["op2_flow_resharding"](spark, sf)
+    assert any("/shards-" in f and "/shard=" in f for f in got.inputFiles())
+    docs = common.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    want = Counter((r["doc_id"], zlib.crc32(r["text"].encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got.collect()) == want
+    for r in got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("k"), F.max("slot").alias("m")).collect():
+        assert r["n"] == r["k"] == r["m"] + 1
+
+
 # --- 3 packing
 
 @pytest.mark.parametrize("seed", range(4))
