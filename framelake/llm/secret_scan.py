@@ -5,7 +5,8 @@ owners carry the same value decides what a candidate is: a value that many
 owners carry is an example that was copied around; a value that one owner
 carries looks live.  Base patterns stay in the result either way; opaque
 tokens, which are too common to be reported as such, are added where their
-value belongs to one owner.
+value belongs to one owner.  Masking goes further: it replaces opaque tokens
+too up to the number of owners from which on a value counts as copied.
 """
 
 from __future__ import annotations
@@ -65,16 +66,16 @@ def ownership(hits: DataFrame) -> DataFrame:
     return per_owner.groupBy("value").agg(F.count("owner").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def judged(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
+def judged(docs: DataFrame, owner: Column, repo: Column, opaque: int = 1) -> DataFrame:
     """One row per document: ``row, doc_id, found`` and ``kept``, the spans that stand, each with its owners.
 
-    Base spans always stand; opaque tokens where one owner alone carries the
-    value.  ``row`` numbers the rows, so repeated documents keep theirs.
+    Base spans always stand; opaque tokens where ``opaque`` owners at most
+    carry the value.  ``row`` numbers the rows, so repeated documents keep theirs.
     """
     seen = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", owner.cast("string").alias("owner"),
                               repo.cast("string").alias("repo"), candidates(F.col("text")).alias("found")))
     hits = seen.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
-    by_row = (hits.join(ownership(hits), "value").filter((F.col("kind") < 3) | (F.col("owners") == 1))
+    by_row = (hits.join(ownership(hits), "value").filter((F.col("kind") < 3) | (F.col("owners") <= opaque))
               .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repos"))).alias("kept")))
     return seen.join(by_row, "row", "left").select("row", "doc_id", "found", "kept")
 
@@ -100,14 +101,14 @@ def scanned(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
 def masked(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     """The documents with standing spans replaced: ``[EXAMPLE]`` for copied examples, ``[SECRET]`` for all others.
 
-    Overlapping spans are replaced as one.  Only documents with a candidate are
+    An opaque token is left only where it counts as a copied example.  Overlapping spans are replaced as one.  Only documents with a candidate are
     shuffled; columns stay as they are, ``n_chars`` follows the text.
     """
     cols = docs.columns
     key = F.xxhash64("doc_id", "text")
     hit = F.size(candidates(F.col("text"))) > 0
     some = docs.filter(hit)
-    spans_of = (judged(some.withColumns({"_owner": owner, "_repo": repo}).select(F.struct(F.col("doc_id"), key.alias("k")).alias("doc_id"), "text", "_owner", "_repo"), F.col("_owner"), F.col("_repo"))
+    spans_of = (judged(some.withColumns({"_owner": owner, "_repo": repo}).select(F.struct(F.col("doc_id"), key.alias("k")).alias("doc_id"), "text", "_owner", "_repo"), F.col("_owner"), F.col("_repo"), COPIED - 1)
                 .select(F.col("doc_id.k").alias("_k"), F.coalesce("kept", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:bigint,owners:bigint,repos:bigint>>")).alias("_kept"))
                 .dropDuplicates(["_k"]))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))

@@ -382,6 +382,14 @@ def test_masking_keeps_documents(odd, none):
     assert secret_scan.masked(none, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_opaque_tokens_of_two_owners_are_masked(spark):
+    t = "see aB3dE5fG7hI9jK1lM3nO5pQ7 there"
+    u, v = t.replace("aB3", "zZ9"), t.replace("aB3", "yY8")
+    df = spark.createDataFrame([(1, t, "a"), (2, u, "a"), (3, u, "b"), (4, v, "a"), (5, v, "b"), (6, v, "c")], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.masked(df, F.col("source"), F.col("source")).collect()}
+    assert got == {1: "see [SECRET] there", 2: "see [SECRET] there", 3: "see [SECRET] there", 4: v, 5: v, 6: v}
+
+
 # --- 9 WARC
 
 def test_audit_finds_each_fault(spark):
