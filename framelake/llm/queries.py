@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framelake.session import scratch_path
 
-from . import bpe, chatformat, filter_audit, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup, toxicity, warc
+from . import bpe, chatformat, embedding_dedup, filter_audit, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup, toxicity, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,20 @@ def op10(spark, sf_dir):
     return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op11_embedding_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings
+LEFT JOIN (SELECT u AS vec_id, count(*) AS n FROM pairs GROUP BY u) USING (vec_id)
+LEFT JOIN (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u) USING (vec_id)""")
+def op11(spark, sf_dir):
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_filter_audit", r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
