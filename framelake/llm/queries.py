@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framelake.session import scratch_path
 
-from . import bpe, chatformat, embedding_dedup, filter_audit, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup, toxicity, warc
+from . import bpe, chatformat, collocations, embedding_dedup, filter_audit, fingerprints, hilbert_ann, packing, reshard, secret_scan, simhash_dedup, toxicity, warc
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,30 @@ def op11(spark, sf_dir):
     return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_phrase_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM said GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, (len(w) - k + 2)::BIGINT), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM said, range(1, 5) AS t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+candidate AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_phrase AS (
+  SELECT lang, a, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) AS phrase FROM candidate, range(2, 4) AS t(j) WHERE j < k),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_phrase GROUP BY ALL),
+kept AS (SELECT lang, phrase, a, k, w FROM candidate LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT),
+cut AS (
+  SELECT kept.lang, kept.phrase, kept.a, c, x.a AS l, y.a AS r, ((2000000 * kept.a::HUGEINT) // (x.a + y.a))::BIGINT AS score
+  FROM kept JOIN range(1, 4) AS t(c) ON c < k JOIN f x ON x.lang = kept.lang AND x.phrase = array_to_string(w[1:c], ' ') JOIN f y ON y.lang = kept.lang AND y.phrase = array_to_string(w[c + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN total USING (lang) WHERE rank <= 2000""")
+def op12(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_filter_audit", r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
