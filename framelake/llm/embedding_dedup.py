@@ -101,10 +101,14 @@ class Cells:
 
 
 def chosen(sample: np.ndarray, labels: np.ndarray, n: int, threshold: float) -> Cells:
-    """The number of cells (a power of four) with the least estimated work for ``n`` vectors like the sample."""
+    """The number of cells (a power of four) with the least estimated work for ``n`` vectors like the sample.
+
+    Centroids come from one half of the sample, the estimate from the other.
+    """
     best, least, k = None, np.inf, 4
+    train, sample, labels = (sample[::2], sample[1::2], labels[1::2]) if len(sample) > 1 else (sample, sample, labels)
     while k <= MOST:
-        cells = Cells(fit(sample, k), threshold)
+        cells = Cells(fit(train, k), threshold)
         home, angle = cells.home(sample)
         np.maximum.at(cells.reach, home, 0)
         cells.reach = np.array([angle[home == c].max(initial=0) for c in range(len(cells.centroids))])
