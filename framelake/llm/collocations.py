@@ -32,7 +32,7 @@ from .common import stored
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 # Bytes of text summed at once in a task, of a range, of the sample that sets the borders of ranges; border candidates per range.
-UNIT, RANGE, SAMPLE, EACH = 8 << 20, 4 << 20, 4 << 20, 64
+UNIT, RANGE, SAMPLE, EACH = 3 << 20, 4 << 20, 4 << 20, 64
 # Words of a path read as one value.
 STRETCH = 1024
 _BREAKS, _GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -48,16 +48,16 @@ class Grams:
 
     def __init__(self, languages: Sequence[bytes], vocabulary: pa.Array, language: np.ndarray, words: np.ndarray, counts: np.ndarray):
         """``words``: one row per place of a gram; unsorted, repeats allowed."""
-        high = language.astype(np.int64) << 2 * _BITS | words[0] << _BITS | words[1]
-        low = words[2] << _BITS | words[3]
+        high = language.astype(np.int64) << 2 * _BITS | words[0].astype(np.int64) << _BITS | words[1]
+        low = words[2].astype(np.int64) << _BITS | words[3]
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
         new = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(order) else order
+        del high, low
         self.languages, self.vocabulary = languages, vocabulary
         self.counts = np.add.reduceat(counts[order], new) if len(new) else counts[:0]
-        at, mask = order[new], (1 << _BITS) - 1
-        self.language, self.words = language[at].astype(np.int64), words[:, at]
-        self.high, self.mask = high[new], mask
+        at = order[new]
+        self.language, self.words = language[at].astype(np.int32), words[:, at].astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.counts)
@@ -70,8 +70,8 @@ def sorted_codes(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Different values in byte order, and the place of each value there, from 1."""
     coded = values.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(1, len(order) + 1)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(1, len(order) + 1, dtype=np.int32)
     return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy(zero_copy_only=False)]
 
 
@@ -88,8 +88,8 @@ def gathered(texts: Sequence[bytes], languages: Sequence[bytes]) -> Grams:
     names = sorted(set(languages))
     of = {x: i for i, x in enumerate(names)}
     begin = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-    language = np.array([of[x] for x in languages], np.int64)[np.searchsorted(begin, starts, "right") - 1]
-    n, words = len(ids), np.zeros((LONGEST, len(ids)), np.int64)
+    language = np.array([of[x] for x in languages], np.int32)[np.searchsorted(begin, starts, "right") - 1]
+    n, words = len(ids), np.zeros((LONGEST, len(ids)), np.int32)
     for k in range(LONGEST):
         same = piece[k:] == piece[:n - k] if k < n else np.zeros(0, bool)
         words[k, :len(same)] = np.where(same, ids[k:], 0)
@@ -122,6 +122,7 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[Grams]:
                 if size >= UNIT:
                     yield gathered(texts, languages)
                     texts, languages, size = [], [], 0
+                    pa.default_memory_pool().release_unused()
     if texts:
         yield gathered(texts, languages)
 
@@ -158,7 +159,7 @@ def merged(blocks: Sequence[bytes]) -> Grams:
     languages, lang = sorted_codes(pa.concat_arrays(names))
     gram, language, at, of = [], [], 0, 0
     for c, w, x in zip(columns, words, names):
-        codes = np.concatenate([[0], word[at:at + len(w)]])
+        codes = np.concatenate([np.zeros(1, np.int32), word[at:at + len(w)]])
         gram.append(codes[np.stack([c[f"w{k}"].to_numpy() for k in range(LONGEST)])])
         language.append(lang[of + c["lang"].to_numpy()] - 1)
         at, of = at + len(w), of + len(x)
