@@ -1,12 +1,16 @@
 """Packing documents into sequences of fixed length by a configuration linear program.
 
 Only the histogram of lengths matters for the plan, and it has at most as many
-bars as a sequence has tokens, whatever the corpus.  The program over
-configurations (multisets of lengths that fit one sequence) is solved
-approximately by multiplicative weights: a knapsack dynamic program prices the
-best configuration under the weights, the weights of what it covers shrink.
-Multiplicities are whole in every round, so the program decides all sequences.
-Documents are then dealt to configurations by their number among those of
+bars as a sequence has tokens, whatever the corpus.  The program asks for the
+fewest configurations (multisets of lengths that fit one sequence), fractions
+allowed, that cover every bar.  Multiplicative weights solve it: a length's
+weight is its price, a knapsack dynamic program finds the configurations of
+greatest price, a step with one of them lowers the weights of what it covers.
+The prices over the greatest price bound the program from below.
+
+Whole multiples of the result are dealt; what rounding leaves is a smaller
+program of the same kind, and the last pieces are dealt by best fit.
+Documents are then given to configurations by their number among those of
 equal length.
 """
 
@@ -15,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,69 +30,143 @@ from .bpe import PIECES, Recent, byte_letters, cut_at_space, load
 from .common import ranked, stored
 
 CAPACITY = 2048
-# Weights of lengths: power of the length (above 1, so that of equally full configurations the one with the largest pieces wins), rate.
-LARGE, RATE = 1.03, 0.2
+# Pricings of a program, steps and new configurations after each, configurations that take part in steps, gap to the bound at which it ends.
+PRICINGS, STEPS, FRESH, POOL, GAP = 120, 160, 160, 2500, 5e-4
+# A priced configuration is near enough to the best; the learning rate at first, its factor per tenth of the pricings, its least; weight lost in a step.
+NEAR, RATE, COOLING, LEAST_RATE, LOSS = 0.1, 0.5, 0.65, 0.03, 0.3
+# Programs in a row, each for the rest of the one before.
+PROGRAMS = 4
 
 Config = tuple[int, dict[int, int]]  # multiplicity, length -> how often
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, most: np.ndarray, cap: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over the capacity: the configuration of greatest value, ``most`` of each length.
+def priced(price: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the greatest price within each capacity, and a length to take there (0: none).
 
-    Copies of a length are offered in lots of 1, 2, 4 ... and a rest, which
-    make up every number up to ``most``.  Of the lengths above half the
-    capacity one at most fits, so they are tried on the table of all others.
+    ``price``: by length, minus infinity where there is none; any number of
+    copies may be taken.  Of equal prices the longest length is taken.
     """
-    large, lots = 2 * lengths > cap, []
-    for v, n, m in zip(values[~large].tolist(), lengths[~large].tolist(), most[~large].tolist()):
-        k = 1
-        while m > 0:
-            k = min(k, m)
-            lots.append((v * k, n, k))
-            m, k = m - k, 2 * k
-    best, with_it, took = np.zeros(cap + 1), np.empty(cap + 1), np.zeros((len(lots), cap + 1), bool)
-    for i, (v, n, k) in enumerate(lots):
-        w = n * k
-        np.add(best[:cap + 1 - w], v, out=with_it[w:])
-        np.greater(with_it[w:], best[w:], out=took[i, w:])
-        np.maximum(best[w:], with_it[w:], out=best[w:])
-    out: dict[int, int] = {}
-    c = cap
-    if large.any():
-        total = values[large] + best[cap - lengths[large]]
-        if total.max() > best[cap]:
-            n = int(lengths[large][total.argmax()])
-            out[n], c = 1, cap - n
-    for i in range(len(lots) - 1, -1, -1):
-        if took[i, c]:
-            _, n, k = lots[i]
-            out[n] = out.get(n, 0) + k
-            c -= n * k
+    best, take = np.zeros(cap + 1), np.zeros(cap + 1, np.int64)
+    for c in range(1, cap + 1):
+        v = best[:c] + price[c:0:-1]
+        k = int(v.argmax())
+        best[c], take[c] = (v[k], c - k) if v[k] > best[c - 1] else (best[c - 1], 0)
+    return best, take
+
+
+def _filled(take: list[int], n: int, cap: int) -> dict[int, int]:
+    """The best configuration that holds ``n``."""
+    out, c = {n: 1}, cap - n
+    while c > 0:
+        k = take[c]
+        if k:
+            out[k] = out.get(k, 0) + 1
+        c -= k or 1
     return out
 
 
-def configurations(hist: dict[int, int], cap: int) -> list[Config]:
-    """Configurations with whole multiplicities that use every piece exactly once.
-
-    The weight of a length is ``length ** LARGE * exp(-RATE * covered share)``.
-    Each round prices all lengths that are not covered, with as many copies of
-    each as fit and are left, takes the best configuration as often as its
-    scarcest length allows, and lowers the weights of what it covers.
-    Multiplicities are whole from the start, so rounding leaves nothing.
-    """
-    lengths = np.array(sorted(hist, reverse=True), dtype=np.int64)
-    counts = np.array([hist[int(n)] for n in lengths], dtype=np.int64)
-    left, at = counts.copy(), {int(n): i for i, n in enumerate(lengths)}
-    out: list[Config] = []
-    while len(some := np.flatnonzero(left)):
-        n = lengths[some]
-        weights = n ** LARGE * np.exp(-RATE * (1 - left[some] / counts[some]))
-        config = best_configuration(weights, n, np.minimum(cap // n, left[some]), cap)
-        m = min(int(left[at[k]]) // a for k, a in config.items())
-        out.append((m, config))
-        for k, a in config.items():
-            left[at[k]] -= m * a
-    return out
+class Program:
+    """Fractional solution for a histogram: ``share`` of each configuration of ``pool``, ``cover`` of each length, lower ``bound``."""
+
+    def __init__(self, hist: dict[int, int], cap: int):
+        self.cap, self.lengths = cap, np.array(sorted(hist))
+        self.counts = np.array([hist[n] for n in self.lengths.tolist()], float)
+        self.at = {n: i for i, n in enumerate(self.lengths.tolist())}
+        self.pool: list[dict[int, int]] = []
+        self.known: set[tuple] = set()
+        self.index, self.copies = np.zeros((0, 2), np.int64), np.zeros((0, 2))
+        self.bound = 0.0
+        self._clear()
+        self._solve()
+
+    def _clear(self) -> None:
+        self.share, self.cover = np.zeros(len(self.pool)), np.zeros(len(self.lengths))
+
+    def _add(self, fresh: list[dict[int, int]]) -> None:
+        fresh = [c for c in fresh if (k := tuple(sorted(c.items()))) not in self.known and not self.known.add(k)]
+        width = max([self.index.shape[1], *map(len, fresh)])
+        grown = [np.pad(x, ((0, len(fresh)), (0, width - x.shape[1]))) for x in (self.index, self.copies)]
+        for i, c in enumerate(fresh, len(self.pool)):
+            grown[0][i, :len(c)], grown[1][i, :len(c)] = [self.at[n] for n in c], list(c.values())
+        self.index, self.copies = grown
+        self.pool += fresh
+        self.share = np.pad(self.share, (0, len(fresh)))
+
+    def _price(self, weight: np.ndarray) -> None:
+        """Improve the bound and add the best configurations of lengths that are covered least."""
+        price = np.full(self.cap + 1, -np.inf)
+        price[self.lengths] = weight
+        best, take = priced(price, self.cap)
+        self.bound = max(self.bound, float(self.counts @ weight / best[self.cap]))
+        value = weight + best[self.cap - self.lengths]
+        near = np.flatnonzero(value >= best[self.cap] * (1 - NEAR))
+        order = np.lexsort((-self.counts[near] * self.lengths[near], self.cover[near]))
+        take = take.tolist()
+        self._add([_filled(take, n, self.cap) for n in self.lengths[near[order[:FRESH]]].tolist()])
+
+    def _steps(self, weight: np.ndarray, rate: float) -> None:
+        """Steps with the dearest configurations; each lowers the weight of its lengths by about ``LOSS`` of the configuration's price."""
+        value = (weight[self.index] * self.copies).sum(1)
+        act = np.argpartition(-value, POOL)[:POOL] if len(value) > POOL else np.arange(len(value))
+        index, copies = self.index[act], self.copies[act]
+        for _ in range(STEPS):
+            value = (weight[index] * copies).sum(1)
+            j = int(value.argmax())
+            some = copies[j] > 0
+            i, a = index[j][some], copies[j][some]
+            gain = a / self.counts[i]
+            step = LOSS / (rate * float((weight[i] * a * gain).sum() / value[j]))
+            self.cover[i] += step * gain
+            self.share[act[j]] += step
+            weight[i] *= np.exp(-rate * step * gain)
+
+    def _solve(self) -> None:
+        weight, rate, tenth = self.lengths / self.cap, RATE, max(1, PRICINGS // 10)
+        for r in range(1, PRICINGS + 1):
+            weight = np.maximum(weight / weight.max(), 1e-12)
+            self._price(weight)
+            self._steps(weight, rate)
+            if r % tenth == 0 and r < 0.6 * PRICINGS:  # prices are learnt, the shares so far are not kept
+                self._clear()
+                rate = max(rate * COOLING, LEAST_RATE)
+            least = self.cover.min()
+            if least > 2 and self.share.sum() <= least * self.bound * (1 + GAP):
+                break
+
+    def dealt(self, hist: dict[int, int], scale: float) -> tuple[list[Config], dict[int, int]]:
+        """Whole multiples of the scaled shares, and the pieces they leave."""
+        left, out = Counter(hist), []
+        for j in np.argsort(-self.share, kind="stable").tolist():
+            if self.share[j] <= 0:
+                break
+            m = min(int(self.share[j] * scale), *(left[n] // a for n, a in self.pool[j].items()))
+            if m:
+                out.append((m, self.pool[j]))
+                left.subtract({n: a * m for n, a in self.pool[j].items()})
+        return out, {n: c for n, c in left.items() if c}
+
+
+def best_fit(hist: dict[int, int], cap: int) -> list[Config]:
+    """Best fit of the longest first, by counts: equal sequences are filled together."""
+    rooms: dict[int, list[Config]] = {}
+    for n in sorted(hist, reverse=True):
+        c = hist[n]
+        while c:
+            room = min((r for r in rooms if r >= n), default=cap)
+            m, config = rooms[room].pop() if room in rooms else (c, {})
+            if room in rooms and not rooms[room]:
+                del rooms[room]
+            k = min(room // n, c)
+            take = min(m, c // k)
+            if take < m and config:
+                rooms.setdefault(room, []).append((m - take, config))
+            rooms.setdefault(room - k * n, []).append((take, {**config, n: config.get(n, 0) + k}))
+            c -= k * take
+    return [x for r in rooms.values() for x in r]
+
+
+def _number(configs: list[Config]) -> int:
+    return sum(m for m, _ in configs)
 
 
 def plan(hist: dict[int, int], cap: int = CAPACITY) -> list[Config]:
@@ -96,7 +175,20 @@ def plan(hist: dict[int, int], cap: int = CAPACITY) -> list[Config]:
     if any(not 0 < n <= cap for n in left):
         raise ValueError(f"lengths must lie in 1..{cap}")
     out: list[Config] = [(left.pop(cap), {cap: 1})] if cap in left else []
-    return out + configurations(left, cap)
+    for _ in range(PROGRAMS):
+        if not left:
+            return out
+        p = Program(left, cap)
+        mean = float(np.average(p.cover, weights=p.counts * p.lengths))
+        # several ways to round the same solution; the one that needs the fewest sequences with its rest dealt by best fit
+        scales = {1 / mean, 0.9 / mean, 0.7 / mean, 1 / max(p.cover.min(), 0.8 * mean)}
+        tries = [p.dealt(left, s) for s in sorted(scales, reverse=True)]
+        need = [_number(c) + _number(best_fit(rest, cap)) for c, rest in tries]
+        configs, left = tries[int(np.argmin(need))]
+        out += configs
+        if len(configs) == 0:
+            break
+    return out + best_fit(left, cap)
 
 
 def places(configs: list[Config]) -> dict[str, np.ndarray]:
