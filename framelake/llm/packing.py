@@ -17,6 +17,7 @@ equal length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -24,12 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .bpe import PIECES, Recent, byte_letters, cut_at_space, load
+from .bpe import LONG, PIECES
 from .common import ranked, stored
 
 CAPACITY = 2048
+UNIT, TOGETHER = 4 << 20, 4096  # bytes of text tokenised at once, new pieces given to the tokenizer at once
+# Classes of bytes: white space as the vocabulary sees it, also as characters of several bytes; letters and stops of ASCII.
+_SPACE, _LETTER, _STOP, _OTHER = range(4)
+_CLASS = bytes(_SPACE if c in b"\t\n\x0b\x0c\r " else _STOP if c in b".,;:!?" else _LETTER if bytes([c]).isalpha() else _OTHER for c in range(256))
+_WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 # Pricings of a program, steps and new configurations after each, configurations that take part in steps, gap to the bound at which it ends.
 PRICINGS, STEPS, FRESH, POOL, GAP = 120, 160, 160, 2500, 5e-4
 # A priced configuration is near enough to the best; the learning rate at first, its factor per tenth of the pricings, its least; weight lost in a step.
@@ -80,7 +87,7 @@ class Program:
         self._solve()
 
     def _clear(self) -> None:
-        self.share, self.cover = np.zeros(len(self.pool)), np.zeros(len(self.lengths))
+        self.share, self.cover, self.average = np.zeros(len(self.pool)), np.zeros(len(self.lengths)), np.zeros(len(self.lengths))
 
     def _add(self, fresh: list[dict[int, int]]) -> None:
         fresh = [c for c in fresh if (k := tuple(sorted(c.items()))) not in self.known and not self.known.add(k)]
@@ -92,12 +99,18 @@ class Program:
         self.pool += fresh
         self.share = np.pad(self.share, (0, len(fresh)))
 
-    def _price(self, weight: np.ndarray) -> None:
-        """Improve the bound and add the best configurations of lengths that are covered least."""
+    def _knapsack(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greatest prices under the weights; all prices over the greatest one bound the program."""
         price = np.full(self.cap + 1, -np.inf)
         price[self.lengths] = weight
         best, take = priced(price, self.cap)
         self.bound = max(self.bound, float(self.counts @ weight / best[self.cap]))
+        return best, take
+
+    def _price(self, weight: np.ndarray) -> None:
+        """Add the best configurations of lengths that are covered least."""
+        best, take = self._knapsack(weight)
+        self.average += weight / best[self.cap]
         value = weight + best[self.cap - self.lengths]
         near = np.flatnonzero(value >= best[self.cap] * (1 - NEAR))
         order = np.lexsort((-self.counts[near] * self.lengths[near], self.cover[near]))
@@ -126,9 +139,11 @@ class Program:
             weight = np.maximum(weight / weight.max(), 1e-12)
             self._price(weight)
             self._steps(weight, rate)
-            if r % tenth == 0 and r < 0.6 * PRICINGS:  # prices are learnt, the shares so far are not kept
-                self._clear()
-                rate = max(rate * COOLING, LEAST_RATE)
+            if r % tenth == 0:
+                self._knapsack(self.average)
+                if r < 0.6 * PRICINGS:  # prices are learnt, the shares so far are not kept
+                    self._clear()
+                    rate = max(rate * COOLING, LEAST_RATE)
             least = self.cover.min()
             if least > 2 and self.share.sum() <= least * self.bound * (1 + GAP):
                 break
@@ -236,32 +251,96 @@ def pack(pieces: DataFrame, cap: int = CAPACITY) -> DataFrame:
     return numbered.select(*cols, "position").mapInArrow(place, schema)
 
 
-def known_pieces(path: str) -> Recent:
-    """Ids of each piece between white space, as little-endian 32-bit numbers; new pieces go to the tokenizer's model.
+class KnownPieces:
+    """Ids of the pieces of texts, as little-endian 32-bit numbers, remembered over two generations.
 
-    The vocabulary never looks across white space, so the ids of a text are
-    those of its pieces, joined.
+    The vocabulary never looks across the places where texts are cut, so the
+    ids of a text are those of its pieces, joined.  A new piece of ASCII
+    letters goes straight to the model, others to the tokenizer many at a time.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model, rule, letters = Tokenizer.from_file(path).model, load(path), byte_letters()
 
-    def fresh(piece: str) -> bytes:
-        ids: list[int] = []
-        for w in rule.parts(piece):
-            if isinstance(w, int):
-                ids.append(w)
-            else:
-                ids += [t.id for t in model.tokenize(w if w.isascii() and w.isalpha() else "".join([letters[b] for b in w.encode("utf-8", "replace")]))]
-        return array("I", ids).tobytes()
-
-    return Recent(fresh, PIECES)
-
-
-def token_bytes(text: str | None, known: Recent) -> bytes:
-    """Ids of a text, without special ones added, as little-endian 32-bit numbers."""
-    return b"".join([known[p] for p in cut_at_space(text or "")])
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.now, self.before = {}, {}
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode("\n".join(pieces), add_special_tokens=False)
+        begin = np.cumsum([0, *[len(p) + 1 for p in pieces]])
+        at = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(got)), begin)
+        ids = np.array(got.ids, "<u4").tobytes()
+        return [ids[4 * i:4 * j] for i, j in zip(at.tolist(), at[1:].tolist())]
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        now, before = self.now, self.before
+        new = [p for p in pieces if p not in now and p not in before]
+        tokenize = self.tokenizer.model.tokenize
+        made = {p: array("I", [t.id for t in tokenize(p.lower())]).tobytes() for p in new if p.isascii() and p.isalpha()}
+        new = [p for p in new if p not in made]
+        for lo in range(0, len(new), TOGETHER):
+            some = new[lo:lo + TOGETHER]
+            made.update(zip(some, self._fresh(some)))
+        out = []
+        for p in pieces:
+            ids = now.get(p)
+            if ids is None:
+                ids = before.get(p)
+                if ids is None:
+                    ids = made[p]
+                if len(p) <= LONG:
+                    now[p] = ids
+            out.append(ids)
+        if len(now) >= PIECES:
+            self.now, self.before = {}, now
+        return out
+
+
+def units(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and texts of stretches of about ``UNIT`` bytes; null is empty."""
+    texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)) + 1
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // UNIT)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
+        if lo < hi:
+            yield lo, [t or b"" for t in texts.slice(lo, hi - lo).to_pylist()]
+
+
+def token_ids(texts: list[bytes], known: KnownPieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each followed by id 0, and where each text begins (with the end of the last).
+
+    Texts are cut at white space and between a letter and a stop, where the
+    vocabulary always cuts.  Every different piece is looked up once; its ids
+    are then copied to all its places.
+    """
+    joined = b"\n".join(texts)
+    if _WIDE_SPACE.search(joined):
+        joined = _WIDE_SPACE.sub(lambda m: b" " * len(m[0]), joined)
+    kind = np.frombuffer(b"\n" + joined.translate(_CLASS) + b"\0", np.uint8)
+    here, before = kind[1:] != _SPACE, np.concatenate([[False], kind[1:-1] != _SPACE])
+    cut = (kind[:-1] == _LETTER) & (kind[1:] == _STOP)
+    starts, ends = np.flatnonzero(here & (~before | cut)), np.flatnonzero(before & (~here | cut))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    letters = np.frombuffer(joined, np.uint8)[here[:-1]]
+    coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+    some = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+    of = known.look_up(pc.binary_join(some, "\n")[0].as_py().split("\n") if len(starts) else [])
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    length = np.fromiter(map(len, of), np.int64, len(of)) // 4
+    flat, first = np.frombuffer(b"".join(of), "<u4"), np.cumsum(length) - length
+    n = length[code] if len(code) else np.zeros(0, np.int64)
+    after = np.cumsum(n)
+    text_end = np.cumsum([len(t) + 1 for t in texts])
+    words_before = np.searchsorted(starts, text_end)
+    end = np.concatenate([[0], after])[words_before] + np.arange(1, len(texts) + 1)
+    ids = np.zeros(int(end[-1]), "<u4")
+    keep = np.ones(len(ids), bool)
+    keep[end - 1] = False
+    ids[keep] = flat[np.repeat(first[code] - (after - n), n) + np.arange(len(ids) - len(texts))]
+    return ids, np.concatenate([[0], end])
 
 
 def token_pieces(docs: DataFrame, path: str, cap: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -271,19 +350,23 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAPACITY, ids: bool = Fa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_pieces(path)
+        known = KnownPieces(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b, rows = batch.slice(lo, 512), []
-                for i, t in enumerate(b["text"].to_pylist()):
-                    data = token_bytes(t, known) + b"\0\0\0\0"
-                    for k, s in enumerate(range(0, len(data), 4 * cap)):
-                        x = data[s:s + 4 * cap]
-                        rows.append((i, k, s // 4, len(x) // 4, zlib.crc32(x), np.frombuffer(x, "<u4") if ids else None))
-                at, piece, start, length, crc, kept = zip(*rows)
-                out = {"doc_id": b["doc_id"].take(pa.array(at)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
-                       "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
-                yield pa.record_batch(out | ({"ids": pa.array(kept, pa.list_(pa.int32()))} if ids else {}))
+            for lo, texts in units(batch["text"]):
+                all_ids, begin = token_ids(texts, known)
+                size = np.diff(begin)
+                pieces = -(-size // cap)
+                at = np.repeat(np.arange(len(texts)), pieces)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * cap
+                length = np.minimum(cap, size[at] - start)
+                s, data = begin[at] + start, memoryview(all_ids).cast("B")
+                crc = [zlib.crc32(data[4 * i:4 * (i + n)]) for i, n in zip(s.tolist(), length.tolist())]
+                out = {"doc_id": batch["doc_id"].take(pa.array(at + lo)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length),
+                       "ids_crc32": pa.array(crc, pa.int64())}
+                if ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(s, len(all_ids)).astype(np.int32)), pa.array(all_ids.astype(np.int32)))
+                yield pa.record_batch(out)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
