@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from framelake.sources.commits import CommittedTable
 
 
 def write_ragged_csv(tables: Sequence[DataFrame], path: str) -> None:
@@ -52,7 +54,12 @@ def incremental(items: DataFrame, finished: DataFrame, key: str, check: Column,
     return j.withColumn("status", status).withColumn("error", F.when(F.col("status") == "failed", error)).drop("_done")
 
 
-def run_incremental(items: DataFrame, finished: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """Process only unfinished items and append their results."""
-    work(items.join(finished.select(key), key, "left_anti")).write.mode("append").parquet(path)
-    return items.sparkSession.read.parquet(path)
+def run_incremental(items: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], table: CommittedTable, schema: T.StructType, run: str) -> DataFrame:
+    """Process the items no other run has finished and publish their results under ``run``.
+
+    A run that is repeated, after a kill or by mistake, replaces its own
+    results and nothing else.  Items without a key never count as finished.
+    """
+    finished = table.read(schema, without=run).select(key).distinct()
+    table.commit(run, work(items.join(finished, key, "left_anti")))
+    return table.read(schema)
