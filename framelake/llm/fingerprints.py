@@ -14,37 +14,45 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import bit_hex, stored
 
-SPAN = 1024     # ids per window of neighbours
+HEAD, EACH = 64, 64  # code points of a text that order equal ids, sampled rows per part of the order
 STRETCH = 1 << 14  # terms counted in one lane
 LANES = 0x0001000100010001
 HALVES = 0x0000FFFF0000FFFF
 RADIUS, BLOCKS = 3, 6
 
 
-def next_texts(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def next_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text, next_text`` with the row's place ``(part, n)`` and the next row's.
 
-    The next document follows in ascending (doc_id, text); null ids come first,
-    after the last comes the first, a single document follows itself.  Rows
-    meet in windows of ``span`` ids; the first row of a window is copied to the
-    window before it.  Of the corpus only one row per window is looked at as a
-    whole.
+    The next document follows in ascending doc_id; null ids come first, equal
+    ids are ordered by the head of the text, then its hash, then row by row.
+    After the last comes the first, a single document follows itself.  The
+    order is cut into about equal parts at places taken from a sample of fixed
+    size per part, so sparse ids, null ids and repeated rows all spread.  The
+    first row of a part is copied to the part before it; of the corpus only
+    one key per part is looked at as a whole.
     """
-    part = F.coalesce(F.floor(F.col("doc_id") / span).cast("bigint"), F.lit(-1 << 60))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part.alias("part"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.substring(text, 1, HEAD).alias("head"),
+                   F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    keyed = docs.select("doc_id", text.alias("text"), key.alias("key"))
+    sample = sorted(r["key"] for r in keyed.select("key").orderBy(F.xxhash64("key")).limit(EACH * parts).collect())
+    cuts = sorted({tuple(sample[i * len(sample) // parts]) for i in range(1, parts)}) if sample else []
+    kind = "array<struct<has:boolean,id:bigint,head:string,h:bigint,row:bigint>>"
+    bounds = F.array(*[F.struct(*map(F.lit, c)) for c in cuts]).cast(kind)
+    rows = keyed.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("key"))))
     order = W.orderBy("part")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    parts = stored(docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("first_id"))
-                   .withColumn("next_part", F.coalesce(F.lead("part").over(order), F.first("part").over(whole)))
-                   .withColumn("prior_part", F.coalesce(F.lag("part").over(order), F.last("part").over(whole))))
-    both = rows.join(parts, "part").withColumn("copy", F.explode(
-        F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    both = both.select("doc_id", "text", "copy", "part", "next_part", F.when(F.col("copy"), F.col("prior_part")).otherwise(F.col("part")).alias("window"))
-    w = W.partitionBy("window").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
+    ends = stored(rows.groupBy("part").agg(F.min("key").alias("first"))).withColumn("next_part", F.coalesce(F.lead("part").over(order), F.first("part").over(whole)))
+    ends = F.broadcast(ends.withColumn("prior_part", F.coalesce(F.lag("part").over(order), F.last("part").over(whole))))  # one row per part
+    both = rows.join(ends, "part").withColumn("copy", F.explode(F.when(F.col("key") == F.col("first"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    both = both.select("doc_id", "text", "copy", "key", "next_part", F.when(F.col("copy"), F.col("prior_part")).otherwise(F.col("part")).alias("window"))
+    w = W.partitionBy("window").orderBy("copy", "key")
     return (both.withColumn("n", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
             .withColumn("next_copy", F.lead("copy").over(w)).filter(~F.col("copy"))
             .withColumn("next_n", F.when(F.col("next_copy"), F.lit(1)).otherwise(F.col("n") + 1))
-            .withColumn("next_part", F.when(F.col("next_copy"), F.col("next_part")).otherwise(F.col("part")))
+            .withColumn("next_part", F.when(F.col("next_copy"), F.col("next_part")).otherwise(F.col("window")))
             .select("doc_id", "text", "next_text", F.col("window").alias("part"), "n", "next_part", "next_n"))
 
 

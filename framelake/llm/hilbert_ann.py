@@ -208,6 +208,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CURV
 
     blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.col("place") - window) / block), F.floor(F.least(F.lit(total - 1), F.col("place") + window) / block))
     met = placed.withColumn("block", F.explode(F.when(F.col("query"), blocks).otherwise(F.array(F.floor(F.col("place") / block)))))
+    # the queries of a block are dealt to groups of about block size; its candidates go to each of them
+    sizes = met.groupBy("curve", "block").agg(F.greatest(F.lit(1), F.ceil(F.count_if("query") / block)).cast("int").alias("chunks"))
+    met = met.join(sizes, ["curve", "block"])
+    chunk = F.when(F.col("query"), F.array(F.pmod(F.xxhash64("vec_id", "place"), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    met = met.withColumn("chunk", F.explode(chunk))
 
     def meet(t: pa.Table) -> pa.Table:
         q = t["query"].combine_chunks().to_numpy(zero_copy_only=False)
@@ -215,5 +220,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = CURV
         r, c, s = nearest(v[q], ids[q], v[~q], ids[~q], k)
         return pa.table({"query_id": pa.array(ids[q][r]), "vec_id": pa.array(ids[~q][c]), "score": pa.array(s)})
 
-    found = met.groupBy("curve", "block").applyInArrow(meet, _FOUND)
+    found = met.groupBy("curve", "block", "chunk").applyInArrow(meet, _FOUND)
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -127,15 +127,21 @@ def rewrite(docs: DataFrame, placed: DataFrame, arcs: list[Arc], path: str) -> N
     Every row goes to its own place.  Rows find it by ``_row`` where ``docs``
     has it; else documents and places are both numbered by id, checksum and
     row, and equal numbers belong together (equal rows are interchangeable).
+    The caller's columns keep their names; a column of theirs that is called
+    ``slot`` or ``shard`` becomes ``doc_slot`` or ``doc_shard``.
     """
-    cols = [c for c in docs.columns if c not in ("_row", "shard", "slot")]
-    if "_row" not in docs.columns:
-        docs = stored(_numbered(docs).withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
-        mine = ranked(docs.select("doc_id", "_crc", "_row"), ["doc_id", "_crc", "_row"]).select("position", "_row")
+    mine = [c for c in docs.columns if c != "_row"]
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"doc_{c}" if c in ("slot", "shard") else c) for c in mine]).alias("doc")
+    if "_row" in docs.columns:
+        rows = docs.select("_row", kept)
+    else:
+        crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+        rows = stored(docs.select(kept, F.col("doc_id").alias("id"), crc.alias("crc"), F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("line")).alias("_row")))
+        order = ranked(rows.select("id", "crc", "_row"), ["id", "crc", "_row"]).select("position", "_row")
         theirs = ranked(stored(placed), ["doc_id", "text_crc32", "_row"]).select("position", "shard", "slot")
-        placed = mine.join(theirs, "position")
+        placed = order.join(theirs, "position")
     where = placed.filter(F.col("shard").isin(affected(arcs)) if arcs else F.lit(False)).select("_row", "shard", "slot")
-    docs.select("_row", *cols).join(where, "_row").select(*cols, "slot", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    rows.select("_row", "doc").join(where, "_row").select("doc.*", "slot", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def resharded(docs: DataFrame, old_shard: Column, shards: int | dict[int, int], path: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 Candidates are found by pattern in whole texts.  How many repositories and
 owners carry the same value decides what a candidate is: a value that many
-owners carry is an example that was copied around; a value that one owner
-carries looks live.  Base patterns stay in the result either way; opaque
-tokens, which are too common to be reported as such, are added where their
-value belongs to one owner.  Masking goes further: it replaces opaque tokens
-too up to the number of owners from which on a value counts as copied.
+owners carry, or that one owner has put into many repositories, is an example
+that was copied around; any other value of one owner looks live.  Base
+patterns stay in the result either way; opaque tokens, which are too common to
+be reported as such, are added where their value looks live.  Masking goes
+further: it replaces every opaque token that does not count as copied.
 """
 
 from __future__ import annotations
@@ -24,7 +24,13 @@ HEX = r"[0-9a-f]{16,}"
 # Longer than any word, with a digit, a capital and a small letter.
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{24,}"
 KINDS = ["assign", "access", "hex", "opaque"]
-COPIED = 3  # owners from which on a value counts as a copied example
+# Owners, or repositories of however few owners, from which on a value counts as a copied example.
+COPIED, WIDESPREAD = 3, 5
+
+
+def copied(s: Column) -> Column:
+    """Is a span's value a copied example?"""
+    return (s["owners"] >= COPIED) | (s["repos"] >= WIDESPREAD)
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -66,18 +72,23 @@ def ownership(hits: DataFrame) -> DataFrame:
     return per_owner.groupBy("value").agg(F.count("owner").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def judged(docs: DataFrame, owner: Column, repo: Column, opaque: int = 1) -> DataFrame:
-    """One row per document: ``row, doc_id, found`` and ``kept``, the spans that stand, each with its owners.
+def standing(seen: DataFrame, opaque: int) -> DataFrame:
+    """``row, kept`` of the stored table ``seen (row, owner, repo, found)``: the spans that stand, each with its owners and repositories.
 
-    Base spans always stand; opaque tokens where ``opaque`` owners at most
-    carry the value.  ``row`` numbers the rows, so repeated documents keep theirs.
+    Base spans always stand; opaque tokens where at most ``opaque`` owners
+    carry the value and it is no copied example.
     """
+    hits = seen.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
+    stands = (F.col("kind") < 3) | ((F.col("owners") <= opaque) & (F.col("repos") < WIDESPREAD))
+    return (hits.join(ownership(hits), "value").filter(stands)
+            .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repos"))).alias("kept")))
+
+
+def judged(docs: DataFrame, owner: Column, repo: Column, opaque: int = 1) -> DataFrame:
+    """One row per document: ``row, doc_id, found`` and ``kept``, see ``standing``.  ``row`` numbers the rows, so repeated documents keep theirs."""
     seen = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", owner.cast("string").alias("owner"),
                               repo.cast("string").alias("repo"), candidates(F.col("text")).alias("found")))
-    hits = seen.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
-    by_row = (hits.join(ownership(hits), "value").filter((F.col("kind") < 3) | (F.col("owners") <= opaque))
-              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repos"))).alias("kept")))
-    return seen.join(by_row, "row", "left").select("row", "doc_id", "found", "kept")
+    return seen.join(standing(seen, opaque), "row", "left").select("row", "doc_id", "found", "kept")
 
 
 def digest(found: Column) -> Column:
@@ -88,39 +99,46 @@ def digest(found: Column) -> Column:
 
 
 def scanned(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
-    """Counts and digests of the base spans, all spans, and how many look live or copied."""
+    """Counts and digests of the base spans, all spans, and how many look live or copied.
+
+    A null text is empty and has no spans; a null id stays null; a null owner
+    or repository counts as one of its own.  Repeated rows each keep a row.
+    """
     base = F.filter("found", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("bigint")
     kept = F.coalesce("kept", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:bigint,owners:bigint,repos:bigint>>"))
     return judged(docs, owner, repo).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"),
-        digest(kept).alias("spans"), F.size(F.filter(kept, lambda s: s["owners"] == 1)).cast("bigint").alias("n_live"),
-        F.size(F.filter(kept, lambda s: s["owners"] >= COPIED)).cast("bigint").alias("n_copied"))
+        digest(kept).alias("spans"), F.size(F.filter(kept, lambda s: (s["owners"] == 1) & ~copied(s))).cast("bigint").alias("n_live"),
+        F.size(F.filter(kept, copied)).cast("bigint").alias("n_copied"))
 
 
 def masked(docs: DataFrame, owner: Column, repo: Column) -> DataFrame:
     """The documents with standing spans replaced: ``[EXAMPLE]`` for copied examples, ``[SECRET]`` for all others.
 
-    An opaque token is left only where it counts as a copied example.  Overlapping spans are replaced as one.  Only documents with a candidate are
-    shuffled; columns stay as they are, ``n_chars`` follows the text.
+    An opaque token is left only where it counts as a copied example.
+    Overlapping spans are replaced as one.  Columns stay as they are, whatever
+    their names; ``n_chars`` follows the text.  Null texts stay null.  The
+    patterns run once; only documents with a candidate are shuffled.
     """
     cols = docs.columns
-    key = F.xxhash64("doc_id", "text")
-    hit = F.size(candidates(F.col("text"))) > 0
-    some = docs.filter(hit)
-    spans_of = (judged(some.withColumns({"_owner": owner, "_repo": repo}).select(F.struct(F.col("doc_id"), key.alias("k")).alias("doc_id"), "text", "_owner", "_repo"), F.col("_owner"), F.col("_repo"), COPIED - 1)
-                .select(F.col("doc_id.k").alias("_k"), F.coalesce("kept", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:bigint,owners:bigint,repos:bigint>>")).alias("_kept"))
-                .dropDuplicates(["_k"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in cols])
+    seen = stored(docs.select(row.alias("doc"), F.monotonically_increasing_id().alias("row"), owner.cast("string").alias("owner"),
+                              repo.cast("string").alias("repo"), candidates(F.col("text")).alias("found")))
+    hit = F.size("found") > 0
+    kept = standing(seen.filter(hit).select("row", "owner", "repo", "found"), COPIED - 1)
+    some = seen.filter(hit).select("row", "doc", F.col("doc.text").alias("text")).join(kept, "row", "left")
+    some = some.withColumn("kept", F.coalesce("kept", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:bigint,owners:bigint,repos:bigint>>")))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        mark = F.when(s["owners"] >= COPIED, F.lit("[EXAMPLE]")).otherwise(F.lit("[SECRET]"))
+        mark = F.when(copied(s), F.lit("[EXAMPLE]")).otherwise(F.lit("[SECRET]"))
         grown = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int")),
                          F.when(s["start"] >= acc["at"], mark).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
 
-    text = F.aggregate("_kept", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    changed = some.withColumn("_k", key).join(spans_of, "_k").withColumn("text", text)
-    if "n_chars" in cols:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.filter(~hit).unionByName(changed.select(*cols))
+    text = F.aggregate("kept", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
+    changed = some.select("doc", text.alias("text"))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    changed = changed.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in cols])
+    return seen.filter(~hit).select(*[F.col("doc")[c].alias(c) for c in cols]).unionByName(changed)

@@ -463,3 +463,56 @@ def test_pipeline_stages_take_effect(spark, sf):
         else:
             assert out.select("doc_id").distinct().count() == at.count()
         at = out
+
+
+# --- clashing names, repositories
+
+def test_masking_keeps_columns_of_any_name(spark, odd):
+    extra = odd
+    for c in ("_k", "_kept", "kept", "found", "owner", "doc", "_crc", "slot", "shard"):
+        extra = extra.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    out = secret_scan.masked(extra, F.col("source"), F.col("lang"))
+    assert out.columns == extra.columns
+    assert Counter(tuple(r[5:]) for r in out.collect()) == Counter(tuple(r[5:]) for r in extra.collect())
+
+
+def test_rewrite_keeps_columns_of_any_name(spark, odd, tmp_path):
+    old = F.coalesce(F.pmod(F.col("doc_id"), F.lit(3)), F.lit(0))
+    extra = odd.withColumn("_crc", F.lit("mine")).withColumn("slot", F.col("doc_id")).withColumn("shard", F.lit("s")).withColumn("crc", F.lit(1)).withColumn("id", F.lit("i"))
+    placed, arcs = reshard.reshard(odd, old, 4)
+    reshard.rewrite(extra, placed, arcs, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert back and all(r["_crc"] == "mine" and r["doc_shard"] == "s" and r["doc_slot"] == r["doc_id"] and r["crc"] == 1 and r["id"] == "i" for r in back)
+
+
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    rng, rows = random.Random(9), []
+    names = ["".join(rng.choices("abcdefABCDEF0123456789", k=20)) for _ in range(12)]
+    for i in range(400):
+        owner = rng.choice("abcd")
+        rows.append((i, f'token = "{rng.choice(names[:6])}"' if i % 3 else f'token = "{names[6 + i % 6]}"', owner if i % 3 else "abcd"[i % 4], f"{owner}{rng.randrange(8)}" if i % 5 else f"{owner}0"))
+    rows += [(1000 + i, 'secret = "onlyHere0123456789"', "z", f"z{i}") for i in range(6)] + [(2000 + i, 'secret = "fewPlaces0123456789"', "z", f"z{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    owners, repos = {}, {}
+    for _, t, o, r in rows:
+        v = t.split('"')[1]
+        owners.setdefault(v, set()).add(o)
+        repos.setdefault(v, set()).add((o, r))
+    got = {r["doc_id"]: r for r in secret_scan.scanned(df, F.col("source"), F.col("lang")).collect()}
+    masks = {r["doc_id"]: r["text"] for r in secret_scan.masked(df, F.col("source"), F.col("lang")).collect()}
+    for i, t, _, _ in rows:
+        v = t.split('"')[1]
+        wide = len(owners[v]) >= 3 or len(repos[v]) >= 5
+        assert (got[i]["n_copied"] > 0) == wide and (got[i]["n_live"] > 0) == (len(owners[v]) == 1 and not wide)
+        assert masks[i] == ("[EXAMPLE]" if wide else "[SECRET]") + '"'
+
+
+def test_next_texts_of_null_ids_and_repeated_rows_spread(spark):
+    rows = [(None, f"t{i}") for i in range(600)] + [(5, "same")] * 600 + [(i * 1_000_003, f"d{i}") for i in range(1, 600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = fingerprints.next_texts(df).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter((d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order))
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in got) == want
+    assert max(Counter(r["part"] for r in got).values()) < 2.5 * len(rows) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r["next_part"], r["next_n"]) for r in got} == {(r["part"], r["n"]) for r in got}
