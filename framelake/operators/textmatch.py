@@ -1,77 +1,54 @@
-"""Which texts contain which of many names."""
+"""Which texts contain which of many names: an inverted index of rarest q-grams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framelake.session import cut_lineage
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-SIEVE_BITS = 24
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2 ** 64))
+# Lengths of the grams; a name uses the longest that fits into it.
+GRAMS = (8, 4, 2, 1)
 
 
-def _hashes(data: bytes, size: int) -> np.ndarray:
-    """Polynomial hash of every run of ``size`` bytes, from one prefix sum (all arithmetic wraps)."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    n = len(b)
-    if n < size:
-        return np.zeros(0, np.int64)
-    down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, INVERSE, np.uint64))])
-    up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BASE, np.uint64))])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(b * down[:n], dtype=np.uint64)])
-    at = np.arange(n - size + 1)
-    return ((total[size:] - total[: n - size + 1]) * up[at]).view(np.int64)
+def grams(text: Column, q: int) -> Column:
+    """All different runs of ``q`` characters, read off in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sieve: its leading bits."""
-    return (hashes.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+def _hashed(df: DataFrame, q: int, text: str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.explode(grams(F.col(text), q)).alias("_gram")).select(*keep, F.xxhash64(F.lit(q), "_gram").alias("_hash"))
 
 
-def contains_join(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Pairs (key, needle) where the text contains the needle; no text is compared with every needle.
+def register(names: DataFrame, name: str) -> DataFrame:
+    """``name, _q, _hash``: each name under one of its grams, that which the fewest names hold.
 
-    Every byte run of a text as long as some needle is hashed; runs that no
-    needle can match fall through a sieve of ``2 ** SIEVE_BITS`` bits, whose
-    size does not depend on the needles.  The rest is met by equality, and
-    matches are verified on the whole text.
+    A hash that two grams share only adds candidates.
     """
-    spark = texts.sparkSession
-    names = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
-
-    def hash_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            raw = [v.encode() for v in b["_needle"]]
-            yield b.assign(_hash=np.array([_hashes(v, len(v))[0] for v in raw], np.int64), _size=np.array([len(v) for v in raw], np.int32))
+    q = reduce(lambda c, n: c.when(F.length(name) >= n, n), GRAMS[1:], F.when(F.length(name) >= GRAMS[0], GRAMS[0]))
+    sized = names.withColumn("_q", q)
+    held = reduce(DataFrame.unionByName, [_hashed(sized.filter(F.col("_q") == n), n, name, name, "_q") for n in GRAMS])
+    common = held.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = held.join(common, "_hash").groupBy(name, "_q").agg(F.min(F.struct("_n", "_hash")).alias("_r"))
+    return rarest.select(name, "_q", F.col("_r._hash").alias("_hash"))
 
-    hashed = cut_lineage(names.mapInPandas(hash_names, "_needle string, _hash long, _size int"))
-    sizes = [r[0] for r in hashed.select("_size").distinct().collect()]  # one number per name length
-    slot = F.shiftrightunsigned("_hash", 64 - SIEVE_BITS)
-    set_bits = hashed.groupBy(F.shiftright(slot, 3).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(_hash, {64 - SIEVE_BITS}) % 8 as int))")).alias("bits"))
-    sieve = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
-    for r in set_bits.toLocalIterator():  # at most one row per byte of the sieve
-        sieve[r["at"]] = r["bits"]
-    known = spark.sparkContext.broadcast(sieve)
-    schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("_hash", T.LongType())])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, t in zip(b["_key"], b["_text"]):
-                if t is None:
-                    continue
-                data = t.encode()
-                got = np.unique(np.concatenate([_hashes(data, s) for s in sizes] or [np.zeros(0, np.int64)]))
-                at = _slots(got)
-                got = got[known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
-                if len(got):
-                    yield pd.DataFrame({"_key": [k] * len(got), "_hash": got})
+def contains_join(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Pairs (key, needle) where the text contains the needle; no text is compared with every needle.
 
+    A text that contains a name contains the gram the name is registered
+    under.  Texts send their different grams, equal hashes meet, and what met
+    is verified on the whole text.  Names without characters, null names and
+    null texts match nothing; a null key is a key like any other.
+    """
+    names = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
+    index = cut_lineage(register(names, "_needle"))
+    used = [r["_q"] for r in index.select("_q").distinct().collect()]  # at most one row per gram length
     narrow = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    maybe = narrow.mapInPandas(scan, schema).join(hashed.drop("_size"), "_hash").select("_key", "_needle")
-    sure = maybe.join(narrow, "_key").filter(F.contains("_text", "_needle")).select("_key", "_needle").distinct()
-    return sure.select(F.col("_key").alias(key), F.col("_needle").alias(needle))
+    if not used:
+        return narrow.select(F.col("_key").alias(key), F.col("_text").alias(needle)).limit(0)
+    sent = reduce(DataFrame.unionByName, [_hashed(narrow, q, "_text", "_key") for q in used])
+    maybe = sent.join(index.select("_needle", "_hash"), "_hash").select(F.col("_key").alias("_met"), "_needle").distinct()
+    sure = maybe.join(narrow, F.col("_met").eqNullSafe(F.col("_key"))).filter(F.contains("_text", "_needle"))
+    return sure.select(F.col("_key").alias(key), F.col("_needle").alias(needle)).distinct()

@@ -388,3 +388,19 @@ def test_cleanup_opens_and_closes_like_plain_loops():
     for g, m in zip(got, mask):
         opened = spread(spread(m, 3, np.min), 3, np.max)
         assert (g == spread(spread(opened, 5, np.max), 5, np.min)).all()
+
+
+def test_names_are_found_whatever_their_length_and_number(spark):
+    import random
+
+    rng = random.Random(12)
+    letters = "ab0_é日\U0001F600\n "
+    names = {"".join(rng.choices(letters, k=rng.choice([1, 2, 3, 4, 7, 8, 9, 20]))) for _ in range(300)} | {f"clip{i:06d}" for i in range(200)}
+    texts = ["".join(rng.choices(letters, k=rng.randrange(200))) + rng.choice([*names]) + "x" for _ in range(200)] + ["clip000" * 4000 + "clip000117", "", None, "\U0001F600", "clip00011"]
+    keys = [i if i % 9 else None for i in range(len(texts))]
+    t = spark.createDataFrame(list(zip(keys, texts)), "id int, text string").withColumn("_hash", F.lit(1))
+    n = spark.createDataFrame([(v,) for v in [*names, "", None]], "name string")
+    got = contains_join(t, "id", "text", n, "name")
+    assert {tuple(r) for r in got.collect()} == {(k, v) for k, x in zip(keys, texts) if x for v in names if v in x}
+    assert contains_join(t, "id", "text", n.filter("name = ''"), "name").count() == 0 and contains_join(t.limit(0), "id", "text", n, "name").count() == 0
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
