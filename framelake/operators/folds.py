@@ -1,11 +1,17 @@
 """Ordered folds over long sequences, chunk by chunk.
 
-A true recurrence (each step needs the state left by the one before) is run on
-all chunks at once from a guessed start state.  Chunks whose guess turns out
-different from the end state of their predecessor run again, until none
-differs; by induction from the first chunk the result equals one sequential
-pass.  States that forget their past (running averages, small automata) settle
-after one or two rounds, and no task ever holds more than one chunk.
+*Steps that compose.*  If a step's effect on the state can be written down
+without knowing the state (an affine map, a clamp, a table of a few states, a
+matrix), the effects of neighbouring steps combine to one effect.  Then a scan
+needs no guess: every chunk is scanned on its own by doubling, and the effects
+of whole chunks are combined in rounds that reach twice as far each time.
+
+*Other recurrences* are run on all chunks at once from a guessed start state.
+Chunks whose guess turns out different from the end state of their predecessor
+run again.  States that forget their past settle after one or two rounds.  The
+rounds are bounded by the logarithm of the number of chunks; keys that have
+not settled by then are read once more in order, row stream by row stream, with
+nothing but the state in memory.
 """
 
 from __future__ import annotations
@@ -22,6 +28,25 @@ from framelake.session import cut_lineage
 Fold = Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]]
 
 
+def _in_order(rows: DataFrame, keys: list[str], pos: str, state: list[str], fold: Fold, schema: T.StructType) -> DataFrame:
+    """The state at the start of every chunk, from one pass over each key's rows in order."""
+    group = [*keys, "_chunk"]
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, chunk, at = None, None, ()
+        for b in batches:
+            for part in split_groups(b, group) if len(b) else []:
+                k = tuple(part[keys].iloc[0])
+                if k != key:
+                    key, chunk, at = k, None, tuple(float(part[s].iloc[0]) for s in state)
+                if part["_chunk"].iloc[0] != chunk:
+                    chunk = part["_chunk"].iloc[0]
+                    yield part[group].iloc[:1].assign(**dict(zip(state, at)))[schema.names]
+                at = fold(part, at)[1]
+
+    return rows.repartition(*keys).sortWithinPartitions(*group, pos).mapInPandas(follow, schema)
+
+
 def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame, state: Sequence[str], fold: Fold,
                  out: T.StructType, chunk: int = CHUNK) -> DataFrame:
     """Fold ``fold(rows, state) -> (new columns, state)`` over each key's rows.
@@ -37,7 +62,7 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame,
     key_fields = [f for f in rows.schema.fields if f.name in keys]
     by_name = {f.name: f for f in rows.schema.fields}
 
-    if spans.agg(F.max("_chunk")).first()[0]:
+    if last := spans.agg(F.max("_chunk")).first()[0]:
         rows = cut_lineage(rows)
         ends_schema = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()),
                                     *[T.StructField(f"_end_{s}", T.DoubleType()) for s in state]])
@@ -49,8 +74,9 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame,
             return head.assign(**{f"_end_{s}": [float(e[i]) for e in ends] for i, s in enumerate(state)})
 
         guess, ends, stale = cut_lineage(guess), None, None
-        after = W.partitionBy(*keys).orderBy("_chunk")
-        while stale is None or stale.count():
+        for _ in range(2 + int(last).bit_length()):
+            if stale is not None and stale.isEmpty():
+                break
             todo = rows.join(guess if stale is None else stale, group)
             fresh = group_batches(todo, group, run_ends, ends_schema, [pos])
             ends = cut_lineage(fresh if ends is None else ends.join(fresh, group, "left_anti").unionByName(fresh))
@@ -61,6 +87,10 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame,
             fixed = cut_lineage(fixed)
             guess = fixed.drop("_moved")
             stale = fixed.filter("_moved").drop("_moved")
+        if not stale.isEmpty():
+            unsettled = stale.select(*keys).distinct()
+            begin = _in_order(rows.join(unsettled, keys, "left_semi").join(start, keys), keys, pos, state, fold, guess.schema)
+            guess = cut_lineage(guess.join(unsettled, keys, "left_anti").unionByName(begin))
 
     schema = T.StructType([*key_fields, by_name[pos], *out.fields])
 
@@ -72,44 +102,87 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame,
     return group_batches(rows.join(guess, group), group, run_rows, schema, [pos])
 
 
-def scan_products(df: DataFrame, keys: Sequence[str], pos: str, matrix: str, name: str = "total",
-                  reverse: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """Running matrix product of transforms in order: ``before @ this`` or, reversed, ``this @ before``.
+Compose = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-    Products are associative, so each chunk is multiplied out on its own and
-    then shifted by the product of the chunks before it.
-    """
-    from framelake.functions import geometry as G
 
+def affine(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """``x -> a x + b`` as rows (a, b)."""
+    return np.column_stack([then[:, 0] * first[:, 0], then[:, 0] * first[:, 1] + then[:, 1]])
+
+
+def clamp(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """``x -> min(max(x + d, low), high)`` as rows (d, low, high); ``low <= high``."""
+    d, low, high = then.T
+    return np.column_stack([first[:, 0] + d, *[np.clip(first[:, i] + d, low, high) for i in (1, 2)]])
+
+
+def states(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """A table of next states, one column per state."""
+    return np.take_along_axis(then, first.astype(np.int64), 1)
+
+
+def matrices(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """``first @ then`` of 4x4 matrices without their last row, as rows of twelve."""
+    a, b = (np.concatenate([m.reshape(-1, 3, 4), np.broadcast_to([[[0.0, 0, 0, 1]]], (len(m), 1, 4))], 1) for m in (first, then))
+    return (a @ b)[:, :3].reshape(-1, 12)
+
+
+def _doubled(values: np.ndarray, compose: Compose) -> np.ndarray:
+    """All leading compositions of stacked rows, each round reaching twice as far."""
+    out, reach = values.copy(), 1
+    while reach < len(out):
+        out[reach:] = compose(out[:-reach], out[reach:])
+        reach *= 2
+    return out
+
+
+def composed(df: DataFrame, keys: Sequence[str], pos: str, effect: str, compose: Compose, name: str = "total", chunk: int = CHUNK) -> DataFrame:
+    """``keys, pos, name``: the effects (arrays of doubles) of all rows of a key up to and with each row, composed in order.
+
+    ``compose(first, then)`` takes and gives stacked rows.  The number of Spark
+    jobs grows with the logarithm of the number of chunks; no task holds more
+    than a chunk, and of other chunks one row each.
+    """
     keys = list(keys)
-    cut = df.select(*keys, pos, F.col(matrix).alias("_m"), F.floor(F.col(pos) / chunk).cast("bigint").alias("_chunk"))
+    group = [*keys, "_chunk"]
+    cut = df.select(*keys, pos, F.col(effect).alias("_e"), F.floor(F.col(pos) / chunk).cast("bigint").alias("_chunk"))
     fields = {f.name: f for f in cut.schema.fields}
     vec = T.ArrayType(T.DoubleType())
 
-    def multiply(pdf: pd.DataFrame, order: str) -> np.ndarray:
-        m = np.zeros((len(pdf), 4, 4))
-        m[:, :3, :] = np.stack(pdf.sort_values(order)["_m"].to_numpy()).reshape(-1, 3, 4)
-        m[:, 3, 3] = 1.0
-        acc = np.eye(4)
-        for i in range(len(m)):
-            acc = m[i] @ acc if reverse else acc @ m[i]
-            m[i] = acc
-        return m[:, :3, :].reshape(-1, 12)
-
     def inside(batch: pd.DataFrame) -> pd.DataFrame:
-        done = [multiply(p, pos) for p in split_groups(batch, [*keys, "_chunk"])]
-        return batch[[*keys, pos, "_chunk"]].assign(_p=list(np.concatenate(done)))
-
-    local = group_batches(cut, [*keys, "_chunk"], inside, T.StructType(
-        [*[fields[k] for k in keys], fields[pos], fields["_chunk"], T.StructField("_p", vec)]), [pos])
-    ends = local.groupBy(*keys, "_chunk").agg(F.max_by("_p", pos).alias("_m"))
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        return pdf[[*keys]].reset_index(drop=True).assign(_chunk=pdf["_chunk"].to_numpy() + 1, _before=list(multiply(pdf, "_chunk")))
-
-    before = ends.groupBy(*keys).applyInPandas(across, T.StructType(
-        [*[fields[k] for k in keys], fields["_chunk"], T.StructField("_before", vec)]))
-    joined = local.join(before, [*keys, "_chunk"], "left")
-    whole = G.product("_p", "_before") if reverse else G.product("_before", "_p")
-    return joined.select(*keys, pos, F.when(F.col("_before").isNull(), F.col("_p")).otherwise(whole).alias(name))
+        done = [_doubled(np.stack(p["_e"].to_numpy()).astype(float), compose) for p in split_groups(batch, group)]
+        return batch[[*keys, pos, "_chunk"]].assign(_p=[r for d in done for r in d])
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            some = b["_before"].notna().to_numpy()
+            value = b["_p"].to_numpy(copy=True)
+            if some.any():
+                new = compose(np.stack(b["_before"][some].to_numpy()).astype(float), np.stack(b["_p"][some].to_numpy()).astype(float))
+                for i, v in zip(np.flatnonzero(some), new):
+                    value[i] = v
+            yield b.drop(columns="_before").assign(_p=value)
+
+    local = group_batches(cut, group, inside, T.StructType([*[fields[k] for k in keys], fields[pos], fields["_chunk"], T.StructField("_p", vec)]), [pos])
+    last = cut.agg(F.max("_chunk")).first()[0] or 0
+    if last:
+        local = cut_lineage(local)
+        ends = cut_lineage(local.groupBy(*group).agg(F.max_by("_p", pos).alias("_p")))
+        schema, reach = T.StructType([*[fields[k] for k in keys], fields["_chunk"], T.StructField("_p", vec)]), 1
+        place = W.partitionBy(*keys).orderBy("_chunk")
+        ends = cut_lineage(ends.withColumn("_i", F.row_number().over(place)))  # one row per chunk; chunks without rows leave no gap
+        schema = T.StructType([*schema.fields, T.StructField("_i", T.IntegerType())])
+        while reach <= last:
+            before = ends.select(*keys, (F.col("_i") + reach).alias("_i"), F.col("_p").alias("_before"))
+            ends = cut_lineage(ends.join(before, [*keys, "_i"], "left").select(*schema.names, "_before").mapInPandas(joined, schema))
+            reach *= 2
+        order = ends.select(*group, "_i")
+        before = ends.select(*keys, (F.col("_i") + 1).alias("_i"), F.col("_p").alias("_before")).join(order, [*keys, "_i"]).select(*group, "_before")
+        local = local.join(before, group, "left").mapInPandas(joined, local.schema)
+    return local.select(*keys, pos, F.col("_p").alias(name))
+
+
+def scan_products(df: DataFrame, keys: Sequence[str], pos: str, matrix: str, name: str = "total",
+                  reverse: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Running matrix product of transforms in order: ``before @ this`` or, reversed, ``this @ before``."""
+    return composed(df, keys, pos, matrix, (lambda a, b: matrices(b, a)) if reverse else matrices, name, chunk)

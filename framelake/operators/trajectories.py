@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from framelake.functions import geometry as G
 from framelake.functions.ratios import NAN, ratio
-from framelake.operators.folds import chunked_fold
+from framelake.operators.folds import chunked_fold, composed, states
 from framelake.operators.layout import CHUNK, lookup, neighbourhood, percentiles, running
 from framelake.session import cut_lineage
 
@@ -168,28 +168,6 @@ def monotone(points: DataFrame, axis: DataFrame, min_step: DataFrame, chunk: int
         F.abs("lift").alias("shift"))
 
 
-def _same_side(eps: float):
-    """Fold for one chunk; the state is the step before the chunk, as corrected."""
-
-    def fold(pdf: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, tuple]:
-        s, n = pdf[["sx", "sy", "sz"]].to_numpy(float), pdf[["qx", "qy", "qz"]].to_numpy(float)
-        least = pdf["min_step"].to_numpy(float)
-        new, hit = s.copy(), np.zeros(len(s), bool)
-        prev = np.array(before)
-        for i in range(len(s)):
-            back, ahead = -float(prev @ n[i]), float(s[i] @ n[i])
-            if abs(back) > eps and abs(ahead) > eps and back * ahead >= 0:
-                new[i] = s[i] + (-math.copysign(least[i], back) - ahead) * n[i]
-                hit[i] = True
-            prev = new[i]
-        return pd.DataFrame({"nx": new[:, 0], "ny": new[:, 1], "nz": new[:, 2], "pushed": hit}), tuple(prev)
-
-    return fold
-
-
-PUSHED = T.StructType([T.StructField(f"n{c}", T.DoubleType()) for c in "xyz"] + [T.StructField("pushed", T.BooleanType())])
-
-
 def frame_normals(poses: DataFrame, pose: str = "pose") -> DataFrame:
     m = G.cells(pose)
     v = [m[2], m[6], m[10]]
@@ -202,11 +180,30 @@ def push_same_side(points: DataFrame, normals: DataFrame, axis: DataFrame, min_s
     """Move the rest of the sequence when both neighbours lie on one side of a frame.
 
     The reversed travel direction stands in for the neighbour before frame 0.
+    A step is either kept or pushed to one known other place, so whether it is
+    pushed depends only on whether the step before was: a table of two states,
+    and the tables of all steps compose.
     """
+    def dot(a: str, b: str) -> Column:
+        return sum((F.col(f"{a}{c}") * F.col(f"{b}{c}") for c in "yz"), F.col(f"{a}x") * F.col(f"{b}x"))
+
     st = steps(points, eps, chunk).select(KEY, POS, "sx", "sy", "sz")
     rows = lookup(st.join(normals, [KEY, POS]), min_step, [KEY], F.col(POS), "inner")
-    start = axis.select(KEY, F.col("ax").alias("vx"), F.col("ay").alias("vy"), F.col("az").alias("vz"))
-    moved = cut_lineage(chunked_fold(rows, [KEY], POS, start, ["vx", "vy", "vz"], _same_side(eps), PUSHED, chunk))
+    rows = lookup(rows, axis.select(KEY, "ax", "ay", "az"), [KEY], F.col(POS), "inner").withColumn("ahead", dot("s", "q"))
+    far = -F.signum("ahead") * F.col("min_step") - F.col("ahead")  # a pushed step has both neighbours on the side that ``ahead`` names
+    rows = rows.withColumns({f"p{c}": F.col(f"s{c}") + far * F.col(f"q{c}") for c in "xyz"})
+    before = {f"{b}{c}": F.lag(f"{b}{c}") for b in "sp" for c in "xyz"}
+    rows = neighbourhood(rows, [KEY], POS, 1, 0, lambda w: {f"b{n}": v.over(w) for n, v in before.items()}, chunk)
+    rows = rows.withColumns({f"b{b}{c}": F.coalesce(f"b{b}{c}", f"a{c}") for b in "sp" for c in "xyz"})
+
+    def pushed(b: str) -> Column:
+        back = -dot(f"b{b}", "q")
+        return ((F.abs(back) > eps) & (F.abs("ahead") > eps) & (back * F.col("ahead") >= 0)).cast("double")
+
+    rows = cut_lineage(rows.select(KEY, POS, "sx", "sy", "sz", "px", "py", "pz", F.array(pushed("s"), pushed("p")).alias("_table")))
+    state = composed(rows, [KEY], POS, "_table", states, "_state", chunk)
+    hit = F.col("_state")[0] == 1  # the step before the first counts as not pushed
+    moved = cut_lineage(rows.join(state, [KEY, POS]).select(KEY, POS, *[F.when(hit, F.col(f"p{c}")).otherwise(F.col(f"s{c}")).alias(f"n{c}") for c in "xyz"], hit.alias("pushed")))
     flags = moved.select(KEY, (F.col(POS) + 1).cast("int").alias(POS), "pushed")
     return positions(origins(points), moved, chunk).join(flags, [KEY, POS], "left").withColumn("pushed", F.coalesce("pushed", F.lit(False)))
 

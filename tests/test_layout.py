@@ -148,3 +148,49 @@ def test_same_side_push_small_chunks(spark, walk):
                 c[i + 1:] += (-np.sign(back) * m - ahead) * q[i]
         mine = got[got["video_name"] == v].sort_values("frame_order")[["cx", "cy", "cz"]].to_numpy()
         assert np.allclose(mine, c, atol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["affine", "clamp", "states"])
+def test_effects_compose_over_chunks(spark, kind):
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for k in range(4):
+        x = {"affine": 2.0, "clamp": 0.5, "states": 1}[kind]
+        for i in range(150):
+            if k == 2 and 20 <= i < 60:
+                continue  # chunks without rows
+            if kind == "affine":
+                e = [rng.uniform(-1.05, 1.05), rng.normal()]
+                x = e[0] * x + e[1]
+            elif kind == "clamp":
+                low = rng.normal() - 1
+                e = [rng.normal(), low, low + rng.random() * 3]
+                x = min(max(x + e[0], e[1]), e[2])
+            else:
+                e = [float(v) for v in rng.integers(0, 3, 3)] if i % 7 == 0 else [float(v) for v in rng.permutation(3)]
+                x = int(e[x])
+            rows.append((k, i, [float(v) for v in e]))
+            want[k, i] = x
+    df = spark.createDataFrame(rows, "k int, i int, e array<double>").repartition(3)
+    got = folds.composed(df, ["k"], "i", "e", getattr(folds, kind), chunk=8).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        e = r["total"]
+        x = {"affine": lambda: e[0] * 2.0 + e[1], "clamp": lambda: min(max(0.5 + e[0], e[1]), e[2]), "states": lambda: int(e[1])}[kind]()
+        assert abs(x - want[r["k"], r["i"]]) < 1e-9
+
+
+def test_a_fold_that_never_forgets_ends_within_bounded_rounds(spark, monkeypatch):
+    rounds = []
+    plain = folds.group_batches
+    monkeypatch.setattr(folds, "group_batches", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    df = spark.range(2000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).cast("long").alias("i"), F.col("id").cast("double").alias("v"))
+
+    def fold(pdf, state):
+        total = pdf["v"].cumsum() + state[0]
+        return pd.DataFrame({"t": total}), (float(total.iloc[-1]),)
+
+    start = spark.createDataFrame([(0, 1.0), (1, 2.0)], "k bigint, s double")
+    got = folds.chunked_fold(df, ["k"], "i", start, ["s"], fold, T.StructType([T.StructField("t", T.DoubleType())]), chunk=1).toPandas()
+    for k in (0, 1):
+        assert np.allclose(got[got.k == k].sort_values("i")["t"], k + 1 + np.cumsum(np.arange(k, 2000, 2)))
+    assert len(rounds) <= 13  # log2 of 1,000 chunks, two more, and the pass that writes the rows
