@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from framelake.session import cut_lineage
+
 CHUNK = 65_536
 SALTS = 16
 
@@ -55,6 +57,30 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
             .drop("_bucket", "_before"))
 
 
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str | None = None, name: str = "position", before: str = "before") -> DataFrame:
+    """0-based place of each row within its key and, with ``amount``, the sum of it over earlier rows.
+
+    Rows go to ranges of (keys, order) that Spark takes from a sample, so no
+    value, however often it or its neighbours occur, decides how they spread.
+    Each range is numbered on its own; what lies before a range follows from
+    one row of sizes per key and range.  ``order`` should end in something that
+    tells rows apart.  The ranges are written down once, so that a repeated
+    task finds the same ones.
+    """
+    keys, order = list(keys), list(order)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    add = F.lit(1) if amount is None else F.col(amount)
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(add).alias("_s"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_n", "_s")])
+    inside = W.partitionBy(*keys, "_part").orderBy(*order)
+    out = rows.join(starts, [*keys, "_part"]).withColumn(name, (F.row_number().over(inside) - 1 + F.col("_n0")).cast("bigint"))
+    if amount is not None:
+        out = out.withColumn(before, F.coalesce(F.sum(add).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_s0"))
+    return out.drop("_part", "_n0", "_s0")
+
+
 def with_hash_position(df: DataFrame, keys: Sequence[str], hash_col: str, ties: Sequence[Column | str] = (),
                        name: str = "position", digits: int = 3) -> DataFrame:
     """0-based position in hash order; hash prefixes are the buckets, so they are even."""
@@ -113,20 +139,39 @@ def running(df: DataFrame, keys: Sequence[str], pos: str,
     return out.drop("_chunk", *[f"_before_{n}" for n in totals])
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, float], bins: int = 4096) -> DataFrame:
+def value_bins(counted: DataFrame, keys: Sequence[str], bins: int = 1024, few: int = 10_000) -> DataFrame:
+    """Number the bins of a key's different values ``_v``: ``_bin`` grows with the value.  Adds ``_total``, the sum of ``_n``.
+
+    The cuts are quantiles of a sample of the different values, about sixteen
+    a bin, so bins are about equal however the values lie, one far value or
+    many.  The sample goes by a hash of the value: computed again it is the
+    same.  Only the sizes of bins depend on it.  Keys with ``few`` values have
+    one bin.
+    """
+    side = max(2, int(bins ** 0.5))  # a bin is found in two steps of this many comparisons
+    size = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_values"))
+    sized = lookup(counted, size, keys, F.col("_v"), "inner")
+    picked = sized.filter((F.col("_values") > few) & (F.pmod(F.xxhash64("_v"), F.lit(1 << 30)) * F.col("_values") < F.lit(1 << 30) * (16.0 * side ** 2)))
+    cuts = picked.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    place = F.sequence(F.lit(1), F.lit(side ** 2 - 1))
+    cuts = cuts.withColumn("_cuts", F.transform(place, lambda i: F.element_at("_s", F.greatest(F.lit(1), F.floor(i * F.size("_s") / side ** 2)).cast("int")))).drop("_s")
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.element_at("_cuts", i * side)), lambda c: c <= F.col("_v")))
+    fine = F.size(F.filter(F.slice("_cuts", coarse * side + 1, side - 1), lambda c: c <= F.col("_v")))
+    binned = lookup(sized, cuts, keys, F.col("_v"), "left")
+    return binned.withColumn("_bin", F.when(F.col("_cuts").isNull(), 0).otherwise(coarse * side + fine)).drop("_cuts", "_values")
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, float], bins: int = 1024) -> DataFrame:
     """Exact linear-interpolated percentiles of a large group, 0..1 each.
 
-    Equal values are counted first; a group's value range is cut into bins and
-    only the bins that hold a wanted rank are sorted.  Groups without a value
-    are absent.
+    Equal values are counted first; a group's values are cut into bins of about
+    equal numbers of different values, and only the bins that hold a wanted
+    rank are sorted.  Groups without a value are absent.
     """
     keys = list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).otherwise(0)
-    binned = lookup(counted, span, keys, F.col("_v"), "inner").withColumn("_bin", b.cast("int"))
+    binned = value_bins(counted, keys, bins)
     before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     bin_sizes = (binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_size"), F.first("_total").alias("_total"))
                  .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from framelake.functions import flags as FL
 from framelake.functions.names import config_id, hash_order
 from framelake.functions.ratios import NULL, finite, ratio
-from framelake.operators.layout import percentile_table, with_hash_position, with_position
+from framelake.operators.layout import ordered, percentile_table, with_hash_position
 
 HITS = (1, 8, 16, 32)
 QUANTILES = {"median": 0.5, "p10": 0.1, "p05": 0.05}
@@ -201,11 +201,11 @@ def pareto(df: DataFrame, low: Sequence[str], high: Sequence[str], blocks: int =
     return rows.join(front, names, "left_semi").drop(*names)
 
 
-def rank_finite(df: DataFrame, value: str, descending: bool, bucket: Column, name: str = "rank", tie: str = "video_name") -> DataFrame:
-    """1-based rank of finite values, ties by name.  ``bucket`` grows with the rank."""
+def rank_finite(df: DataFrame, value: str, descending: bool, name: str = "rank", tie: str = "video_name") -> DataFrame:
+    """1-based rank of finite values, ties by name."""
     v = df.withColumn("_v", finite(value)).filter(F.col("_v").isNotNull())
-    key = -F.col("_v") if descending else F.col("_v")
-    return with_position(v.withColumn("_k", key), [], ["_k", tie], bucket, name).withColumn(name, F.col(name) + 1).drop("_v", "_k")
+    keyed = v.withColumn("_k", -F.col("_v") if descending else F.col("_v"))
+    return ordered(keyed, [], ["_k", tie], name=name).withColumn(name, F.col(name) + 1).drop("_v", "_k")
 
 
 def hard_cases(df: DataFrame, target: int, seed: str) -> DataFrame:

@@ -212,10 +212,10 @@ METHODS = ["1-URGENT", "2-HIGH", "5-LOW"]
 
 
 @query("j10_method_comparison", """
-  SELECT * FROM (PIVOT method_scores ON method IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') USING first(metric) GROUP BY sweep_id)
-  WHERE "1-URGENT" IS NOT NULL AND "2-HIGH" IS NOT NULL AND "3-MEDIUM" IS NOT NULL AND "4-NOT SPECIFIED" IS NOT NULL AND "5-LOW" IS NOT NULL""", "method_scores")
+  SELECT * FROM (PIVOT method_scores ON method IN ('1-URGENT', '2-HIGH', '5-LOW', '4-NOT SPECIFIED', '5-LOW') USING first(metric) GROUP BY sweep_id)
+  WHERE "1-URGENT" IS NOT NULL AND "2-HIGH" IS NOT NULL AND "5-LOW" IS NOT NULL AND "4-NOT SPECIFIED" IS NOT NULL AND "5-LOW" IS NOT NULL""", "method_scores")
 def j10(spark, d):
-    return C.by_method(V.method_scores(spark, d), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+    return C.by_method(V.method_scores(spark, d), ["1-URGENT", "2-HIGH", "5-LOW", "4-NOT SPECIFIED", "5-LOW"])
 
 
 @query("a28_signed_rank", """
@@ -230,6 +230,27 @@ def a28(spark, d):
     return rounded(C.signed_rank(w.select(*[F.round(m, -4).alias(m) for m in METHODS[:2]]), "1-URGENT", "2-HIGH"))
 
 
+# The normal tail by Simpson's rule, twelve deviations far.
+TAIL_SQL = """list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-((x + 12 * i / 2000.0::DOUBLE) ** 2) / 2)))
+    * (12 / 2000.0::DOUBLE / 3) * 2 / sqrt(2 * pi())"""
+
+
+@query("a28_signed_rank_p", f"""
+  WITH d AS (SELECT a.method AS left_method, round(a.metric, -4) - round(b.metric, -4) AS d FROM method_scores a JOIN method_scores b USING (sweep_id) WHERE a.method IN ('1-URGENT', '2-HIGH') AND b.method = '5-LOW'),
+  r AS (SELECT left_method, d, rank() OVER (PARTITION BY left_method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY left_method, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY left_method, abs(d)) AS t FROM d WHERE d <> 0),
+  s AS (SELECT left_method, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS st, count(*) AS m, sum(t * t - 1) AS ties FROM r GROUP BY 1),
+  z AS (SELECT left_method, abs((st - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE)) AS x FROM s)
+  SELECT left_method, round({TAIL_SQL}, 5) AS p FROM z""", "method_scores")
+def a28_p(spark, d):
+    scores = V.method_scores(spark, d)
+    parts = []
+    for m in METHODS[:2]:
+        w = C.by_method(scores, [m, "5-LOW"])
+        report = C.signed_rank(w.select(*[F.round(c, -4).alias(c) for c in (m, "5-LOW")]), m, "5-LOW")
+        parts.append(report.select(F.lit(m).alias("left_method"), F.round(C.two_sided_p(F.col("z")), 5).alias("p")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("a23_mean_metric", "SELECT method, round(avg(metric), 5) AS mean, count(*) AS scans FROM method_scores GROUP BY 1", "method_scores")
 def a23(spark, d):
     return rounded(C.mean_metric(V.method_scores(spark, d), ["method"], "metric"), 5)

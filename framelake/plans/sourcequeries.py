@@ -262,7 +262,7 @@ ALIAS_SQL = """sel AS (SELECT s_suppkey AS video_name, CASE s_suppkey % 3 WHEN 0
 def alias_map(spark, d):
     k = F.col("s_suppkey")
     sel = V.table(spark, d, "supplier").select(k.alias("video_name"), F.when(k % 3 == 0, "fixed").when(k % 3 == 1, "random").otherwise("validation").alias("role"), F.rint("s_acctbal").cast("bigint").alias("place"))
-    return SH.aliases(sel, F.floor(F.col("place") / 1024))
+    return SH.aliases(sel)
 
 
 @query("x01_aliases", f"WITH {ALIAS_SQL} SELECT * FROM al")

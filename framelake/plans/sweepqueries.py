@@ -175,7 +175,7 @@ def video_table(spark, d):
 
 @query("t01_rank_finite", f"WITH {VIDEO_SQL} SELECT video_name, row_number() OVER (ORDER BY recall_micro DESC, video_name) AS rank FROM vd")
 def t01(spark, d):
-    return S.rank_finite(video_table(spark, d), "recall_micro", True, F.floor(-F.col("recall_micro"))).select("video_name", "rank")
+    return S.rank_finite(video_table(spark, d), "recall_micro", True).select("video_name", "rank")
 
 
 @query("t03_hash_order", "SELECT s_suppkey AS video_name, row_number() OVER (ORDER BY sha256('screen:' || s_suppkey), s_suppkey) AS place FROM supplier")

@@ -194,3 +194,34 @@ def test_a_fold_that_never_forgets_ends_within_bounded_rounds(spark, monkeypatch
     for k in (0, 1):
         assert np.allclose(got[got.k == k].sort_values("i")["t"], k + 1 + np.cumsum(np.arange(k, 2000, 2)))
     assert len(rounds) <= 13  # log2 of 1,000 chunks, two more, and the pass that writes the rows
+
+
+def test_far_values_do_not_fill_one_bin(spark):
+    v = np.random.default_rng(1).random(200_000)
+    v[7] = 1e18
+    df = spark.createDataFrame(pd.DataFrame({"k": np.ones(len(v), int), "v": v}))
+    counted = df.groupBy("k", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = [r["count"] for r in L.value_bins(counted, ["k"]).groupBy("_bin").count().collect()]
+    assert max(sizes) < 10_000 and sum(sizes) == len(v)
+    got = L.percentiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.999, "d": 1.0}).first()
+    assert np.allclose([got["a"], got["b"], got["c"], got["d"]], np.quantile(v, [0.05, 0.5, 0.999, 1.0]))
+    order = np.argsort(v)
+    bins = L.value_bins(counted, ["k"]).orderBy("_v").toPandas()["_bin"].to_numpy()
+    assert (np.diff(bins) >= 0).all() and len(order) == len(bins)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_places_in_a_skewed_order(spark, keys):
+    n = 5000
+    rows = [("hot" if i % 10 else f"k{i % 4}", 1.0 if i % 3 else float(i % 17), i, i % 5) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double, i int, a int").repartition(4)
+    got = L.ordered(df, keys, ["v", "i"], "a").collect()
+    seen, total = {}, {}
+    for k, v, i, a in sorted(rows, key=lambda r: ((r[0],) if keys else (), r[1], r[2])):
+        g = k if keys else None
+        seen[i] = (sum(1 for _ in ()) + total.get((g, "n"), 0), total.get((g, "a"), 0))
+        total[g, "n"] = total.get((g, "n"), 0) + 1
+        total[g, "a"] = total.get((g, "a"), 0) + a
+    assert {r["i"]: (r["position"], r["before"]) for r in got} == seen
+    parts = L.cut_lineage(df.repartitionByRange(8, *keys, "v", "i").withColumn("p", F.spark_partition_id())).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < n / 3
