@@ -106,15 +106,20 @@ def class_weights(df: DataFrame, classes: int, label="point_label", valid="valid
 
 
 def sample_diagnostics(df: DataFrame, keys: Sequence[str], sample: Sequence[str], label="point_label",
-                       valid="valid_mask", logit0="logit0", logit1="logit1", prob="p1", padding="is_padding") -> DataFrame:
-    """Per-epoch health figures, combined per sample first and then per epoch."""
+                       valid="valid_mask", logit0="logit0", logit1="logit1", prob="p1", padding="is_padding", counts: bool = False) -> DataFrame:
+    """Per-epoch health figures, combined per sample first and then per epoch.
+
+    ``counts`` adds the confusion counts of the stronger logit, the smallest,
+    mean and largest sample without its padding, and the share of samples with
+    no valid point.
+    """
     ok = counted(label, valid)
     hit = F.col(logit1) > F.col(logit0)
     pos = F.col(label) == 1
     num = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0.0))
     per_sample = df.groupBy(*keys, *sample).agg(
         F.count(F.lit(1)).alias("slots"), F.count_if(~F.col(padding)).alias("points"), F.count_if(ok).alias("valid"),
-        F.count_if(ok & pos).alias("positive"), F.count_if(ok & hit).alias("pred_positive"),
+        F.count_if(ok & pos).alias("positive"), F.count_if(ok & hit).alias("pred_positive"), F.count_if(ok & pos & hit).alias("tp"),
         num(ok, F.col(logit0)).alias("l0"), num(ok, F.col(logit1)).alias("l1"), num(ok, F.col(prob)).alias("p"),
         num(ok & ~pos, F.col(prob)).alias("p_bg"), num(ok & pos, F.col(prob)).alias("p_pos"))
     s = lambda c: F.sum(c)
@@ -122,9 +127,12 @@ def sample_diagnostics(df: DataFrame, keys: Sequence[str], sample: Sequence[str]
         s("slots").alias("total_points"), s("valid").alias("valid_points"), F.count(F.lit(1)).alias("num_samples"),
         F.count_if(F.col("valid") == 0).alias("empty_valid_samples"),
         F.min("valid").alias("min_valid"), F.avg("valid").alias("mean_valid"), F.max("valid").alias("max_valid"),
-        s("points").alias("real_points"), s("positive").alias("positive"), s("pred_positive").alias("pred_positive"),
+        s("points").alias("real_points"), F.min("points").alias("min_points"), F.avg("points").alias("mean_points"), F.max("points").alias("max_points"), s("tp").alias("tp"), s("positive").alias("positive"), s("pred_positive").alias("pred_positive"),
         s("l0").alias("l0"), s("l1").alias("l1"), s("p").alias("p"), s("p_bg").alias("p_bg"), s("p_pos").alias("p_pos"))
     v, pos_n = F.col("valid_points"), F.col("positive")
+    tp, pred = F.col("tp"), F.col("pred_positive")
+    more = [tp, (pred - tp).alias("fp"), (v - pos_n - pred + tp).alias("tn"), (pos_n - tp).alias("fn"), "min_points", "mean_points", "max_points",
+            ratio("empty_valid_samples", "num_samples").alias("empty_valid_ratio")] if counts else []
     return out.select(
         *keys, "total_points", "valid_points", "num_samples", "empty_valid_samples", "min_valid", "mean_valid", "max_valid",
         "positive", "pred_positive", ratio(F.col("total_points") - v, "total_points").alias("ignore_ratio"),
@@ -132,4 +140,4 @@ def sample_diagnostics(df: DataFrame, keys: Sequence[str], sample: Sequence[str]
         ratio(pos_n, v).alias("positive_ratio"), ratio("pred_positive", v).alias("pred_positive_ratio"),
         ratio("l0", v).alias("mean_logit_background"), ratio("l1", v).alias("mean_logit_positive"),
         ratio(F.col("l1") - F.col("l0"), v).alias("mean_logit_margin"), ratio("p", v).alias("mean_prob"),
-        ratio("p_bg", v - pos_n).alias("mean_prob_on_background"), ratio("p_pos", pos_n).alias("mean_prob_on_positive"))
+        ratio("p_bg", v - pos_n).alias("mean_prob_on_background"), ratio("p_pos", pos_n).alias("mean_prob_on_positive"), *more)

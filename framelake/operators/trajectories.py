@@ -217,14 +217,17 @@ def scale_along(points: DataFrame, axis: DataFrame, scale: float) -> DataFrame:
                     F.abs((scale - 1) * F.col("p")).alias("shift"), "p", (F.col("p") * scale).alias("p_scaled"))
 
 
-def correct(poses: DataFrame, pose: str = "pose", method: str = "first_valid", window: int = 15, min_cos: float = -0.1,
-            min_ratio: float = 0.25, max_ratio: float = 2.0, alpha: float = 0.2, monotone_ratio: float | None = None,
-            same_side_ratio: float | None = None, scale: float = 1.0, eps: float = EPS, chunk: int = CHUNK) -> DataFrame:
-    """Rebuild, make monotone, push, stretch; rotations are kept.
+def corrected(poses: DataFrame, pose: str = "pose", method: str = "first_valid", window: int = 15, min_cos: float = -0.1,
+              min_ratio: float = 0.25, max_ratio: float = 2.0, alpha: float = 0.2, monotone_ratio: float | None = None,
+              same_side_ratio: float | None = None, scale: float = 1.0, eps: float = EPS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Rebuild, make monotone, push, stretch; rotations are kept.  Returns the poses and one record per video.
 
     Videos without a usable step keep their poses.  Every stage reads the one
     before it several times, so the narrow centre and step tables are written
-    out in between instead of being computed again.
+    out in between instead of being computed again.  The record counts steps by
+    kind and moved frames by stage, with mean and largest shift of each stage
+    over all its frames; a stage that did not run, and a video that was not
+    corrected, has zeros.
     """
     c = cut_lineage(centers(poses, pose))
     st = cut_lineage(steps(c, eps, chunk))
@@ -233,16 +236,40 @@ def correct(poses: DataFrame, pose: str = "pose", method: str = "first_valid", w
     new = rebuild_steps(st, axis, mid, min_cos, min_ratio, max_ratio, alpha, eps, chunk)
     first = origins(c).join(mid, KEY, "left_semi")
     out = positions(first, new, chunk)
+    kinds = new.groupBy(KEY).agg(*[F.count_if(F.col("kind") == k).alias(f"num_{k}_steps") for k in ("reverse", "short", "long")])
+    lengths = st.groupBy(KEY).agg(F.count_if(~F.col("valid")).alias("num_invalid_steps"), F.avg(F.when(F.col("valid"), F.col("length"))).alias("prior_length_mean"))
+    parts = [lengths, mid.select(KEY, "median_step"), kinds]
+
+    def moved(df: DataFrame, name: str, *counts: Column) -> DataFrame:
+        return df.groupBy(KEY).agg(*counts, F.avg("shift").alias(f"{name}_shift_mean"), F.max("shift").alias(f"{name}_shift_max"))
+
     if monotone_ratio is not None:
-        out = monotone(cut_lineage(out), axis, mid.select(KEY, (F.col("median_step") * monotone_ratio).alias("min_step")), chunk).select(KEY, POS, "cx", "cy", "cz")
+        done = cut_lineage(monotone(cut_lineage(out), axis, mid.select(KEY, (F.col("median_step") * monotone_ratio).alias("min_step")), chunk))
+        parts.append(moved(done, "monotone", F.count_if("adjusted").alias("num_monotone_adjusted")))
+        out = done.select(KEY, POS, "cx", "cy", "cz")
     if same_side_ratio is not None:
-        out = push_same_side(cut_lineage(out), frame_normals(poses, pose), axis, mid.select(KEY, (F.col("median_step") * same_side_ratio).alias("min_step")), eps,
-                             chunk).select(KEY, POS, "cx", "cy", "cz")
+        before = cut_lineage(out)
+        done = cut_lineage(push_same_side(before, frame_normals(poses, pose), axis, mid.select(KEY, (F.col("median_step") * same_side_ratio).alias("min_step")), eps, chunk))
+        both = done.join(before.select(KEY, POS, *[F.col(f"c{x}").alias(f"o{x}") for x in "xyz"]), [KEY, POS])
+        shifts = both.withColumn("shift", G.norm([F.col(f"c{x}") - F.col(f"o{x}") for x in "xyz"]))
+        parts.append(moved(shifts, "same_side", F.count_if("pushed").alias("num_same_side_corrected")))
+        out = done.select(KEY, POS, "cx", "cy", "cz")
     if abs(scale - 1) > eps:
-        out = scale_along(cut_lineage(out), axis, scale).select(KEY, POS, "cx", "cy", "cz")
+        done = cut_lineage(scale_along(cut_lineage(out), axis, scale))
+        parts.append(moved(done, "scale", (F.max("p") - F.min("p")).alias("extent_before"), (F.max("p_scaled") - F.min("p_scaled")).alias("extent_after")))
+        out = done.select(KEY, POS, "cx", "cy", "cz")
     m = G.cells(pose)
     fixed = [F.coalesce(F.col({3: "cx", 7: "cy", 11: "cz"}[i]), m[i]) if i in (3, 7, 11) else m[i] for i in range(12)]
-    return poses.join(out, [KEY, POS], "left").withColumn("pose_corr", F.array(*fixed)).drop("cx", "cy", "cz")
+    whole = poses.join(out, [KEY, POS], "left").withColumn("pose_corr", F.array(*fixed)).drop("cx", "cy", "cz")
+    record = poses.select(KEY).distinct()
+    for p in parts:
+        record = record.join(p, KEY, "left")
+    return whole, record.na.fill(0)
+
+
+def correct(poses: DataFrame, pose: str = "pose", **options) -> DataFrame:
+    """The poses of ``corrected``, with its options."""
+    return corrected(poses, pose, **options)[0]
 
 
 def step_report(new_steps: DataFrame, videos: DataFrame) -> DataFrame:

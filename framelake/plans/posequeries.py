@@ -278,6 +278,23 @@ def w09_all(spark, d):
     return out.select("video_name", "frame_order", *[R(c).alias(n) for n, c in zip(("cx", "cy", "cz"), G.translation("pose_corr"))])
 
 
+@query("w09_correction_record", f"""{REBUILD_SQL},
+  o AS (SELECT video_name, arg_min(am03, frame_order) AS ox, arg_min(am13, frame_order) AS oy, arg_min(am23, frame_order) AS oz FROM poses GROUP BY 1),
+  ps AS (SELECT video_name, frame_order + 1 AS f, {", ".join(f"o{c} + sum(CASE WHEN frame_order < 0 THEN 0 ELSE n{c} END) OVER w AS c{c}, o{c}" for c in "xyz")} FROM walk JOIN o USING (video_name) {WIN}),
+  pr AS (SELECT ps.*, mid, (cx - ox) * rx + (cy - oy) * ry + (cz - oz) * rz AS p FROM ps JOIN ax USING (video_name) JOIN md USING (video_name)),
+  q AS (SELECT *, p - f * 0.05 * mid AS q FROM pr), mo AS (SELECT *, max(q) OVER (PARTITION BY video_name ORDER BY f) AS top FROM q),
+  m AS (SELECT *, CASE WHEN top > q THEN top + f * 0.05 * mid - p ELSE 0 END AS lift FROM mo),
+  g AS (SELECT video_name, count(*) FILTER (top > q) AS num_monotone_adjusted, round(avg(abs(lift)), 6) AS monotone_shift_mean, round(max(abs(lift)), 6) AS monotone_shift_max,
+    round(max(p + lift) - min(p + lift), 6) AS extent_before, round(1.1 * (max(p + lift) - min(p + lift)), 6) AS extent_after,
+    round(avg(abs(0.1 * (p + lift))), 6) AS scale_shift_mean, round(max(abs(0.1 * (p + lift))), 6) AS scale_shift_max FROM m GROUP BY 1),
+  k AS (SELECT video_name, count(*) FILTER (kind = 'reverse') AS num_reverse_steps, count(*) FILTER (kind = 'short') AS num_short_steps, count(*) FILTER (kind = 'long') AS num_long_steps FROM walk GROUP BY 1),
+  l AS (SELECT video_name, count(*) FILTER (len <= 1e-8) AS num_invalid_steps, round(avg(len) FILTER (len > 1e-8), 6) AS prior_length_mean FROM st GROUP BY 1)
+  SELECT * EXCLUDE (mid), round(mid, 6) AS median_step FROM l JOIN md USING (video_name) JOIN k USING (video_name) JOIN g USING (video_name)""", "poses")
+def w09_record(spark, d):
+    _, record = TR.corrected(V.poses(spark, d), method="early_mean", monotone_ratio=0.05, scale=1.1)
+    return record.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in record.dtypes])
+
+
 @query("w10_step_pairs", f"""
   WITH {STEPS_SQL}, ax AS (SELECT video_name, {", ".join(f"arg_min(s{c} / len, frame_order) AS a{c}" for c in "xyz")} FROM st WHERE len > 1e-8 GROUP BY 1),
   b AS (SELECT p.video_name, p.frame_order, bm03 AS kx, bm13 AS ky, bm23 AS kz, am02 AS qx, am12 AS qy, am22 AS qz, lead(bm03) OVER w - bm03 AS tx, lead(bm13) OVER w - bm13 AS ty,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window as W, functions as F, types as T
 
 from framelake.functions import geometry as G
 from framelake.operators import compare as C, metrics as M, sharing as SH, windows as WI
@@ -195,6 +195,37 @@ def s15(spark, d):
     return RD.json_lines(rows, T.StructType([T.StructField("k", T.LongType())]))
 
 
+@query("s15_jsonl_append", "SELECT event_id, user_id, value, true AS in_order FROM events")
+def s15_append(spark, d):
+    """Two appends of files sorted by event; the line numbers of each file count its events in that order."""
+    at = scratch_path(spark, "jsonl")
+    e = V.table(spark, d, "events").select("event_id", "user_id", "value")
+    for part in (0, 1):
+        SK.append_json_lines(e.filter(F.col("event_id") % 2 == part).repartition(4, "event_id").sortWithinPartitions("event_id"), at)
+    back = RD.read_json_lines(spark, at, e.schema)
+    rank = F.row_number().over(W.partitionBy("file").orderBy("event_id"))
+    return back.select("event_id", "user_id", "value", (F.col("line") == rank).alias("in_order"))
+
+
+@query("s16_summary_file", "SELECT count(*) AS videos, sum(s_nationkey)::BIGINT AS seeds, min(s_name) AS first_video FROM supplier")
+def s16_file(spark, d):
+    at = scratch_path(spark, "summary")
+    s = V.table(spark, d, "supplier")
+    SK.write_summary(s.agg(F.count(F.lit(1)).alias("videos"), F.sum("s_nationkey").cast("long").alias("seeds"), F.min("s_name").alias("first_video")), at)
+    return spark.read.schema("videos bigint, seeds bigint, first_video string").json(at)
+
+
+@query("s21_split_files", "SELECT split, row_number() OVER (PARTITION BY split ORDER BY video_name) - 1 AS id FROM video_split", "video_split")
+def s21_files(spark, d):
+    at = scratch_path(spark, "ids")
+    SK.write_id_lists(RD.numbered_ids(V.video_split(spark, d), "video_name", F.floor(F.col("video_name") / 65_536)).select("split", "id"), at)
+    lines = RD.numbered_lines(spark, at)
+    split = F.regexp_extract("file", "split=([^/]+)/", 1)
+    first = lines.groupBy("file").agg(F.min(F.col("value").cast("long")).alias("first"))
+    # inside a file, ids go up by one from line to line
+    return lines.join(first, "file").select(split.alias("split"), (F.col("first") + F.col("line") - 1).alias("id"))
+
+
 @query("s18_artifact_match", """
   WITH v AS (SELECT 'clip' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS video_name, s_suppkey AS k FROM supplier),
   fl AS (SELECT CASE c_custkey % 3 WHEN 0 THEN '/art/clip' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '_ref.csv' WHEN 1 THEN '/art/x/clip' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '/data.csv' ELSE '/art/misc/' || c_custkey || '.csv' END AS path FROM customer

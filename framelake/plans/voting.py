@@ -165,6 +165,20 @@ def sample_diagnostics(spark, d):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@query("a07_sample_confusion", """
+  WITH s AS (SELECT checkpoint, video_name, window_id, count(*) FILTER (frame_order % 5 <> 4) AS points, count(*) FILTER (ok) AS valid, count(*) FILTER (ok AND point_label = 1 AND p1 > p0) AS tp,
+      count(*) FILTER (ok AND point_label = 0 AND p1 > p0) AS fp, count(*) FILTER (ok AND point_label = 0 AND p1 <= p0) AS tn, count(*) FILTER (ok AND point_label = 1 AND p1 <= p0) AS fn
+    FROM (SELECT *, valid_mask AND window_id % 7 <> 3 AS ok FROM window_probs) GROUP BY 1, 2, 3)
+  SELECT checkpoint, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fn) AS BIGINT) AS fn, min(points) AS min_points,
+    round(avg(points), 6) AS mean_points, max(points) AS max_points, round(count(*) FILTER (valid = 0) / count(*), 6) AS empty_valid_ratio FROM s GROUP BY 1""", "window_probs")
+def sample_confusion(spark, d):
+    """Every fifth frame is padding and whole windows are without a valid point."""
+    rows = scored_windows(spark, d).withColumns({"logit0": F.col("p0"), "logit1": F.col("p1"), "is_padding": F.col("frame_order") % 5 == 4,
+                                                 "valid_mask": F.col("valid_mask") & (F.col("window_id") % 7 != 3)})
+    out = M.sample_diagnostics(rows, ["checkpoint"], ["video_name", "window_id"], counts=True)
+    return out.select("checkpoint", "tp", "fp", "tn", "fn", "min_points", F.round("mean_points", 6).alias("mean_points"), "max_points", F.round("empty_valid_ratio", 6).alias("empty_valid_ratio"))
+
+
 @query("w02_subsequences", """
   WITH n AS (SELECT video_name, count(*) AS num_frames FROM frames GROUP BY 1)
   SELECT video_name, CAST(s AS BIGINT) AS start FROM n, generate_series(0, 1000) g(s) WHERE s <= num_frames - 20""", "frames")

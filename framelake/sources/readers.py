@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from framelake import schemas as SC
 from framelake.functions import names as N
@@ -193,3 +195,35 @@ def json_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("invalid JSON at line "), F.col("line").cast("string"))).cast("string")
     text = F.when(F.col("_j").isNull(), bad).otherwise(F.col("value"))
     return parsed.withColumn("_r", F.from_json(text, schema)).select("line", "_r.*")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, value``: text lines with their number in their file, from 1.
+
+    A large file is read in blocks by many tasks.  Each task counts the lines
+    of its blocks as they come; the lines of earlier blocks of a file follow
+    from one row per block.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for b in batches:
+            numbers = np.zeros(b.num_rows, np.int64)
+            for i, where in enumerate(zip(b["file"].to_pylist(), b["_block"].to_pylist())):
+                at, n = where, n + 1 if where == at else 1
+                numbers[i] = n
+            yield pa.record_batch({**{c: b[c] for c in b.schema.names}, "_line": pa.array(numbers)})
+
+    counted = lines.mapInArrow(count, "file string, _block bigint, value string, _line bigint")
+    before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counted.groupBy("file", "_block").agg(F.max("_line").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return counted.join(blocks, ["file", "_block"]).select("file", (F.col("_line") + F.col("_before")).alias("line"), "value")
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``file, line`` and the fields of JSON records, one per line; a bad line stops the query with its file and number."""
+    kept = numbered_lines(spark, path).filter(F.trim("value") != "")
+    where = F.concat(F.lit("invalid JSON at "), "file", F.lit(", line "), F.col("line").cast("string"))
+    text = F.when(F.try_parse_json("value").isNull(), F.raise_error(where).cast("string")).otherwise(F.col("value"))
+    return kept.withColumn("_r", F.from_json(text, schema)).select("file", "line", "_r.*")

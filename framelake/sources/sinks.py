@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from framelake.sources.commits import CommittedTable
 
@@ -28,6 +28,27 @@ def write_predictions(voted: DataFrame, summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").parquet(f"{path}/windows")
 
 
+def append_json_lines(records: DataFrame, path: str) -> None:
+    """Add records as JSON lines to what ``path`` already holds; Spark's commit leaves nothing of a failed run."""
+    records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("value")).write.mode("append").text(path)
+
+
+def write_id_lists(ids: DataFrame, path: str) -> None:
+    """The ids of each split, one per line in id order, in a folder per split: ``ids (split, id)``.
+
+    A large split goes to several files; their names are in id order.
+    """
+    out = ids.select("split", "id", F.col("id").cast("string").alias("value")).repartitionByRange("split", "id").sortWithinPartitions("split", "id")
+    out.select("split", "value").write.mode("overwrite").partitionBy("split").text(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A summary of one row as a JSON file; more rows stop the write."""
+    n = summary.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy()))
+    bad = F.raise_error(F.lit("a summary has one row")).cast("boolean")
+    n.filter(F.when(F.col("_n") > 1, bad).otherwise(F.lit(True))).drop("_n").coalesce(1).write.mode("overwrite").json(path)
+
+
 def collect_status(sources: DataFrame, existing: DataFrame, dry_run: bool = False, overwrite: bool = False) -> DataFrame:
     """What a collection run does with each source (path, name): copied, skipped_exists or dry_run.
 

@@ -1,6 +1,7 @@
 """Known small cases, brute-force comparisons, errors and plan checks."""
 
 import itertools
+import json
 import math
 
 import numpy as np
@@ -8,11 +9,11 @@ import pandas as pd
 import pytest
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from framelake.functions import features as FE, flags as FL, geometry as G
 from framelake.operators import (boxes as B, compare as C, evidence as E, metrics as M, pointprep as PP, pose_errors as PE, sampling as SA, scoring as SC,
-                                 sharing as SH, sweep as S, windows as WI)
+                                 sharing as SH, sweep as S, trajectories as TR, windows as WI)
 from framelake.operators.textmatch import contains_join
 from framelake.sources import readers as RD, sinks as SK
 from tests.conftest import SF
@@ -404,3 +405,50 @@ def test_names_are_found_whatever_their_length_and_number(spark):
     assert {tuple(r) for r in got.collect()} == {(k, v) for k, x in zip(keys, texts) if x for v in names if v in x}
     assert contains_join(t, "id", "text", n.filter("name = ''"), "name").count() == 0 and contains_join(t.limit(0), "id", "text", n, "name").count() == 0
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_numbered_over_blocks_of_a_file(spark, tmp_path):
+    texts = {"a.jsonl": [json.dumps({"k": i, "pad": "x" * (i % 50)}) for i in range(3000)], "b.jsonl": ['{"k": 7}', "", '{"k": 8}']}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = RD.numbered_lines(spark, str(tmp_path)).collect()
+        read = RD.read_json_lines(spark, str(tmp_path), T.StructType([T.StructField("k", T.LongType())])).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in got} == {(n, i, v) for n, lines in texts.items() for i, v in enumerate(lines, 1)}
+    assert {(r["file"][-7], r["line"], r["k"]) for r in read} == {("a", i + 1, i) for i in range(3000)} | {("b", 1, 7), ("b", 3, 8)}
+    (tmp_path / "b.jsonl").write_text('{"k": 7}\n{"k": \n')
+    with pytest.raises(Exception, match="b.jsonl, line 2"):
+        RD.read_json_lines(spark, str(tmp_path), T.StructType([T.StructField("k", T.LongType())])).collect()
+
+
+def test_sinks_append_and_refuse(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, `odd name` string")
+    for _ in range(2):
+        SK.append_json_lines(df, str(tmp_path / "log"))
+    assert sorted(r["value"] for r in RD.numbered_lines(spark, str(tmp_path / "log")).collect()) == sorted(['{"id":1,"odd name":"a"}', '{"id":2}'] * 2)
+    SK.write_summary(df.agg(F.count(F.lit(1)).alias("n")), str(tmp_path / "one"))
+    assert spark.read.json(str(tmp_path / "one")).first()["n"] == 2
+    with pytest.raises(Exception, match="one row"):
+        SK.write_summary(df, str(tmp_path / "two"))
+
+
+def test_correction_record_counts_pushes(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for v in range(3):
+        at = np.zeros(3)
+        for i in range(40 if v else 1):
+            q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+            at = at + np.array([0.5, 0, 0]) + rng.normal(size=3) * (0.4 if v else 0)
+            rows.append((v, i, [float(x) for x in np.column_stack([q, at]).reshape(-1)]))
+    poses = spark.createDataFrame(rows, "video_name int, frame_order int, pose array<double>")
+    whole, record = TR.corrected(poses, monotone_ratio=0.05, same_side_ratio=0.1, scale=1.2)
+    got = {r["video_name"]: r for r in record.collect()}
+    assert whole.count() == len(rows) and got[0]["median_step"] == 0 and got[0]["num_same_side_corrected"] == 0 and got[0]["scale_shift_max"] == 0
+    for v in (1, 2):
+        assert got[v]["num_same_side_corrected"] > 0 and got[v]["same_side_shift_max"] >= got[v]["same_side_shift_mean"] > 0
+        assert got[v]["num_reverse_steps"] > 0 and abs(got[v]["extent_after"] - 1.2 * got[v]["extent_before"]) < 1e-9
