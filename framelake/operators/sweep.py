@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from framelake.functions import flags as FL
 from framelake.functions.names import config_id, hash_order
 from framelake.functions.ratios import NULL, finite, ratio
 from framelake.operators.layout import ordered, percentile_table, with_hash_position
+from framelake.session import cut_lineage
 
 HITS = (1, 8, 16, 32)
 QUANTILES = {"median": 0.5, "p10": 0.1, "p05": 0.05}
@@ -167,13 +169,15 @@ def _dominated(v: np.ndarray, by: np.ndarray) -> np.ndarray:
     return out
 
 
-def pareto(df: DataFrame, low: Sequence[str], high: Sequence[str], blocks: int = 8) -> DataFrame:
+def pareto(df: DataFrame, low: Sequence[str], high: Sequence[str], blocks: int = 1, most: int = 4096) -> DataFrame:
     """Rows not dominated in any objective; equal rows keep each other.
 
     Missing and infinite values count as the worst.  Distinct cost vectors
-    first lose to others of their Arrow batch; the survivors are cut into
-    blocks and every block is held against every other one in its own task, so
-    no task sees the whole front.
+    first lose to others of their Arrow batch.  The survivors are put in
+    dictionary order, where whatever dominates a vector comes before it, and
+    cut into blocks of at most ``most``, at least ``blocks`` of them; a block
+    meets only earlier blocks whose best corner is nowhere worse than its own
+    worst corner, pair by pair, so no task sees more than two blocks.
     """
     big = F.lit(float("inf"))
     cost = {f"_o{i}": F.coalesce(finite(c).cast("double"), big) for i, c in enumerate(low)}
@@ -188,16 +192,23 @@ def pareto(df: DataFrame, low: Sequence[str], high: Sequence[str], blocks: int =
             yield b[~_dominated(v, v)]
 
     left = vectors.mapInPandas(thin, vectors.schema)
-    home, all_blocks = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    judged = left.withColumn("_a", home).withColumn("_b", all_blocks).withColumn("_judge", F.lit(False))
-    judges = left.withColumn("_b", home).withColumn("_a", all_blocks).withColumn("_judge", F.lit(True))
+    placed = ordered(left, [], names)
+    size = F.least(F.lit(most), F.ceil(placed.agg(F.count(F.lit(1))).scalar() / blocks))
+    placed = cut_lineage(placed.withColumn("_b", F.floor(F.col("position") / size)).drop("position"))
+    corners = placed.groupBy("_b").agg(*[F.min(c).alias(f"lo{c}") for c in names], *[F.max(c).alias(f"hi{c}") for c in names])
+    before = corners.select(F.col("_b").alias("_a"), *[f"lo{c}" for c in names])
+    meets = reduce(lambda x, y: x & y, [F.col(f"lo{c}") <= F.col(f"hi{c}") for c in names])
+    # one row per block on either side; a block meets itself too
+    pairs = corners.select("_b", *[f"hi{c}" for c in names], F.explode(F.sequence(F.lit(0).cast("bigint"), "_b")).alias("_a")).join(before, "_a").filter(meets).select("_a", "_b")
+    judged = placed.join(pairs, "_b").withColumn("_judge", F.lit(False)).select("_a", "_b", *names, "_judge")
+    judges = placed.withColumnRenamed("_b", "_a").join(pairs, "_a").withColumn("_judge", F.lit(True)).select("_a", "_b", *names, "_judge")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         v, judge = pdf[names].to_numpy(float), pdf["_judge"].to_numpy(bool)
         return pdf.loc[~judge, names][_dominated(v[~judge], v[judge])]
 
     beaten = judged.unionByName(judges).groupBy("_a", "_b").applyInPandas(meet, vectors.schema).distinct()
-    front = left.join(beaten, names, "left_anti")
+    front = placed.select(*names).join(beaten, names, "left_anti")
     return rows.join(front, names, "left_semi").drop(*names)
 
 

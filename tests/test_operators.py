@@ -452,3 +452,15 @@ def test_correction_record_counts_pushes(spark):
     for v in (1, 2):
         assert got[v]["num_same_side_corrected"] > 0 and got[v]["same_side_shift_max"] >= got[v]["same_side_shift_mean"] > 0
         assert got[v]["num_reverse_steps"] > 0 and abs(got[v]["extent_after"] - 1.2 * got[v]["extent_before"]) < 1e-9
+
+
+def test_pareto_of_a_large_front(spark):
+    n = 6000
+    rng = np.random.default_rng(8)
+    v = rng.random((n, 2))
+    x = np.sort(rng.random(n))
+    front = pd.DataFrame({"n": np.arange(n), "a": x, "b": 1 - x, "c": 0.0})
+    beaten = pd.DataFrame({"n": np.arange(n, 2 * n), "a": x + v[:, 0] * 1e-9, "b": 1 - x + 1e-12 + v[:, 1], "c": 0.0})
+    df = spark.createDataFrame(pd.concat([front, beaten])).repartition(7)
+    got = S.pareto(df, ["a", "b"], ["c"], most=500)
+    assert {r["n"] for r in got.select("n").collect()} == set(range(n))
