@@ -254,6 +254,28 @@ def s19(spark, d):
     return RD.concat_metadata([a, b], "train")
 
 
+@query("s19_metadata_files", """
+  WITH m AS (SELECT s_suppkey AS sweep_id, CASE WHEN s_suppkey % 4 = 1 THEN 'test' ELSE 'train' END AS split, s_suppkey % 2 AS t, 1000000 - s_suppkey AS line, CASE WHEN s_nationkey % 6 = 0 THEN -1 WHEN s_nationkey % 6 = 1 THEN NULL ELSE s_nationkey END AS num_frames FROM supplier),
+  r AS (SELECT *, row_number() OVER (ORDER BY t, line) AS r FROM m WHERE split = 'train')
+  SELECT sweep_id, num_frames FROM r WHERE r <= 40 AND num_frames >= 0""")
+def s19_files(spark, d):
+    """Two tables in the order of their lines, cut to a number of scans; unreadable ones among those go afterwards."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    s = V.table(spark, d, "supplier").select(
+        k.alias("sweep_id"), F.when(k % 4 == 1, "test").otherwise("train").alias("split"), (F.lit(1_000_000) - k).alias("line"), F.when(n % 6 == 0, -1).when(n % 6 != 1, n).alias("num_frames"))
+    tables = [s.filter(F.col("sweep_id") % 2 == t) for t in (0, 1)]
+    return RD.concat_metadata(tables, "train", 40, order="line", frames="num_frames").select("sweep_id", "num_frames")
+
+
+@query("p23_file_hashes", "SELECT n_nationkey, sha256(n_name || ',' || n_regionkey || chr(10)) AS sha256 FROM nation")
+def p23_files(spark, d):
+    """A configuration file per nation, hashed as it lies on disk."""
+    at = scratch_path(spark, "configs")
+    V.table(spark, d, "nation").select("n_nationkey", F.concat_ws(",", "n_name", "n_regionkey").alias("value")).write.partitionBy("n_nationkey").text(at)
+    files = RD.file_hashes(spark, at, "part-*")
+    return files.select(F.regexp_extract("file", "n_nationkey=([0-9]+)/", 1).cast(V.table(spark, d, "nation").schema["n_nationkey"].dataType).alias("n_nationkey"), "sha256")
+
+
 CONV = {f"k{r}{c}": CAL[4 * r + c] for r in range(3) for c in range(4)}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelake.operators import metrics as M, windows as WI
+from framelake.operators import metrics as M, scoring as SC, windows as WI
 from framelake.plans import views as V
 from framelake.plans.registry import query
 
@@ -165,6 +165,19 @@ def sample_diagnostics(spark, d):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@query("u01_group_scorer", """
+  WITH c AS (SELECT video_name, point_index, intensity, (row_number() OVER (PARTITION BY video_name ORDER BY point_index) - 1) // 128 AS chunk FROM points)
+  SELECT video_name, point_index, round(1 / (1 + exp(-(intensity - avg(intensity) OVER (PARTITION BY video_name, chunk)) / 32)), 6) AS p1 FROM c""", "points")
+def group_scorer(spark, d):
+    """A model that compares a point with all others of its chunk, so it needs the chunk as a whole."""
+    def model(chunk):
+        return chunk.assign(logit0=0.0, logit1=(chunk["intensity"] - chunk["intensity"].mean()) / 32)
+
+    points = V.points(spark, d).select("video_name", "point_index", "intensity")
+    chunks = WI.scoring_chunks(points, ["video_name"], "point_index", F.substring("point_index", 1, 5), 128)
+    return SC.score_groups(chunks, ["video_name", "chunk"], model).select("video_name", "point_index", F.round("p1", 6).alias("p1"))
+
+
 @query("a07_sample_confusion", """
   WITH s AS (SELECT checkpoint, video_name, window_id, count(*) FILTER (frame_order % 5 <> 4) AS points, count(*) FILTER (ok) AS valid, count(*) FILTER (ok AND point_label = 1 AND p1 > p0) AS tp,
       count(*) FILTER (ok AND point_label = 0 AND p1 > p0) AS fp, count(*) FILTER (ok AND point_label = 0 AND p1 <= p0) AS tn, count(*) FILTER (ok AND point_label = 1 AND p1 <= p0) AS fn

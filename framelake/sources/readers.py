@@ -151,18 +151,32 @@ def audit_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy("split", "status").agg(F.count(F.lit(1)).alias("videos"), F.sum("boxes").alias("boxes"))
 
 
-def concat_metadata(tables: Sequence[DataFrame], split: str = "all", limit: int | None = None, key: str = "sweep_id") -> DataFrame:
-    """Metadata tables as one, filtered by split, cut in order, with an error on a repeated sweep."""
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t, allowMissingColumns=True)
+def concat_metadata(tables: Sequence[DataFrame], split: str = "all", limit: int | None = None, key: str = "sweep_id", order: str | None = None,
+                    frames: str | None = None) -> DataFrame:
+    """Metadata tables as one, filtered by split, cut in order, with an error on a repeated sweep.
+
+    ``order`` is the line of a row in its table: the limit then keeps the first
+    rows table by table, else the first by key.  ``frames`` names the number of
+    frames a sweep was found to have; sweeps that could not be read (-1 or
+    null) are left out at the end, after limit and check.
+    """
+    out = tables[0].withColumn("_table", F.lit(0))
+    for i, t in enumerate(tables[1:], 1):
+        out = out.unionByName(t.withColumn("_table", F.lit(i)), allowMissingColumns=True)
     if split != "all":
         out = out.filter(F.col("split") == split)
     if limit is not None:
-        out = out.orderBy(key).limit(limit)
+        out = out.orderBy(*(["_table", order] if order else [key])).limit(limit)
     n = out.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     bad = F.raise_error(F.concat(F.lit("repeated sweep "), F.col(key).cast("string"))).cast("boolean")
-    return out.join(n, key).filter(F.when(F.col("_n") > 1, bad).otherwise(F.lit(True))).drop("_n")
+    once = out.join(n, key).filter(F.when(F.col("_n") > 1, bad).otherwise(F.lit(True))).drop("_n", "_table")
+    return once if frames is None else once.filter(F.col(frames) >= 0)
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``file, sha256`` of small files (configurations) below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
 def duplicate_stems(paths: DataFrame) -> DataFrame:
