@@ -143,6 +143,20 @@ def q02(spark, d):
     return B.label_policy_audit(policy(spark, d))
 
 
+@query("q02_planted_violations", f"""
+  WITH {POLICY_SQL}, bad AS (SELECT * REPLACE (CASE frame_order % 5 WHEN 0 THEN CASE WHEN label = 1 THEN 2 ELSE label END WHEN 1 THEN CASE WHEN in_box THEN 0 ELSE label END
+      WHEN 2 THEN CASE WHEN NOT box_frame THEN -1 ELSE label END ELSE label END AS label), (label <> -1) <> (frame_order % 5 = 3) AS label_valid, label AS told FROM pol)
+  SELECT count(*) AS points, count(*) FILTER (label_valid <> (label <> -1)) AS valid_mismatch, count(*) FILTER (frame_order % 5 = 0 AND told = 1) AS unexpected_label,
+    count(*) FILTER (frame_order % 5 = 2 AND NOT box_frame) AS no_box_not_background, count(*) FILTER (frame_order % 5 = 1 AND in_box) AS background_in_box,
+    count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = -1) AS ignored FROM bad""", "points boxes")
+def q02_planted(spark, d):
+    """Labels that break each rule of the policy, frame by frame."""
+    k, lab = F.col("frame_order") % 5, F.col("label")
+    valid = (lab != -1) != (k == 3)
+    bad = F.when((k == 0) & (lab == 1), 2).when((k == 1) & F.col("in_box"), 0).when((k == 2) & ~F.col("box_frame"), -1).otherwise(lab)
+    return B.label_policy_audit(policy(spark, d).withColumn("label_valid", valid).withColumn("label", bad))
+
+
 @query("j06_annotation_match", """
   WITH f AS (SELECT video_name, frame_order, frame_index FROM frames),
   files AS (SELECT CASE frame_index % 4 WHEN 0 THEN 'frame_' || lpad(CAST(frame_index AS VARCHAR), 6, '0') || '.xml' WHEN 1 THEN 'annotations/' || frame_index || '.xml'
@@ -274,6 +288,16 @@ def q06(spark, d):
     return B.selection_audit(selected_boxes(spark, d))
 
 
+@query("q06_planted_violations", f"""
+  WITH {SELECTED_SQL}, bad AS (SELECT * REPLACE (CASE WHEN size % 7 = 0 THEN CASE WHEN valid THEN 'none' ELSE 'global' END ELSE selected_source END AS selected_source) FROM sb)
+  SELECT count(*) FILTER (valid AND size % 7 = 0) AS valid_without_source, count(*) FILTER (NOT valid AND size % 7 = 0) AS invalid_with_source,
+    count(*) FILTER (selected_source = 'local_percentile' AND selected_score < 0.3 - 1e-7) AS worse_local_pick, count(*) AS boxes FROM bad""", "boxes")
+def q06_planted(spark, d):
+    """Sources taken from valid boxes and given to invalid ones."""
+    bad = F.when(F.col("size") % 7 == 0, F.when(F.col("valid"), "none").otherwise("global")).otherwise(F.col("selected_source"))
+    return B.selection_audit(selected_boxes(spark, d).withColumn("selected_source", bad))
+
+
 @query("q03_frame_consistency", """
   WITH n AS (SELECT video_name, frame_order, count(*) AS n FROM points GROUP BY 1, 2), f AS (SELECT video_name, frame_order, n + CASE WHEN frame_order = 7 THEN 1 ELSE 0 END AS num_points FROM n WHERE frame_order <> 5)
   SELECT CAST(sum(CASE WHEN f.num_points IS NULL THEN n.n ELSE 0 END) AS BIGINT) AS points_outside_frames, count(*) FILTER (f.num_points <> n.n) AS wrong_counts, CAST(sum(n.n) AS BIGINT) AS points

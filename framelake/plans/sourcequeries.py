@@ -293,6 +293,16 @@ def s20_check(spark, d):
     return C.tolerance_compare(conv, again, ["video_name", "frame_order"], ["x"])
 
 
+@query("s20_planted_differences", """
+  SELECT count(*) FILTER (frame_order NOT IN (5, 6)) AS compared, count(*) FILTER (frame_order IN (5, 6)) AS one_sided, 'x' AS column, count(*) FILTER (frame_order = 3) AS mismatches FROM poses""", "poses")
+def s20_planted(spark, d):
+    """One frame is off, one is missing on either side."""
+    p = V.poses(spark, d)
+    conv = p.filter("frame_order <> 5").select("video_name", "frame_order", (G.product("pose", G.literal(CAL)).getItem(3) + F.when(F.col("frame_order") == 3, 1.0).otherwise(0.0)).alias("x"))
+    again = p.filter("frame_order <> 6").select("video_name", "frame_order", G.move("pose", F.lit(CAL[3]), F.lit(CAL[7]))[0].alias("x"))
+    return C.tolerance_compare(conv, again, ["video_name", "frame_order"], ["x"])
+
+
 @query("s21_split_ids", "SELECT split, row_number() OVER (PARTITION BY split ORDER BY video_name) - 1 AS id, video_name FROM video_split", "video_split")
 def s21(spark, d):
     return RD.numbered_ids(V.video_split(spark, d), "video_name", F.floor(F.col("video_name") / 65_536)).select("split", "id", "video_name")

@@ -85,6 +85,14 @@ def points_without_vote(spark, d):
     return M.without_vote(p, v, ["video_name", "point_index"]).agg(F.count(F.lit(1)).alias("missing"))
 
 
+@query("a04_planted_gaps", "SELECT video_name, count(*) AS missing FROM points WHERE video_name % 2 = 1 AND frame_order BETWEEN 13 AND 20 GROUP BY 1", "points")
+def planted_gaps(spark, d):
+    """Every other video loses the votes of some frames."""
+    p = V.points(spark, d).select("video_name", "point_index", "frame_order")
+    v = WI.into_windows(p, 12, 6).filter("NOT (video_name % 2 = 1 AND frame_order BETWEEN 13 AND 20)")
+    return M.without_vote(p, v, ["video_name", "point_index"]).groupBy("video_name").agg(F.count(F.lit(1)).alias("missing"))
+
+
 @query("a01_confusion_counts", f"""
   SELECT checkpoint, video_name, * EXCLUDE (checkpoint, video_name) REPLACE (round(ignore_prob_sum, 6) AS ignore_prob_sum)
   FROM (SELECT checkpoint, video_name, {COUNTS_SQL} FROM votes GROUP BY 1, 2)""", "votes")
