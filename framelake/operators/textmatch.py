@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framelake.session import cut_lineage
+from framelake.session import scratch_path
 
 # Lengths of the grams; a name uses the longest that fits into it.
 GRAMS = (8, 4, 2, 1)
@@ -43,7 +43,9 @@ def contains_join(texts: DataFrame, key: str, text: str, needles: DataFrame, nee
     null texts match nothing; a null key is a key like any other.
     """
     names = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
-    index = cut_lineage(register(names, "_needle"))
+    at = scratch_path(texts.sparkSession, "names")
+    register(names, "_needle").write.parquet(at)
+    index = texts.sparkSession.read.parquet(at)  # its size is known, so a small index is sent to the texts
     used = [r["_q"] for r in index.select("_q").distinct().collect()]  # at most one row per gram length
     narrow = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     if not used:
