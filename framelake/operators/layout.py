@@ -25,17 +25,27 @@ def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column
     """Join per-key values onto many rows without putting a hot key on one task.
 
     ``small`` holds one row per key.  With ``spread`` (any expression that
-    differs between rows of one key) the key is salted on both sides.  Where
-    ``small`` is measured to fit the broadcast threshold Spark broadcasts it
-    and the salt costs nothing but a few copies.
+    differs between rows of one key) the key is salted on both sides.  The
+    copies of ``small`` come from a join with the salts, not from an explode:
+    Spark counts a join's rows in its size, an exploded array's it does not,
+    so only what is small with all its copies is broadcast.
     """
     if spread is None:
         return big.join(small, list(keys), how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = small.crossJoin(small.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt")))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def outgrown(side: DataFrame) -> DataFrame:
+    """A join side with more rows than Spark expects of it (boxes written out as pixels, or per box): never broadcast.
+
+    Rows that an explode adds are missing in Spark's estimate, and a planned
+    broadcast stays even if the side turns out large.
+    """
+    return side.hint("merge")
+
+
 def chunk_offsets(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     """Rows before each bucket of a key, from per-bucket counts."""
     counts = df.groupBy(*keys, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
