@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framelake.functions.ratios import NULL, finite, ratio
-from framelake.operators.layout import lookup
+from framelake.operators.layout import lookup, outgrown
 
 FRAME = ["video_name", "frame_order"]
 
@@ -275,7 +275,7 @@ def component_scores(parts: DataFrame, boxes: DataFrame, center_weight: float =
     """
     box = [*FRAME, "bbox_index"]
     c = parts.groupBy(*box, "source", "component").agg(F.count(F.lit(1)).alias("area"), F.avg("px").alias("mx"), F.avg("py").alias("my"))
-    c = c.join(boxes.select(*box, "xmin", "ymin", "xmax", "ymax"), box)
+    c = outgrown(c).join(boxes.select(*box, "xmin", "ymin", "xmax", "ymax"), box)
     w, h = F.col("xmax") - F.col("xmin") + 1, F.col("ymax") - F.col("ymin") + 1
     dx, dy = F.col("mx") - (F.col("xmin") + F.col("xmax")) / 2, F.col("my") - (F.col("ymin") + F.col("ymax")) / 2
     unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
@@ -295,7 +295,7 @@ def pick_ranked(scored: DataFrame, cell_hash: DataFrame) -> DataFrame:
     ``cell_hash`` gives an order-free digest of each candidate's cells.
     """
     box = [*FRAME, "bbox_index"]
-    ok = scored.filter("eligible").join(cell_hash, [*box, "source", "component"]).withColumn("nearness", -F.col("distance"))
+    ok = scored.filter("eligible").join(outgrown(cell_hash), [*box, "source", "component"]).withColumn("nearness", -F.col("distance"))
     w = W.partitionBy(*box).orderBy(*[F.desc(c) for c in RANK], "source", "component")
     r = ok.withColumn("_r", F.row_number().over(w)).withColumns({f"_n{c}": F.lead(c).over(w) for c in [*RANK, "cells"]})
     top = r.filter(F.col("_r") == 1)
@@ -308,7 +308,7 @@ def pick_ranked(scored: DataFrame, cell_hash: DataFrame) -> DataFrame:
                         F.when(tie & same, "shared").when(tie, none).otherwise(F.col("source")).alias("selected_source"),
                         F.when(tie & same, "identical_candidates").when(tie, "ambiguous_equal_candidates").otherwise("selected").alias("reason"),
                         F.col("score").alias("selected_score"), "component")
-    missing = scored.select(*box).distinct().join(picked, box, "left")
+    missing = scored.select(*box).distinct().join(outgrown(picked), box, "left")
     return missing.select(*box, F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("selected_source", none).alias("selected_source"),
                           F.coalesce("reason", F.lit("no_eligible_candidate")).alias("reason"), "selected_score", "component")
 
@@ -325,7 +325,7 @@ def largest_component(boxes: DataFrame, parts: DataFrame, min_area: int) -> Data
     box = [*FRAME, "bbox_index"]
     sizes = parts.groupBy(*box, "component").agg(F.count(F.lit(1)).alias("area"))
     best = sizes.groupBy(*box).agg(F.max("area").alias("area"), F.max_by("component", F.struct("area", -F.col("component"))).alias("component"))
-    out = boxes.select(*box, "valid").join(best, box, "left")
+    out = boxes.select(*box, "valid").join(outgrown(best), box, "left")
     reason = (F.when(~F.col("valid"), "invalid_bbox").when(F.col("area").isNull(), "empty_binary_mask")
               .when(F.col("area") < min_area, "contour_area_below_threshold").otherwise("ok"))
     return out.withColumn("reason", reason).withColumn("component", F.when(F.col("reason") == "ok", F.col("component")))

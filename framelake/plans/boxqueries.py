@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelake.operators import boxes as B, pointprep as PP
+from framelake.operators import boxes as B, layout, pointprep as PP
 from framelake.plans import views as V
 from framelake.plans.registry import query
 
@@ -322,7 +322,7 @@ def parts(spark, d):
     """Cells inside each box, split into candidates by brightness and column band."""
     c = V.cells(spark, d).select("video_name", "frame_order", F.col("x").alias("px"), F.col("y").alias("py"), "value")
     roi = B.box_cells(V.boxes(spark, d), ["bbox_index"])
-    return roi.join(c, [*B.FRAME, "px", "py"]).select(*B.FRAME, "bbox_index", F.when(F.col("value") % 2 == 0, "global").otherwise("local_percentile").alias("source"),
+    return layout.outgrown(roi).join(c, [*B.FRAME, "px", "py"]).select(*B.FRAME, "bbox_index", F.when(F.col("value") % 2 == 0, "global").otherwise("local_percentile").alias("source"),
                                                       F.floor(F.col("px") / 4).cast("int").alias("component"), "px", "py")
 
 
