@@ -112,11 +112,15 @@ def margin_labels(points: DataFrame, boxes: DataFrame, margin: float = 0.0, no_b
     return p.withColumn("label", label).withColumn("label_valid", F.col("label") != -1).drop("_b")
 
 
-def box_cells(boxes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Distinct pixels of a frame inside any of its boxes, bounds widened to whole pixels."""
+def _cells(boxes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     whole = lambda lo, hi: F.sequence(F.floor(lo).cast("int"), F.ceil(hi).cast("int"))
     rows = boxes.select(*FRAME, *keep, F.explode(whole(F.col("ymin"), F.col("ymax"))).alias("py"), "xmin", "xmax")
-    return rows.select(*FRAME, *keep, "py", F.explode(whole(F.col("xmin"), F.col("xmax"))).alias("px")).distinct()
+    return rows.select(*FRAME, *keep, "py", F.explode(whole(F.col("xmin"), F.col("xmax"))).alias("px"))
+
+
+def box_cells(boxes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Distinct pixels of a frame inside any of its boxes, bounds widened to whole pixels."""
+    return _cells(boxes, keep).distinct()
 
 
 def pixel(points: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
@@ -132,7 +136,7 @@ def pixel(points: DataFrame, width: int | None = None, height: int | None = None
 def in_cells(points: DataFrame, cells: DataFrame, flag: str) -> DataFrame:
     """Flag points whose pixel is among the cells (one row per cell)."""
     marked = cells.select(*FRAME, "px", "py", F.lit(True).alias(flag))
-    return points.join(marked, [*FRAME, "px", "py"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return points.join(outgrown(marked), [*FRAME, "px", "py"], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def count_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -151,7 +155,10 @@ def count_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def policy_labels(points: DataFrame, boxes: DataFrame, contour: DataFrame, no_box_label: int = 0) -> DataFrame:
     """Positive in the contour, ignored elsewhere in a box, background in the rest of box frames."""
-    p = in_cells(in_cells(pixel(points), box_cells(boxes), "in_box"), contour, "in_contour")
+    cell = [*FRAME, "px", "py"]
+    marks = _cells(boxes).select(*cell, F.lit(1).alias("_in")).unionByName(contour.select(*cell, F.lit(2).alias("_in"))).groupBy(*cell).agg(F.bit_or("_in").alias("_in"))
+    held = lambda bit: F.coalesce(F.col("_in").bitwiseAND(F.lit(bit)) != 0, F.lit(False))
+    p = pixel(points).join(outgrown(marks), cell, "left").withColumns({"in_box": held(1), "in_contour": held(2)}).drop("_in")
     framed = boxes.select(*FRAME).distinct().withColumn("box_frame", F.lit(True))
     p = lookup(p, framed, FRAME, F.col("point_index"))
     label = F.when(F.col("in_contour"), 1).when(F.col("in_box"), -1).when(F.col("box_frame"), 0).otherwise(no_box_label)
