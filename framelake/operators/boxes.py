@@ -150,7 +150,7 @@ def count_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     p = points.withColumn("_row", F.floor("pixel_y").cast("int"))
     on = [p[k] == rows[k] for k in [*FRAME, "_row"]]
     on += [p["pixel_x"].between(rows["xmin"], rows["xmax"]), p["pixel_y"].between(rows["ymin"], rows["ymax"])]
-    return p.join(rows, on, "left_semi").drop("_row")
+    return p.join(outgrown(rows), on, "left_semi").drop("_row")
 
 
 def policy_labels(points: DataFrame, boxes: DataFrame, contour: DataFrame, no_box_label: int = 0) -> DataFrame:

@@ -98,7 +98,7 @@ def j03(spark, d):
     ok = V.boxes(spark, d).filter("valid")
     n = B.count_in_boxes(p, ok).groupBy("video_name", "frame_order").agg(F.count(F.lit(1)).alias("counted"))
     lab = B.in_cells(B.pixel(p), B.box_cells(ok), "hit").groupBy("video_name", "frame_order").agg(F.count_if("hit").alias("labelled"))
-    return lab.join(n, ["video_name", "frame_order"], "left").fillna(0, ["counted"])
+    return lab.join(layout.outgrown(n), ["video_name", "frame_order"], "left").fillna(0, ["counted"])
 
 
 CONTOUR_SQL = "contour AS (SELECT DISTINCT b.video_name, b.frame_order, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py FROM boxes b, generate_series(0, 40) g(x), generate_series(0, 12) h(y) WHERE valid AND x BETWEEN xmin + 2 AND xmax - 2 AND y BETWEEN ymin + 1 AND ymax - 1)"
