@@ -237,13 +237,13 @@ def retention(teacher: DataFrame, selected: DataFrame, labels: DataFrame, boxes:
     background.  Boxes without any selection stay, with zeros.
     """
     cell, box = [*FRAME, "px", "py"], [*FRAME, "bbox_index"]
-    kept = teacher.join(selected, cell).groupBy("config", *box).agg(F.count(F.lit(1)).alias("selected_positive"))
-    lab = selected.join(labels.select(*cell, "label"), cell, "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    inside = box_cells(boxes, ["bbox_index"]).join(lab, cell).groupBy("config", *box).agg(
+    kept = outgrown(teacher).join(selected, cell).groupBy("config", *box).agg(F.count(F.lit(1)).alias("selected_positive"))
+    lab = selected.join(outgrown(labels.select(*cell, "label")), cell, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    inside = outgrown(box_cells(boxes, ["bbox_index"])).join(lab, cell).groupBy("config", *box).agg(
         F.count(F.lit(1)).alias("selected_total"), F.count_if(F.col("label") == 0).alias("selected_background"), F.count_if(F.col("label") == -1).alias("selected_ignore"))
     whole = teacher.groupBy(*box).agg(F.count(F.lit(1)).alias("teacher_positive"))
-    out = boxes.select(*box, "valid").join(whole, box, "left").withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
-    out = out.join(inside, ["config", *box], "left").join(kept, ["config", *box], "left")
+    out = boxes.select(*box, "valid").join(outgrown(whole), box, "left").withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
+    out = out.join(outgrown(inside), ["config", *box], "left").join(outgrown(kept), ["config", *box], "left")
     out = out.fillna(0, ["teacher_positive", "selected_positive", "selected_total", "selected_background", "selected_ignore"])
     return out.withColumn("recall", ratio("selected_positive", "teacher_positive", NULL)).withColumn(
         "zero_positive", F.col("valid") & (F.col("selected_positive") == 0))
