@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from framelake.functions import flags as FL
 from framelake.functions.names import config_id, hash_order
 from framelake.functions.ratios import NULL, finite, ratio
-from framelake.operators.layout import ordered, percentile_table, with_hash_position
+from framelake.operators.layout import ordered, outgrown, percentile_table, with_hash_position
 from framelake.session import cut_lineage
 
 HITS = (1, 8, 16, 32)
@@ -121,16 +121,16 @@ def ablation_counts(teacher: DataFrame, points: DataFrame, boxes: DataFrame) ->
     cell, box = ["video_name", "frame_order", "px", "py"], ["video_name", "frame_order", "bbox_index"]
     on = lambda m: F.col("flags").bitwiseAND(F.lit(m)) != 0
     totals = points.groupBy("video_name").agg(*[F.count_if(on(m)).alias(f"t_{n}") for n, m in ABLATIONS.items()])
-    hits = teacher.join(points, cell).groupBy(*box).agg(*[F.count_if(on(m)).alias(f"s_{n}") for n, m in ABLATIONS.items()])
+    hits = outgrown(teacher).join(points, cell).groupBy(*box).agg(*[F.count_if(on(m)).alias(f"s_{n}") for n, m in ABLATIONS.items()])
     size = teacher.groupBy(*box).agg(F.count(F.lit(1)).alias("teacher_positive"))
-    b = boxes.filter("valid").select(*box).join(size, box, "left").join(hits, box, "left").fillna(0)
+    b = boxes.filter("valid").select(*box).join(outgrown(size), box, "left").join(outgrown(hits), box, "left").fillna(0)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("ablation"), F.col(f"s_{n}").alias("kept"), F.col("s_full").alias("whole")) for n in ABLATIONS])).alias("a")
     rows = b.select("video_name", "teacher_positive", each).select("video_name", "teacher_positive", "a.*")
     agg = rows.groupBy("video_name", "ablation").agg(
         F.count(F.lit(1)).alias("valid_boxes"), F.count_if(F.col("kept") == 0).alias("zero_boxes"), F.sum("teacher_positive").alias("teacher_positive"), F.sum("kept").alias("selected_positive"),
         F.count_if((F.col("whole") > 0) & (F.col("kept") == 0)).alias("rescued"), *[F.count_if(F.col("kept") >= h).alias(f"hits_at_{h}") for h in HITS])
     long = totals.select("video_name", F.explode(F.array(*[F.struct(F.lit(n).alias("ablation"), F.col(f"t_{n}").alias("total_points")) for n in ABLATIONS])).alias("t")).select("video_name", "t.*")
-    return long.join(agg, ["video_name", "ablation"], "left").fillna(0)
+    return long.join(outgrown(agg), ["video_name", "ablation"], "left").fillna(0)
 
 
 def ablation_table(per_video: DataFrame) -> DataFrame:
