@@ -264,10 +264,10 @@ def extent_recall(teacher: DataFrame, selected: DataFrame, min_elongation: float
     vy = F.when(F.abs("_b") > 1e-12, major - F.col("_a")).when(half >= 0, 0.0).otherwise(1.0)
     long = F.sqrt(vx * vx + vy * vy)
     m = m.select(*box, "_n", (major / F.greatest(minor, F.lit(1e-12))).alias("elongation"), (vx / long).alias("_vx"), (vy / long).alias("_vy"))
-    proj = teacher.join(m, box).withColumn("_t", F.col("px") * F.col("_vx") + F.col("py") * F.col("_vy"))
+    proj = outgrown(teacher).join(m, box).withColumn("_t", F.col("px") * F.col("_vx") + F.col("py") * F.col("_vy"))
     whole = proj.groupBy(*box).agg(F.first("_n").alias("_n"), F.first("elongation").alias("elongation"), (F.max("_t") - F.min("_t")).alias("_whole"))
-    part = proj.join(selected, [*FRAME, "px", "py"]).groupBy("config", *box).agg(F.count(F.lit(1)).alias("_k"), (F.max("_t") - F.min("_t")).alias("_part"))
-    out = whole.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))).join(part, ["config", *box], "left")
+    part = outgrown(proj).join(selected, [*FRAME, "px", "py"]).groupBy("config", *box).agg(F.count(F.lit(1)).alias("_k"), (F.max("_t") - F.min("_t")).alias("_part"))
+    out = whole.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))).join(outgrown(part), ["config", *box], "left")
     usable = (F.col("_n") >= 3) & (F.col("elongation") >= min_elongation) & (F.col("_whole") > 0)
     value = F.when(F.coalesce("_k", F.lit(0)) < 2, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_part") / F.col("_whole"))))
     return out.select("config", *box, F.when(F.col("_n") >= 3, F.col("elongation")).alias("elongation"), F.when(usable, value).alias("extent_recall"))
@@ -360,7 +360,7 @@ def hard_frames(spine: DataFrame, points: DataFrame, boxes: DataFrame, low: int)
     n = points.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("num_points"), F.count_if(F.col("point_label") == 1).alias("num_positive"))
     k = count_in_boxes(points, boxes.filter("valid")).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("points_in_box"))
     b = boxes.filter("valid").groupBy(*FRAME).agg(F.max((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("max_box_area"))
-    out = spine.join(n, FRAME, "left").join(k, FRAME, "left").join(b, FRAME, "left").fillna(0, ["num_points", "num_positive", "points_in_box"])
+    out = outgrown(spine).join(n, FRAME, "left").join(k, FRAME, "left").join(outgrown(b), FRAME, "left").fillna(0, ["num_points", "num_positive", "points_in_box"])
     has, inside = F.col("max_box_area").isNotNull(), F.col("points_in_box")
     kind = (F.when(~has, "no_box").when((inside == 0) & (F.col("num_points") > 0), "zero_with_points").when(inside == 0, "zero_empty")
             .when(inside <= low, "low").otherwise("enough"))
@@ -371,7 +371,7 @@ def annotation_frames(spine: DataFrame, points: DataFrame, boxes: DataFrame) ->
     """Frames with and without positive points, and those without that still have a valid box."""
     pos = points.filter(F.col("point_label") == 1).groupBy(*FRAME).agg(F.lit(True).alias("_pos"))
     ok = boxes.filter("valid").select(*FRAME).distinct().withColumn("_ok", F.lit(True))
-    f = spine.join(pos, FRAME, "left").join(ok, FRAME, "left")
+    f = outgrown(spine).join(pos, FRAME, "left").join(outgrown(ok), FRAME, "left")
     none = F.col("_pos").isNull()
     return f.groupBy("video_name").agg(F.count(F.lit(1)).alias("frames"), F.count_if(~none).alias("positive_frames"), F.count_if(none).alias("zero_positive_frames"),
                                        F.count_if(none & F.col("_ok").isNotNull()).alias("zero_positive_with_valid_box"))
@@ -382,7 +382,7 @@ def recovery(spine: DataFrame, old: DataFrame, new: DataFrame, boxes: DataFrame)
     ok = boxes.filter("valid")
     per = lambda df, n: count_in_boxes(df, ok).groupBy(*FRAME).agg(F.count(F.lit(1)).alias(n))
     total = new.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("frame_points"))
-    f = ok.select(*FRAME).distinct().join(per(old, "old"), FRAME, "left").join(per(new, "new"), FRAME, "left").join(total, FRAME, "left")
+    f = ok.select(*FRAME).distinct().join(outgrown(per(old, "old")), FRAME, "left").join(outgrown(per(new, "new")), FRAME, "left").join(total, FRAME, "left")
     f = f.fillna(0, ["old", "new", "frame_points"])
     f = f.withColumn("new", F.when(F.col("new") >= F.col("old"), F.col("new")).otherwise(F.raise_error(F.lit("new sampling lost points in a box")).cast("bigint")))
     target = (F.col("old") == 0) & (F.col("frame_points") > 0)
