@@ -171,6 +171,26 @@ def value_bins(counted: DataFrame, keys: Sequence[str], bins: int = 1024, few: i
     return binned.withColumn("_bin", F.when(F.col("_cuts").isNull(), 0).otherwise(coarse * side + fine)).drop("_cuts", "_values")
 
 
+def _between(low: Column, high: Column, d: Column) -> Column:
+    """``low (1 - d) + high d`` with the first product and the sum rounded once, as a fused multiply-add does.
+
+    Values may differ in their last bit only (differences of decimals); then
+    each further rounding can move a threshold past one of them.
+    """
+    def halves(v: Column) -> tuple[Column, Column]:
+        top = v * 134217729.0 - (v * 134217729.0 - v)
+        return top, v - top
+
+    rest, far = 1 - d, high * d
+    p = low * rest
+    (a, b), (x, y) = halves(low), halves(rest)
+    lost = ((a * x - p) + a * y + b * x) + b * y  # what rounding took from the product
+    s = p + far
+    back = s - p
+    once = s + (((p - (s - back)) + (far - back)) + lost)
+    return F.when(F.isnan(once), F.when(low == high, low).otherwise(s)).otherwise(once)
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, float], bins: int = 1024) -> DataFrame:
     """Exact linear-interpolated percentiles of a large group, 0..1 each.
 
@@ -204,8 +224,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str,
         low = F.max(F.when((F.col("_name") == name) & (F.col("_side") == "low"), F.col("_v")))
         high = F.max(F.when((F.col("_name") == name) & (F.col("_side") == "high"), F.col("_v")))
         exact = F.max(F.when(F.col("_name") == name, F.col("_exact")))
-        aggs.append((low + (high - low) * (exact - F.floor(exact))).alias(name))
-    return found.groupBy(*keys).agg(*aggs)
+        aggs.append(F.struct(low.alias("low"), high.alias("high"), (exact - F.floor(exact)).alias("d")).alias(name))
+    ends = found.groupBy(*keys).agg(*aggs)
+    return ends.select(*keys, *[_between(F.col(f"`{n}`.low"), F.col(f"`{n}`.high"), F.col(f"`{n}`.d")).alias(n) for n in asked])
 
 
 def percentile_table(df: DataFrame, keys: Sequence[str], asked: dict[str, tuple[str, float]]) -> DataFrame:
