@@ -102,6 +102,25 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], pos: str, start: DataFrame,
     return group_batches(rows.join(guess, group), group, run_rows, schema, [pos])
 
 
+def total(value: str, name: str = "total") -> Fold:
+    """Fold for a running total; the state is the sum and what rounding took from it so far.
+
+    A plain sum of millions of rows is off in digits that still count; the
+    error of one addition is itself a double and is added up beside it.  Rows
+    without a value add nothing.
+    """
+
+    def fold(pdf: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        add = np.nan_to_num(pdf[value].to_numpy(float), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        sums = np.cumsum(np.concatenate([state[:1], add]))
+        before, after = sums[:-1], sums[1:]
+        part = after - before
+        lost = state[1] + np.cumsum((before - (after - part)) + (add - part))
+        return pd.DataFrame({name: np.where(np.isfinite(after), after + lost, after)}), (float(after[-1]), float(lost[-1]))
+
+    return fold
+
+
 Compose = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 

@@ -185,16 +185,11 @@ def w05(spark, d):
   SELECT video_name, CAST(frame_order AS INTEGER) AS frame_order, round(sum(value) OVER (PARTITION BY video_name ORDER BY frame_order), 6) AS total FROM frames""", "frames")
 def u02(spark, d):
     """A user's own fold over ordered frames: here a running total in small chunks."""
-    import pandas as pd
     from pyspark.sql import types as T
 
-    def fold(pdf, state):
-        total = pdf["value"].cumsum() + state[0]
-        return pd.DataFrame({"total": total}), (float(total.iloc[-1]),)
-
     f = V.frames(spark, d).select("video_name", "frame_order", "value")
-    start = f.select("video_name").distinct().withColumn("sum0", F.lit(0.0))
-    out = folds.chunked_fold(f, ["video_name"], "frame_order", start, ["sum0"], fold,
+    start = f.select("video_name").distinct().withColumns({"sum0": F.lit(0.0), "lost0": F.lit(0.0)})
+    out = folds.chunked_fold(f, ["video_name"], "frame_order", start, ["sum0", "lost0"], folds.total("value"),
                              T.StructType([T.StructField("total", T.DoubleType())]))
     return out.withColumn("total", F.round("total", 6))
 

@@ -225,3 +225,14 @@ def test_places_in_a_skewed_order(spark, keys):
     assert {r["i"]: (r["position"], r["before"]) for r in got} == seen
     parts = L.cut_lineage(df.repartitionByRange(8, *keys, "v", "i").withColumn("p", F.spark_partition_id())).groupBy("p").count().collect()
     assert max(r["count"] for r in parts) < n / 3
+
+
+def test_running_total_keeps_what_rounding_takes(spark):
+    """200 million in cents: plain sums are off by more than the sixth digit after the point."""
+    cents = np.random.default_rng(3).integers(1, 800_000, 50_000)
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "i": np.arange(len(cents)), "v": cents / 100}))
+    start = spark.createDataFrame([(1, 0.0, 0.0)], "k long, s double, e double")
+    got = folds.chunked_fold(df, ["k"], "i", start, ["s", "e"], folds.total("v", "t"), T.StructType([T.StructField("t", T.DoubleType())]), chunk=7_000).toPandas()
+    want = np.cumsum(cents) / 100
+    assert (got.sort_values("i")["t"].round(6).to_numpy() == want).all()
+    assert (np.cumsum(cents / 100).round(6) != want).any()
