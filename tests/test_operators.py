@@ -222,6 +222,23 @@ def test_both_rank_filters_agree(size):
         assert (got[0] == win[..., at]).all() and (got[1] == win[..., mid]).all()
 
 
+def test_sparse_frames_rank_lit_pixels_only(monkeypatch):
+    rng = np.random.default_rng(4)
+    img = rng.integers(1, 200, (6, 11, 51)) * (rng.random((6, 11, 51)) < 0.03) * 1.0
+    p, m = E._ranked(img, 5, 80.0)
+    want = (img >= p) & (img - m >= 4.0)
+    for size in (2, 3, 4):
+        low = E._windows(img, size, "constant", np.inf).min(axis=(3, 4))
+        assert (E._opened(img, size) == E._windows(low, size, "constant", -np.inf).max(axis=(3, 4))).all()
+    resp = img - E._opened(img, 3)
+    limit = np.array([np.percentile(r[r > 0], 85) for r in resp])
+    assert (E._tophat_mask(img, 3, 85, 2.0) == ((resp >= limit[:, None, None]) & (resp >= 2.0))).all()
+    assert not E._tophat_mask(np.zeros((2, 3, 3)), 3, 85, 2.0).any()
+    assert (E._bright(img - 1, 5, 80.0, 4.0) == want).all()  # negative values: every window
+    monkeypatch.setattr(E, "_ranked", None)
+    assert (E._bright(img, 5, 80.0, 4.0) == want).all() and want.any()
+
+
 def test_contains_join(spark):
     texts = ["abc scan_12 x", "scan_123", "é scan_1", "", "nothing here", "日本 scan_12日本"]
     names = ["scan_1", "scan_12", "日本", "zzz"]
