@@ -255,8 +255,9 @@ def group_batches(df: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataF
         for b in batches:
             if not len(b):
                 continue
-            tail = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy()
-            if tail.all() and held and (held[-1][keys].iloc[-1] == b[keys].iloc[-1]).all():
+            ids = group_ids(b, keys)
+            tail = ids == ids[-1]
+            if tail.all() and held and not group_ids(pd.concat([held[-1][keys].tail(1), b[keys].tail(1)]), keys)[-1]:
                 held.append(b)
                 continue
             done = pd.concat([*held, b[~tail]], ignore_index=True)
@@ -270,13 +271,14 @@ def group_batches(df: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataF
 
 
 def group_ids(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
-    """0, 1, 2 ... for consecutive groups of a sorted batch."""
+    """0, 1, 2 ... for consecutive groups of a sorted batch; missing keys are equal."""
     if not len(pdf):
         return np.zeros(0, int)
     new = np.zeros(len(pdf), bool)
     for k in keys:
         v = pdf[k].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
+        gone = pd.isna(v)
+        new[1:] |= np.where(gone[1:] | gone[:-1], gone[1:] != gone[:-1], v[1:] != v[:-1]).astype(bool)
     return np.cumsum(new)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from framelake.functions.features import softmax
+from framelake.operators.layout import group_batches, split_groups
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 LOGITS = ["logit0", "logit1"]
@@ -33,5 +34,14 @@ def score_rows(df: DataFrame, model: Scorer) -> DataFrame:
 
 
 def score_groups(df: DataFrame, keys: Sequence[str], model: Scorer) -> DataFrame:
-    """A model that needs a whole window or chunk at once; cut windows with ``scoring_chunks`` first to bound it."""
-    return _with_probabilities(df.groupBy(*keys).applyInPandas(model, _with_logits(df)))
+    """A model that needs a whole window or chunk at once; cut windows with ``scoring_chunks`` first to bound it.
+
+    The model is called once per window; windows travel in batches, since
+    handing over each small one alone costs more than most models.
+    """
+    schema = _with_logits(df)
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([model(g.reset_index(drop=True)) for g in split_groups(batch, list(keys))], ignore_index=True)[schema.names]
+
+    return _with_probabilities(group_batches(df, keys, run, schema))

@@ -123,7 +123,7 @@ def f09(spark, d):
   SELECT video_name, point_index FROM (SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY point_index) - 1 AS p FROM points WHERE point_label = 1) WHERE p % 7 = 0 AND p < 7 * 20""", "points")
 def f10(spark, d):
     pos = V.points(spark, d).filter("point_label = 1").select("video_name", "point_index")
-    return SA.systematic_sample(pos, ["video_name"], "point_index", F.substring("point_index", 1, 5), 7, 20)
+    return SA.systematic_sample(pos, ["video_name"], "point_index", V.point_bucket(), 7, 20)
 
 
 @query("o01_union_of_metrics", """

@@ -38,6 +38,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def point_bucket() -> Column:
+    """Buckets that grow with ``point_index``: about eighty a video, so their counts stay far fewer than the points."""
+    return F.substring("point_index", 1, 2)
+
+
 def windows(spark: SparkSession, sf_dir: str, size: int = 12, stride: int = 6) -> DataFrame:
     return frame_windows(points(spark, sf_dir).select("video_name", "frame_order"), size, stride)
 

@@ -182,7 +182,7 @@ def group_scorer(spark, d):
         return chunk.assign(logit0=0.0, logit1=(chunk["intensity"] - chunk["intensity"].mean()) / 32)
 
     points = V.points(spark, d).select("video_name", "point_index", "intensity")
-    chunks = WI.scoring_chunks(points, ["video_name"], "point_index", F.substring("point_index", 1, 5), 128)
+    chunks = WI.scoring_chunks(points, ["video_name"], "point_index", V.point_bucket(), 128)
     return SC.score_groups(chunks, ["video_name", "chunk"], model).select("video_name", "point_index", F.round("p1", 6).alias("p1"))
 
 
@@ -221,7 +221,7 @@ def one_subsequence(spark, d):
   SELECT video_name, point_index, CAST(floor(p / 128.0) AS BIGINT) AS chunk, CAST(p % 128 AS BIGINT) AS slot FROM (
     SELECT video_name, point_index, row_number() OVER (PARTITION BY video_name ORDER BY point_index) - 1 AS p FROM points)""", "points")
 def scoring_chunks(spark, d):
-    bucket = F.substring("point_index", 1, 5)
+    bucket = V.point_bucket()
     return WI.scoring_chunks(V.points(spark, d).select("video_name", "point_index"), ["video_name"], "point_index", bucket, 128)
 
 
@@ -231,7 +231,7 @@ def scoring_chunks(spark, d):
   SELECT video_name, frame_order, n AS real_points, m - n AS pad_points, (m - n) * -1 AS label_sum_of_padding FROM b""", "points")
 def padded_batches(spark, d):
     p = V.points(spark, d).select("video_name", "frame_order", "point_index", "point_label", "intensity")
-    slots = WI.with_position(p, ["video_name", "frame_order"], ["point_index"], F.substring("point_index", 1, 5), "slot")
+    slots = WI.with_position(p, ["video_name", "frame_order"], ["point_index"], V.point_bucket(), "slot")
     out = WI.padded(slots, "video_name", "frame_order", "slot", {"point_label": -1, "intensity": 0})
     return out.groupBy("video_name", "frame_order").agg(
         F.count_if(~F.col("is_padding")).alias("real_points"), F.count_if("is_padding").alias("pad_points"),

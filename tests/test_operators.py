@@ -385,6 +385,19 @@ def test_group_scorer(spark):
     assert np.allclose(out["p1"], 1 / (1 + np.exp(-(out["v"] - out.groupby("w")["v"].transform("mean")))))
 
 
+def test_group_scorer_sees_whole_groups_in_batches(spark):
+    """Groups cut by Arrow batches and groups without a key reach the model whole, and no group is handed over alone."""
+    df = spark.range(400).select(F.when(F.col("id") % 8 < 7, F.col("id") % 8).alias("w"), F.col("id").cast("double").alias("v"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        scored = SC.score_groups(df, ["w"], lambda pdf: pdf.assign(logit0=float(len(pdf)), logit1=0.0))
+        assert {r["logit0"] for r in scored.collect()} == {50.0} and scored.count() == 400
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "FlatMapGroupsInPandas" not in scored._jdf.queryExecution().toString()
+
+
 def test_candidate_ties(spark):
     base = dict(video_name=1, frame_order=1, bbox_index=0, distance=0.1, area_score=0.5, area=4, eligible=True, score=0.8)
     sc = spark.createDataFrame(pd.DataFrame([{**base, "source": "global", "component": 1}, {**base, "source": "local_percentile", "component": 1}]))
