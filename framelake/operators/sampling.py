@@ -161,17 +161,29 @@ def stride_frames(df: DataFrame, stride: int, start: int = 0, max_frames: int |
 def missing_numbers(df: DataFrame, number: str, report: int = 10) -> DataFrame:
     """Numbers absent from 1..max of each video: how many, and the first few.
 
-    Only the starts of the first gaps are spelt out, never the whole range.
+    Sixty-four neighbouring numbers are the bits of one row.  With n numbers
+    present the first ``report`` gaps end at n + ``report``, so only blocks up
+    to there are looked at again; no range is spelt out.
     """
-    have = df.select(KEY, F.col(number).cast("bigint").alias("_i")).filter(F.col("_i") >= 1).distinct()
-    count = have.groupBy(KEY).agg((F.max("_i") - F.count(F.lit(1))).alias("missing"), F.max("_i").alias("_top")).filter("missing > 0")
-    zero = have.select(KEY).distinct().withColumn("_i", F.lit(0).cast("bigint"))
-    after = have.unionByName(zero).withColumn("_i", F.col("_i") + 1).join(have, [KEY, "_i"], "left_anti")
-    first = lambda d: d.withColumn("_r", F.row_number().over(W.partitionBy(KEY).orderBy("_i"))).filter(F.col("_r") <= report).drop("_r")
-    near = first(after).select(KEY, F.explode(F.sequence(F.col("_i"), F.col("_i") + report - 1)).alias("_i")).distinct()
-    near = near.join(have, [KEY, "_i"], "left_anti").join(count.select(KEY, "_top"), KEY).filter(F.col("_i") < F.col("_top"))
-    listed = first(near).groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_i")), lambda v: v.cast("string")), ",").alias("first_missing"))
-    return count.drop("_top").join(listed, KEY)
+    at = F.col(number).cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at - 1, F.lit(64)).cast("int"))
+    rows = df.filter(at >= 1).select(KEY, F.shiftright(at - 1, 6).alias("_b"), bit.alias("_m"), at.alias("_i"))
+    blocks = rows.groupBy(KEY, "_b").agg(F.bit_or("_m").alias("_m"), F.max("_i").alias("_i"))
+    size = blocks.groupBy(KEY).agg(F.sum(F.bit_count("_m")).alias("_n"), F.max("_i").alias("_top"))
+    size = size.filter(F.col("_top") > F.col("_n"))
+    near = lookup(blocks, size, [KEY], F.col("_b"), "inner").filter(F.col("_b") * 64 < F.col("_n") + report).select(KEY, "_b", "_m")
+    first = lambda d, n: d.withColumn("_r", F.row_number().over(W.partitionBy(KEY).orderBy("_b"))).filter(F.col("_r") <= n).drop("_r")
+    # Every block with a gap adds one number or more; a block without any row adds sixty-four at once.
+    some = first(near.filter("_m <> -1"), report)
+    after = near.select(KEY, (F.col("_b") + 1).alias("_b")).unionByName(size.select(KEY, F.lit(0).cast("bigint").alias("_b")))
+    whole = -(-report // 64)
+    none = first(after.join(near.select(KEY, "_b"), [KEY, "_b"], "left_anti"), whole).select(KEY, F.explode(F.sequence(F.col("_b"), F.col("_b") + whole - 1)).alias("_b")).distinct()
+    none = none.join(near.select(KEY, "_b"), [KEY, "_b"], "left_anti").withColumn("_m", F.lit(0).cast("bigint"))
+    spots = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("_m", k) == 0)
+    found = some.unionByName(none).select(KEY, F.explode(F.transform(spots, lambda k: F.col("_b") * 64 + k + 1)).alias("_i")).join(size.select(KEY, "_top"), KEY).filter(F.col("_i") < F.col("_top"))
+    listed = found.groupBy(KEY).agg(F.array_sort(F.collect_list("_i")).alias("_l"))
+    text = F.array_join(F.transform(F.slice("_l", 1, report), lambda v: v.cast("string")), ",")
+    return size.select(KEY, (F.col("_top") - F.col("_n")).alias("missing")).join(listed.select(KEY, text.alias("first_missing")), KEY)
 
 
 def temporal_sample(df: DataFrame, every: int, seed: str | None = None) -> DataFrame:

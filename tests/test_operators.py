@@ -336,6 +336,21 @@ def test_exact_sample_sizes(spark):
     assert sorted(map(tuple, SA.exactly(df, ["video_name"], 7, "s").collect())) == sorted(map(tuple, SA.exactly(df.repartition(5), ["video_name"], 7, "s").collect()))
 
 
+def test_missing_numbers_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    sets = {1: set(range(1, 200)) - {5, 64, 65, 128}, 2: {1000}, 3: {1, 2, 3}, 4: {63, 64, 65, 2**40}, 5: set(range(1, 65)) | {140}, 6: set(map(int, rng.choice(np.arange(1, 400), 200, replace=False))), 7: {0, -3, 2}}
+    df = spark.createDataFrame([(k, n) for k, s in sets.items() for n in [*s, max(s)]], "video_name int, n long")
+    for report in (1, 10, 70):
+        want = {}
+        for k, s in sets.items():
+            have = {n for n in s if n > 0}
+            gone = [i for i in range(1, min(max(have), 2000)) if i not in have]
+            if max(have) > len(have):
+                want[k] = (max(have) - len(have), ",".join(map(str, gone[:report])))
+        got = SA.missing_numbers(df, "n", report)
+        assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
+
+
 def test_fixed_token_must_match_once(spark):
     df = spark.createDataFrame([("/a/x1.h5",), ("/a/x12.h5",)], "path string")
     with pytest.raises(STOPS):
