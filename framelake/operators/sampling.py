@@ -48,17 +48,29 @@ def fixed_and_random(df: DataFrame, tokens: Sequence[str], n: int, seed: str, pa
     return fixed.unionByName(more.select(path, F.lit("random").alias("role"), "place"))
 
 
-def _with_rank(df: DataFrame, keys: Sequence[str], seed: str, row: str) -> DataFrame:
+def _with_rank(df: DataFrame, keys: Sequence[str], seed: str, row: str, most: int | None = None) -> DataFrame:
+    """0-based place in hash order; with ``most`` only the rows before it.
+
+    For a short list Spark keeps only ``most`` rows per key and task before the
+    shuffle (up to GROUP_LIMIT, its default threshold for that); a longer one
+    is numbered in even hash buckets.
+    """
     ident = F.concat_ws(":", *[F.col(k).cast("string") for k in [*keys, row]])
+    if most is not None and most <= GROUP_LIMIT:
+        hashed = df.select(*keys, row, F.unhex(hash_order(seed, ident)).alias("_h"))
+        ranked = hashed.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("_h", row))).filter(F.col("_r") <= most)
+        return ranked.select(*keys, row, (F.col("_r") - 1).cast("bigint").alias("_p"))
     return with_hash_position(df.withColumn("_h", hash_order(seed, ident)), keys, "_h", [row], "_p")
 
 
-def _take(cand: DataFrame, keys: Sequence[str], want: Column, seed: str, row: str, tag: str) -> DataFrame:
+def _take(cand: DataFrame, keys: Sequence[str], want: Column, seed: str, row: str, tag: str, most: int) -> DataFrame:
     """Exactly ``want`` rows per key: the first in hash order, or drawn with repetition if there are too few.
 
+    Neither takes a place from ``most`` on, the largest ``want`` there is.
+
     A draw picks a rank by hash and joins on it; nothing is gathered.
     """
-    ranked = _with_rank(cand, keys, f"{seed}:{tag}", row)
+    ranked = _with_rank(cand, keys, f"{seed}:{tag}", row, most)
     sizes = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).withColumn("_want", want)
     few = sizes.filter(F.col("_size") < F.col("_want"))
     draws = few.select(*keys, "_size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_want").cast("bigint"))).alias("_d"))
@@ -82,14 +94,14 @@ def exactly(df: DataFrame, keys: Sequence[str], n: int, seed: str, row: str = "p
     share = min(1.0, max(0.0, positive_share))
     quota = min(round(n * share), n)
     if quota == 0:
-        return _take(df, keys, F.lit(n), seed, row, "any")
+        return _take(df, keys, F.lit(n), seed, row, "any", n)
     pos = df.filter(F.col(label) == 1)
     has = pos.select(*keys).distinct().withColumn("_has", F.lit(True))
     marked = lookup(df, has, keys, F.col(row))
     left = F.when(F.col("_has"), n - quota).otherwise(n)
     # The number still to draw depends on whether the key has positives at all.
-    rest = _take(marked.withColumn("_has", F.coalesce("_has", F.lit(False))), [*keys, "_has"], left, seed, row, "any").drop("_has")
-    return _take(pos, keys, F.lit(quota), seed, row, "positive").unionByName(rest)
+    rest = _take(marked.withColumn("_has", F.coalesce("_has", F.lit(False))), [*keys, "_has"], left, seed, row, "any", n).drop("_has")
+    return _take(pos, keys, F.lit(quota), seed, row, "positive", quota).unionByName(rest)
 
 
 def random_frame_window(df: DataFrame, size: int, seed: str) -> DataFrame:

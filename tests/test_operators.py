@@ -336,6 +336,12 @@ def test_exact_sample_sizes(spark):
     assert sorted(map(tuple, SA.exactly(df, ["video_name"], 7, "s").collect())) == sorted(map(tuple, SA.exactly(df.repartition(5), ["video_name"], 7, "s").collect()))
 
 
+def test_short_samples_are_cut_before_the_shuffle(spark):
+    df = spark.range(50).select(F.lit(1).alias("video_name"), F.col("id").alias("point_index"), (F.col("id") % 10 == 0).cast("int").alias("point_label"))
+    plan = lambda n: SA.exactly(df, ["video_name"], n, "s", positive_share=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan(20) and "_bucket" not in plan(20)
+
+
 def test_missing_numbers_in_blocks(spark):
     rng = np.random.default_rng(6)
     sets = {1: set(range(1, 200)) - {5, 64, 65, 128}, 2: {1000}, 3: {1, 2, 3}, 4: {63, 64, 65, 2**40}, 5: set(range(1, 65)) | {140}, 6: set(map(int, rng.choice(np.arange(1, 400), 200, replace=False))), 7: {0, -3, 2}}
