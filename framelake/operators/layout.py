@@ -149,6 +149,40 @@ def running(df: DataFrame, keys: Sequence[str], pos: str,
     return out.drop("_chunk", *[f"_before_{n}" for n in totals])
 
 
+def running_totals(df: DataFrame, keys: Sequence[str], pos: str, values: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """Running sums of doubles from the first row of each key, with what rounding took from them added back.
+
+    A plain sum of ten thousands of rows is off in digits that still count.
+    The error of one addition is itself a double; errors are summed beside the
+    values, inside chunks and over them.  Rows without a value add nothing.
+    """
+    def lost(a: Column, b: Column) -> Column:
+        part = (a + b) - a
+        return (a - ((a + b) - part)) + (b - part)
+
+    def over(what: Column, w: W) -> Column:
+        return F.coalesce(F.sum(what).over(w), F.lit(0.0))
+
+    names = list(values)
+    inside = W.partitionBy(*keys, "_chunk").orderBy(pos)
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    before, here = inside.rowsBetween(W.unboundedPreceding, -1), inside.rowsBetween(W.unboundedPreceding, 0)
+    cut = df.withColumn("_chunk", F.floor(F.col(pos) / chunk)).withColumns({f"_v_{n}": F.coalesce(e.cast("double"), F.lit(0.0)) for n, e in values.items()})
+    cut = cut.withColumns({f"_a_{n}": over(F.col(f"_v_{n}"), before) for n in names})
+    cut = cut.withColumns({f"_s_{n}": F.col(f"_a_{n}") + F.col(f"_v_{n}") for n in names} | {f"_l_{n}": over(lost(F.col(f"_a_{n}"), F.col(f"_v_{n}")), here) for n in names})
+    ends = cut.groupBy(*keys, "_chunk").agg(*[F.max_by(f"_{p}_{n}", pos).alias(f"_{p}_{n}") for n in names for p in "sl"])
+    ends = ends.withColumns({f"_s0_{n}": over(F.col(f"_s_{n}"), earlier) for n in names})
+    ends = ends.withColumns({f"_l0_{n}": over(F.col(f"_l_{n}") + lost(F.col(f"_s0_{n}"), F.col(f"_s_{n}")), earlier) for n in names})
+    out = cut.join(ends.select(*keys, "_chunk", *[f"_{p}0_{n}" for n in names for p in "sl"]), [*keys, "_chunk"])
+
+    def total(n: str) -> Column:
+        start, s = F.col(f"_s0_{n}"), F.col(f"_s_{n}")
+        rest = lost(start, s) + (F.col(f"_l0_{n}") + F.col(f"_l_{n}"))
+        return start + s + F.when(F.isnan(rest), 0.0).otherwise(rest)  # errors of sums that are not finite are no numbers
+
+    return out.withColumns({n: total(n) for n in names}).drop("_chunk", *[f"_{p}_{n}" for n in names for p in ("v", "a", "s", "l", "s0", "l0")])
+
+
 def value_bins(counted: DataFrame, keys: Sequence[str], bins: int = 1024, few: int = 10_000) -> DataFrame:
     """Number the bins of a key's different values ``_v``: ``_bin`` grows with the value.  Adds ``_total``, the sum of ``_n``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from framelake.functions import geometry as G
 from framelake.functions.ratios import NAN, ratio
 from framelake.operators.folds import chunked_fold, composed, states
-from framelake.operators.layout import CHUNK, lookup, neighbourhood, percentiles, running
+from framelake.operators.layout import CHUNK, lookup, neighbourhood, percentiles, running, running_totals
 from framelake.session import cut_lineage
 
 KEY, POS = "video_name", "frame_order"
@@ -135,7 +135,7 @@ def rebuild_steps(st: DataFrame, axis: DataFrame, scale: DataFrame, min_cos: flo
 
 def positions(first: DataFrame, new_steps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Centres from the first centre of each video and its steps."""
-    tot = running(new_steps, [KEY], POS, {f"t{c}": ("sum", F.col(f"n{c}")) for c in "xyz"}, chunk)
+    tot = running_totals(new_steps, [KEY], POS, {f"t{c}": F.col(f"n{c}") for c in "xyz"}, chunk)
     tot = tot.select(KEY, (F.col(POS) + 1).cast("int").alias(POS), "tx", "ty", "tz")
     zero = first.select(KEY, F.lit(0).cast("int").alias(POS), *[F.lit(0.0).alias(f"t{c}") for c in "xyz"])
     joined = lookup(tot.unionByName(zero), first, [KEY], F.col(POS), "inner")

@@ -236,3 +236,25 @@ def test_running_total_keeps_what_rounding_takes(spark):
     want = np.cumsum(cents) / 100
     assert (got.sort_values("i")["t"].round(6).to_numpy() == want).all()
     assert (np.cumsum(cents / 100).round(6) != want).any()
+
+
+def test_positions_keep_what_rounding_takes(spark):
+    n = 60_000
+    st = spark.range(n).select((F.col("id") % 2).alias("video_name"), F.floor(F.col("id") / 2).cast("int").alias("frame_order"))
+    st = st.select("*", F.lit(0.1).alias("nx"), F.when(F.col("frame_order") == 0, 1e15).otherwise(0.3).alias("ny"), F.when(F.col("frame_order") % 3 == 0, 0.7).alias("nz"))
+    first = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0)], "video_name long, ox double, oy double, oz double")
+    got = TR.positions(first, st, chunk=7_000).toPandas().sort_values(["video_name", "frame_order"])
+    for _, g in got.groupby("video_name"):
+        k = np.arange(n // 2 + 1)
+        exact = {"cx": k * np.longdouble(0.1), "cy": np.where(k > 0, np.longdouble(1e15) + (k - 1) * np.longdouble(0.3), 0), "cz": (k + 2) // 3 * np.longdouble(0.7)}
+        for c, want in exact.items():
+            want = want.astype(float)
+            assert (np.abs(g[c].to_numpy() - want) <= np.spacing(np.abs(want))).all(), c
+            assert c != "cx" or np.abs(np.cumsum(np.full(n // 2, 0.1)) - want[1:]).max() > 1e-9  # what a plain sum is off by
+
+
+def test_running_totals_of_odd_values(spark):
+    rows = [(0, 1.0), (1, None), (2, 2.0), (3, float("inf")), (4, 1.0), (5, float("nan"))]
+    got = L.running_totals(spark.createDataFrame([("k", *r) for r in rows], "k string, i int, v double"), ["k"], "i", {"t": F.col("v")}, chunk=2)
+    t = [r.t for r in got.orderBy("i").collect()]
+    assert t[:5] == [1.0, 1.0, 3.0, float("inf"), float("inf")] and np.isnan(t[5])
