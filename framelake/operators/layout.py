@@ -32,7 +32,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column
     """
     if spread is None:
         return big.join(small, list(keys), how)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    # The coalesce tells Spark that a salt is never null: no filter on it comes between equal subplans, which then share their shuffle.
+    left = big.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"), F.lit(0)))
     right = small.crossJoin(small.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt")))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
@@ -225,17 +226,35 @@ def _between(low: Column, high: Column, d: Column) -> Column:
     return F.when(F.isnan(once), F.when(low == high, low).otherwise(s)).otherwise(once)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, float], bins: int = 1024) -> DataFrame:
-    """Exact linear-interpolated percentiles of a large group, 0..1 each.
+def _ends_of_few(counted: DataFrame, keys: list[str], asked: dict[str, float]) -> DataFrame:
+    """Per key the two values around each percentile and the way between them; a key's different values are sorted in one task."""
+    whole = W.partitionBy(*keys)
+    placed = counted.withColumns({"_end": F.sum("_n").over(whole.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_total": F.sum("_n").over(whole)})
 
-    Equal values are counted first; a group's values are cut into bins of about
-    equal numbers of different values, and only the bins that hold a wanted
-    rank are sorted.  Groups without a value are absent.
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col("_v")))
+
+    exact = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, q in asked.items()}
+    return placed.groupBy(*keys).agg(*[
+        F.struct(at(F.floor(e)).alias("low"), at(F.ceil(e)).alias("high"), F.max(e - F.floor(e)).alias("d")).alias(name) for name, e in exact.items()])
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, float], bins: int = 1024, few: int = 10_000) -> DataFrame:
+    """Exact linear-interpolated percentiles of groups of any size, 0..1 each.
+
+    Equal values are counted first.  A group with at most ``few`` different
+    values is sorted as it is.  The values of a larger one are cut into bins of
+    about equal numbers of different values, and only the bins that hold a
+    wanted rank are sorted.  Groups without a value are absent.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    binned = value_bins(counted, keys, bins)
+    known = df.filter(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in [value, *keys])))
+    counted = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # Reading ``_n`` too lets Spark take the counts from the shuffle that the other readers use.  A large group has a row here for ``few`` of its values.
+    size = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"), F.sum("_n").alias("_rows"))
+    large = F.broadcast(size.filter((F.col("_values") > few) & (F.col("_rows") > few)).select(*keys))
+    few_ends = _ends_of_few(counted.join(large, keys, "left_anti"), keys, asked)
+    binned = value_bins(counted.join(large, keys, "left_semi"), keys, bins)
     before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     bin_sizes = (binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_size"), F.first("_total").alias("_total"))
                  .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))))
@@ -259,7 +278,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str,
         high = F.max(F.when((F.col("_name") == name) & (F.col("_side") == "high"), F.col("_v")))
         exact = F.max(F.when(F.col("_name") == name, F.col("_exact")))
         aggs.append(F.struct(low.alias("low"), high.alias("high"), (exact - F.floor(exact)).alias("d")).alias(name))
-    ends = found.groupBy(*keys).agg(*aggs)
+    ends = found.groupBy(*keys).agg(*aggs).unionByName(few_ends)
     return ends.select(*keys, *[_between(F.col(f"`{n}`.low"), F.col(f"`{n}`.high"), F.col(f"`{n}`.d")).alias(n) for n in asked])
 
 
