@@ -21,7 +21,7 @@ SALTS = 16
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column | None = None,
-           how: str = "left", salts: int = SALTS) -> DataFrame:
+           how: str = "left", salts: int = SALTS, keep: str | None = None) -> DataFrame:
     """Join per-key values onto many rows without putting a hot key on one task.
 
     ``small`` holds one row per key.  With ``spread`` (any expression that
@@ -29,13 +29,19 @@ def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column
     copies of ``small`` come from a join with the salts, not from an explode:
     Spark counts a join's rows in its size, an exploded array's it does not,
     so only what is small with all its copies is broadcast.
+
+    ``keep`` names a column for the salt, made here or by an earlier lookup
+    with the same ``spread``.  Rows that this lookup shuffled by key and salt
+    are where joins and groupings by key and that column need them.
     """
     if spread is None:
         return big.join(small, list(keys), how)
     # The coalesce tells Spark that a salt is never null: no filter on it comes between equal subplans, which then share their shuffle.
-    left = big.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"), F.lit(0)))
-    right = small.crossJoin(small.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt")))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    salt = keep or "_salt"
+    left = big if salt in big.columns else big.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"), F.lit(0)))
+    right = small.crossJoin(small.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias(salt)))
+    out = left.join(right, [*keys, salt], how)
+    return out if keep else out.drop(salt)
 
 
 def outgrown(side: DataFrame) -> DataFrame:

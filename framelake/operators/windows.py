@@ -39,13 +39,14 @@ def frame_windows(df: DataFrame, size: int, stride: int, tail: bool = True,
 
 
 def into_windows(df: DataFrame, size: int, stride: int, tail: bool = True, keys: Sequence[str] = ("video_name",),
-                 frame: str = "frame_order", spread: str = "point_index") -> DataFrame:
+                 frame: str = "frame_order", spread: str = "point_index", keep: str | None = None) -> DataFrame:
     """Each row once per window that covers its frame.
 
     The covering ids follow from arithmetic on the frame, so there is no range
-    join: only the video's span is looked up, salted against hot videos.
+    join: only the video's span is looked up, salted against hot videos; ``keep``
+    names a column for the salt.
     """
-    joined = lookup(df, frame_spans(df, keys, frame), keys, F.col(spread), "inner")
+    joined = lookup(df, frame_spans(df, keys, frame), keys, F.col(spread), "inner", keep=keep)
     rel = F.col(frame) - F.col("min_frame")
     lo = F.greatest(F.lit(0), F.ceil((rel - size + 1) / stride))
     hi = F.least(_window_count(size, stride, tail) - 1, F.floor(rel / stride))

@@ -6,11 +6,12 @@ from pyspark.sql import Window as W, functions as F, types as T
 
 from framelake.functions import geometry as G
 from framelake.operators import compare as C, metrics as M, sharing as SH, windows as WI
+from framelake.operators.layout import lookup
 from framelake.plans import views as V
 from framelake.plans.boxqueries import rounded
 from framelake.plans.posequeries import CAL, NAMES, mcols, mul, rnd
 from framelake.plans.registry import query
-from framelake.plans.voting import scored_windows, votes
+from framelake.plans.voting import scored_windows
 from framelake.session import scratch_path
 from framelake.sources import readers as RD, sinks as SK
 from framelake.sources.commits import CommittedTable
@@ -182,9 +183,11 @@ def s13(spark, d):
 @query("s14_prediction_sink", "SELECT checkpoint, split, video_name, count(*) AS points, CAST(sum(vote_count) AS BIGINT) AS votes, CAST(sum(pred_label) AS BIGINT) AS positive FROM votes JOIN video_split USING (video_name) GROUP BY 1, 2, 3", "votes video_split")
 def s14(spark, d):
     at = scratch_path(spark, "predictions")
-    v = votes(spark, d).join(V.video_split(spark, d), "video_name").drop("valid_mask")
+    # One shuffle puts points where their windows, votes, splits and files are made.
+    v = M.vote(scored_windows(spark, d, keep="part"), ["checkpoint", "video_name", "point_index", "part"], ["point_label", "valid_mask"])
+    v = lookup(v, V.video_split(spark, d), ["video_name"], F.col("point_index"), "inner", keep="part").drop("valid_mask")
     p = V.points(spark, d)
-    SK.write_predictions(v, WI.window_summary(WI.into_windows(p, 12, 6), WI.frame_windows(p, 12, 6)), at)
+    SK.write_predictions(v, WI.window_summary(WI.into_windows(p, 12, 6), WI.frame_windows(p, 12, 6)), at, part="part")
     return spark.read.parquet(f"{at}/predictions").groupBy("checkpoint", "split", "video_name").agg(
         F.count(F.lit(1)).alias("points"), F.sum("vote_count").alias("votes"), F.sum("pred_label").cast("bigint").alias("positive"))
 

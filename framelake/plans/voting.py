@@ -9,8 +9,8 @@ from framelake.plans import views as V
 from framelake.plans.registry import query
 
 
-def scored_windows(spark, d):
-    return V.scores(WI.into_windows(V.points(spark, d), 12, 6)).withColumns(
+def scored_windows(spark, d, keep=None):
+    return V.scores(WI.into_windows(V.points(spark, d), 12, 6, keep=keep)).withColumns(
         {"p1": F.round("p1", 9), "p0": F.round("p0", 9)})
 
 

@@ -16,14 +16,17 @@ def write_ragged_csv(tables: Sequence[DataFrame], path: str) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_predictions(voted: DataFrame, summary: DataFrame, path: str) -> None:
+def write_predictions(voted: DataFrame, summary: DataFrame, path: str, part: str | None = None) -> None:
     """Predictions partitioned by checkpoint and split, sorted by video inside files; the window table beside them.
 
     Videos are a sort column, not a folder each, so a run over millions of
-    videos does not make millions of files.
+    videos does not make millions of files.  ``part`` names a column of the
+    few parts of each video that already lie together; then rows are sorted
+    where they are and the column is left out.
     """
     keys = ["checkpoint", "split"]
-    out = voted.repartition(*keys, "video_name", F.pmod(F.xxhash64("point_index"), F.lit(16))).sortWithinPartitions(*keys, "video_name", "point_index")
+    placed = voted.drop(part) if part else voted.repartition(*keys, "video_name", F.pmod(F.xxhash64("point_index"), F.lit(16)))
+    out = placed.sortWithinPartitions(*keys, "video_name", "point_index")
     out.write.mode("overwrite").partitionBy(*keys).option("compression", "zstd").parquet(f"{path}/predictions")
     summary.write.mode("overwrite").parquet(f"{path}/windows")
 
