@@ -253,24 +253,36 @@ def extent_recall(teacher: DataFrame, selected: DataFrame, min_elongation: float
     """Selected over teacher extent along the principal axis of a box's positive pixels.
 
     NULL for fewer than three pixels or a round shape, 0 for fewer than two
-    selected pixels.  The 2x2 eigenpair is closed form.
+    selected pixels.  The 2x2 eigenpair is closed form.  Moments come from sums
+    of whole pixel numbers, so neither the order of rows nor their partitions
+    decide how a tie of the last digit is rounded.
     """
     box = [*FRAME, "bbox_index"]
-    m = teacher.groupBy(*box).agg(F.count(F.lit(1)).alias("_n"), F.var_samp("px").alias("_a"), F.var_samp("py").alias("_c"), F.covar_samp("px", "py").alias("_b"))
-    half, mid = (F.col("_a") - F.col("_c")) / 2, (F.col("_a") + F.col("_c")) / 2
-    root = F.sqrt(half * half + F.col("_b") * F.col("_b"))
-    major, minor = mid + root, F.greatest(mid - root, F.lit(0.0))
-    vx = F.when(F.abs("_b") > 1e-12, F.col("_b")).when(half >= 0, 1.0).otherwise(0.0)
-    vy = F.when(F.abs("_b") > 1e-12, major - F.col("_a")).when(half >= 0, 0.0).otherwise(1.0)
-    long = F.sqrt(vx * vx + vy * vy)
-    m = m.select(*box, "_n", (major / F.greatest(minor, F.lit(1e-12))).alias("elongation"), (vx / long).alias("_vx"), (vy / long).alias("_vy"))
+    wide = lambda v: v.cast("decimal(19,0)")
+    x, y, n = F.col("px").cast("bigint"), F.col("py").cast("bigint"), F.col("_n")
+    sums = {"_x": x, "_y": y, "_xx": wide(x * x), "_yy": wide(y * y), "_xy": wide(x * y)}
+    m = teacher.groupBy(*box).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(k) for k, v in sums.items()])
+    times_n = lambda ab, a, b: (wide(n) * F.col(ab) - wide(F.col(a)) * wide(F.col(b))).cast("double")
+    m = m.select(*box, "_n", times_n("_xx", "_x", "_x").alias("_a"), times_n("_yy", "_y", "_y").alias("_c"), times_n("_xy", "_x", "_y").alias("_b"))
+
+    def axes(a, c, b):
+        half, mid = (a - c) / 2, (a + c) / 2
+        root = F.sqrt(half * half + b * b)
+        return mid + root, mid - root
+
+    a, c, b = [F.col(k) / n / F.nullif(n - 1, F.lit(0)) for k in ("_a", "_c", "_b")]
+    major, minor = axes(a, c, b)
+    angle = 0.5 * F.atan2(2 * b, a - c)
+    # Before they are divided the moments are whole numbers: a shape that just reaches the wanted elongation does so here.
+    long, short = axes(F.col("_a"), F.col("_c"), F.col("_b"))
+    m = m.select(*box, F.when(n >= 3, major / F.greatest(minor, F.lit(1e-12))).alias("elongation"),
+                 ((n >= 3) & (long >= min_elongation * short)).alias("_usable"), F.cos(angle).alias("_vx"), F.sin(angle).alias("_vy"))
     proj = outgrown(teacher).join(m, box).withColumn("_t", F.col("px") * F.col("_vx") + F.col("py") * F.col("_vy"))
-    whole = proj.groupBy(*box).agg(F.first("_n").alias("_n"), F.first("elongation").alias("elongation"), (F.max("_t") - F.min("_t")).alias("_whole"))
+    whole = proj.groupBy(*box).agg(F.first("_usable").alias("_usable"), F.first("elongation").alias("elongation"), (F.max("_t") - F.min("_t")).alias("_whole"))
     part = outgrown(proj).join(selected, [*FRAME, "px", "py"]).groupBy("config", *box).agg(F.count(F.lit(1)).alias("_k"), (F.max("_t") - F.min("_t")).alias("_part"))
     out = whole.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))).join(outgrown(part), ["config", *box], "left")
-    usable = (F.col("_n") >= 3) & (F.col("elongation") >= min_elongation) & (F.col("_whole") > 0)
     value = F.when(F.coalesce("_k", F.lit(0)) < 2, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_part") / F.col("_whole"))))
-    return out.select("config", *box, F.when(F.col("_n") >= 3, F.col("elongation")).alias("elongation"), F.when(usable, value).alias("extent_recall"))
+    return out.select("config", *box, "elongation", F.when(F.col("_usable") & (F.col("_whole") > 0), value).alias("extent_recall"))
 
 
 def component_scores(parts: DataFrame, boxes: DataFrame, center_weight: float = 0.7, area_weight: float = 0.3, max_distance: float = 0.5,
