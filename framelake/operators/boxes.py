@@ -258,25 +258,36 @@ def extent_recall(teacher: DataFrame, selected: DataFrame, min_elongation: float
     decide how a tie of the last digit is rounded.
     """
     box = [*FRAME, "bbox_index"]
-    wide = lambda v: v.cast("decimal(19,0)")
-    x, y, n = F.col("px").cast("bigint"), F.col("py").cast("bigint"), F.col("_n")
-    sums = {"_x": x, "_y": y, "_xx": wide(x * x), "_yy": wide(y * y), "_xy": wide(x * y)}
-    m = teacher.groupBy(*box).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(k) for k, v in sums.items()])
-    times_n = lambda ab, a, b: (wide(n) * F.col(ab) - wide(F.col(a)) * wide(F.col(b))).cast("double")
-    m = m.select(*box, "_n", times_n("_xx", "_x", "_x").alias("_a"), times_n("_yy", "_y", "_y").alias("_c"), times_n("_xy", "_x", "_y").alias("_b"))
+    x, y = F.col("px").cast("bigint"), F.col("py").cast("bigint")
+    teacher = teacher.repartition(*box)  # one shuffle for moments, projections and extents
+
+    def sums(k, u, v):
+        # Upper and lower bits of products are summed apart: exact, and no sum outgrows a bigint.
+        uv = u * v
+        held = lambda w: F.sum(F.when(uv.isNotNull(), w))
+        return [c.alias(f"{k}{name}") for name, c in (("n", F.count(uv)), ("u", held(u)), ("v", held(v)), ("hi", F.sum(F.shiftright(uv, 31))), ("lo", F.sum(uv.bitwiseAND(F.lit(2**31 - 1)))))]
+
+    m = teacher.groupBy(*box).agg(F.count(F.lit(1)).alias("_n"), *sums("_a", x, x), *sums("_c", y, y), *sums("_b", x, y))
+
+    def times_n(k):
+        n, u, v, hi, lo = [F.col(f"{k}{name}").cast("decimal(19,0)") for name in ("n", "u", "v", "hi", "lo")]
+        return (n * (hi * F.lit(2**31).cast("decimal(10,0)") + lo) - u * v).cast("double").alias(k)
+
+    m = m.select(*box, "_n", "_an", "_cn", "_bn", times_n("_a"), times_n("_c"), times_n("_b"))
 
     def axes(a, c, b):
         half, mid = (a - c) / 2, (a + c) / 2
         root = F.sqrt(half * half + b * b)
         return mid + root, mid - root
 
-    a, c, b = [F.col(k) / n / F.nullif(n - 1, F.lit(0)) for k in ("_a", "_c", "_b")]
+    a, c, b = [F.col(k) / F.col(f"{k}n") / F.nullif(F.col(f"{k}n") - 1, F.lit(0)) for k in ("_a", "_c", "_b")]
     major, minor = axes(a, c, b)
-    angle = 0.5 * F.atan2(2 * b, a - c)
+    elongation, angle = major / F.greatest(minor, F.lit(1e-12)), 0.5 * F.atan2(2 * b, a - c)
     # Before they are divided the moments are whole numbers: a shape that just reaches the wanted elongation does so here.
     long, short = axes(F.col("_a"), F.col("_c"), F.col("_b"))
-    m = m.select(*box, F.when(n >= 3, major / F.greatest(minor, F.lit(1e-12))).alias("elongation"),
-                 ((n >= 3) & (long >= min_elongation * short)).alias("_usable"), F.cos(angle).alias("_vx"), F.sin(angle).alias("_vy"))
+    enough = F.when((F.col("_an") == F.col("_bn")) & (F.col("_cn") == F.col("_bn")), long >= min_elongation * short).otherwise(elongation >= min_elongation)
+    m = m.select(*box, F.when(F.col("_n") >= 3, elongation).alias("elongation"), ((F.col("_n") >= 3) & enough).alias("_usable"),
+                 F.cos(angle).alias("_vx"), F.sin(angle).alias("_vy"))
     proj = outgrown(teacher).join(m, box).withColumn("_t", F.col("px") * F.col("_vx") + F.col("py") * F.col("_vy"))
     whole = proj.groupBy(*box).agg(F.first("_usable").alias("_usable"), F.first("elongation").alias("elongation"), (F.max("_t") - F.min("_t")).alias("_whole"))
     part = outgrown(proj).join(selected, [*FRAME, "px", "py"]).groupBy("config", *box).agg(F.count(F.lit(1)).alias("_k"), (F.max("_t") - F.min("_t")).alias("_part"))

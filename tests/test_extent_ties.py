@@ -21,7 +21,7 @@ JUST_LONG_ENOUGH = [(33, 10), (19, 10), (26, 0)]  # elongation 1.47
 
 def lineitem(spark, groups, path):
     """One video per group, its points in the given order; flags are 1 + partkey % 15."""
-    rows = [(v, 40 * i, f - 1, i, float(x), 1.0, y / 100, 0.0, "N") for v, g in enumerate(groups) for i, (x, y, f) in enumerate(g)]
+    rows = [(v, 40 * i, f - 1, i, float(x), 1.0, None if y is None else y / 100, 0.0, "N") for v, g in enumerate(groups) for i, (x, y, f) in enumerate(g)]
     cols = "l_suppkey bigint, l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
     spark.createDataFrame(rows, cols).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
 
@@ -44,6 +44,13 @@ def test_ties_are_those_of_the_sql_in_every_order(spark, tmp_path):
     assert {r[4:] for r in mine} == {(1.117188, None), (12.939394, 0.335937)}
 
 
+def test_missing_rows_of_pixels_are_left_out_as_in_the_sql(spark, tmp_path):
+    groups = [[(1, 0, 1), (9, 1, 3), (16, 3, 5), (4, None, 15), (12, None, 2)], [(1, 0, 1), (9, None, 3), (16, None, 5)], [(2, None, 1), (3, None, 1), (4, None, 1)],
+              [(1, 0, 1), (16, 8, 1), (5, None, 1)], [(1, 0, 2), (9, 1, 2), (16, 3, 5), (4, None, 15), (5, None, 1)]]
+    mine, sql = both(spark, groups, tmp_path)
+    assert len(mine) == len(groups) and mine == sql and mine[0][5] == 1 and mine[1][5] is None
+
+
 def test_order_and_partitions_do_not_decide_ties(spark):
     rows = [(v, b, 0, x, y) for b, g in enumerate((FREE_TIE, JUST_LONG_ENOUGH)) for v, p in enumerate(list(permutations(g))[::len(g)]) for x, y in p]
     for parts in (1, 5):
